@@ -1,0 +1,69 @@
+"""Shared-folder storage: tables that cut lineage, and plain files that executors write."""
+
+from __future__ import annotations
+
+import contextlib
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder, from spark.checkpoint.dir; a temporary one only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        sc = spark.sparkContext
+        root = sc.getCheckpointDir()
+        if not root:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
+            root = sc.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder name below the shared folder, as a full URI."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(path).toString()
+
+
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def _clean_shuffles(spark: SparkSession):
+    """Shuffle files of the jobs inside go as soon as each has ended."""
+    before = spark.conf.get(_FILE_CLEANUP, None)
+    spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FILE_CLEANUP)
+        else:
+            spark.conf.set(_FILE_CLEANUP, before)
+
+
+class Table:
+    """A DataFrame written to the shared folder; `df` reads it back, `drop` deletes it."""
+
+    def __init__(self, df: DataFrame, tag: str):
+        self.spark = df.sparkSession
+        self.uri = new_folder(self.spark, tag)
+        with _clean_shuffles(self.spark):
+            df.write.parquet(self.uri)
+        self.df = self.spark.read.schema(df.schema).parquet(self.uri)
+
+    def drop(self) -> None:
+        drop_folder(self.spark, self.uri)
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Cut the lineage of `df` through a table in the shared folder."""
+    return Table(df, tag).df
