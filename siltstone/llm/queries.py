@@ -34,9 +34,25 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.order import materialise, read_slots
+
+    made = materialise(_table(spark, sf_dir, "documents"))
+    read = read_slots(spark, made)
+    return read.selectExpr("slot", "sequence_id", "shard", "byte_offset", "n_tokens", "sha2(ids, 256) ids_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
+    "op8_packing": op8_packing,
+    "op9_training_order": op9_training_order,
 }
 ORACLE_SQL: dict[str, str] = {}
