@@ -48,11 +48,37 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.selectExpr("slot", "sequence_id", "shard", "byte_offset", "n_tokens", "sha2(ids, 256) ids_sha256")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.warc import read_records, write_archive
+
+    read = read_records(write_archive(_table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op4_language_id": op4_language_id,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_training_order": op9_training_order,
+    "op10_warc": op10_warc,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), k AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+               CASE WHEN page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> keep THEN keep END AS refers_to
+        FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
