@@ -17,6 +17,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.substring import substring_digest
+
+    return substring_digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.chat import chat_digest
 
@@ -68,6 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
