@@ -60,6 +60,12 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.selectExpr("slot", "sequence_id", "shard", "byte_offset", "n_tokens", "sha2(ids, 256) ids_sha256")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.embeddings import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.langid import identify
 
@@ -76,6 +82,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontamination": op6_decontamination,
