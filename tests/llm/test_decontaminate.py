@@ -1,4 +1,4 @@
-import re
+from test_decontaminate_brute import leaked
 
 from siltstone.llm.decontaminate import drop_leaks, find_leaks
 
@@ -45,28 +45,6 @@ def test_table_equals_brute_force(spark):
     at = "/root/testdata/sf0.001/"
     docs = spark.read.parquet(at + "documents.parquet")
     items = spark.read.parquet(at + "benchmark.parquet")
-    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    index = {}
-    item_words = {r.item_id: words(r.text) for r in items.collect()}
-    for i, w in item_words.items():
-        for k, x in enumerate(w):
-            index.setdefault(x, []).append((i, k))
-    want = set()
-    for r in docs.collect():
-        w = words(r.text)
-        count = {}
-        for p, x in enumerate(w):
-            for i, k in index.get(x, ()):
-                count[i, p - k] = count.get((i, p - k), 0) + 1
-        for (i, diag), n in count.items():
-            it = item_words[i]
-            width = min(13, len(it))
-            allowed = width * 3 // 13
-            if n < width - allowed:
-                continue
-            lo, hi = max(0, -diag), min(len(it), len(w) - diag)
-            same = [it[j] == w[j + diag] for j in range(lo, hi)]
-            if any(sum(same[a : a + width]) >= width - allowed for a in range(len(same) - width + 1)):
-                want.add((r.doc_id, i))
+    want = leaked({r.doc_id: r.text for r in docs.collect()}, {r.item_id: r.text for r in items.collect()})
     got = {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()}
     assert want and got == want
