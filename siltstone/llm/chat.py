@@ -1,7 +1,8 @@
 """Chat formatting of reply trees with DataFrame and Column operations only.
 
 A tree's nodes carry parent links. Pointer doubling (each round joins the table of jumps with itself)
-gives every node its depth and the score of its path in log2(depth) rounds; leaves are ranked by that
+gives every node its depth and the score of its path in log2(depth) rounds, and a tree leaves the rounds
+once they cover its size; leaves are ranked by that
 score, and a second pass over the same rounds lists the nodes of each chosen path.
 """
 
@@ -51,6 +52,14 @@ def chain_nodes(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     return numbered.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _ended(rounds: list[DataFrame]) -> DataFrame:
+    """Of each round the trees that need no further one: at most 2^k nodes in round k, all in the last."""
+    out = rounds[-1]
+    for k, df in enumerate(rounds[:-1]):
+        out = out.unionByName(df.where(F.col("size") <= 2**k))
+    return out
+
+
 def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """Root-to-leaf paths of the `branches` best leaves of each tree.
 
@@ -59,43 +68,42 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     sum over its nodes (null: 0); ties go to the deeper leaf, then to the smaller node.
     Returns tree, leaf, rank, path_score, depth (0 at the root), role, text.
     """
-    table = Table(nodes.select("tree", "node", "parent", "role", "text", F.coalesce(F.col("score"), F.lit(0.0)).alias("score")), "chat-nodes")
-    base = table.df
+    on = lambda left, right: F.col("tree").eqNullSafe(F.col("t2")) & (F.col(left) == F.col(right))
+    base = Table(nodes.select("tree", "node", "parent", "role", "text", F.coalesce(F.col("score"), F.lit(0.0)).alias("score")), "chat-nodes").df
     keys = base.select(F.col("tree").alias("t2"), F.col("node").alias("n2"))
-    links = base.select("tree", "node", "parent", "score").join(
-        keys, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("n2")), "left"
-    )
-    state = links.select("tree", "node", F.col("n2").alias("jump"), F.col("n2").isNotNull().cast("bigint").alias("depth"), "score")
-    rounds = [Table(state, "chat-round")]
-    size = rounds[0].df.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while 2 ** (len(rounds) - 1) <= size and not rounds[-1].df.where("jump is not null").isEmpty():
-        a = rounds[-1].df
+    sizes = base.groupBy(F.col("tree").alias("t3")).agg(F.count("*").alias("size"))
+    links = base.select("tree", "node", "parent", "score").join(keys, on("parent", "n2"), "left").join(sizes, F.col("tree").eqNullSafe(F.col("t3")))
+    # states[k] holds the trees of more than 2^(k-1) nodes, each node's jump being its ancestor 2^k above.
+    states = [Table(links.select("tree", "node", F.col("n2").alias("jump"), F.col("n2").isNotNull().cast("bigint").alias("depth"), "score", "size"), "chat-round")]
+    largest = states[0].df.agg(F.max("size")).first()[0] or 0
+    while 2 ** (len(states) - 1) < largest:
+        a = states[-1].df.where(F.col("size") > 2 ** (len(states) - 1))
         b = a.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        joined = a.join(b, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("jump") == F.col("n2")), "left")
-        state = joined.select(
+        state = a.join(b, on("jump", "n2"), "left").select(
             "tree",
             "node",
             F.col("jump2").alias("jump"),
             (F.col("depth") + F.coalesce(F.col("depth2"), F.lit(0))).alias("depth"),
             (F.col("score") + F.coalesce(F.col("score2"), F.lit(0.0))).alias("score"),
+            "size",
         )
-        rounds.append(Table(state, "chat-round"))
-    rooted = rounds[-1].df.where("jump is null")
-    parents = rounds[0].df.where("jump is not null").select(F.col("tree").alias("t2"), F.col("jump").alias("n2")).distinct()
-    leaves = rooted.join(parents, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
+        states.append(Table(state, "chat-round"))
+    ended = _ended([t.df for t in states])
+    parents = states[0].df.where("jump is not null").select(F.col("tree").alias("t2"), F.col("jump").alias("n2")).distinct()
+    rooted = ended.where("jump is null")
+    leaves = rooted.join(parents, on("node", "n2"), "left_anti")
     order = W.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
-    paths = chosen.select("tree", F.col("node").alias("leaf"), "rank", F.col("score").alias("path_score"), "node")
-    for jumps in rounds[:-1]:
-        up = jumps.df.where("jump is not null").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "jump")
-        above = paths.join(up, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")))
-        paths = paths.unionByName(above.select("tree", "leaf", "rank", "path_score", F.col("jump").alias("node")))
-        paths = Table(paths, "chat-paths").df
-    depths = rounds[-1].df.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "depth")
-    text = base.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "role", "text").join(
-        depths.select(F.col("t2").alias("t3"), F.col("n2").alias("n3"), "depth"), F.col("t2").eqNullSafe(F.col("t3")) & (F.col("n2") == F.col("n3"))
-    )
-    full = paths.join(text, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")))
+    paths = [Table(chosen.select("tree", F.col("node").alias("leaf"), "rank", F.col("score").alias("path_score"), "node", "size"), "chat-paths").df]
+    for k, jumps in enumerate(states[:-1]):
+        up = jumps.df.where((F.col("size") > 2**k) & F.col("jump").isNotNull()).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "jump")
+        now = paths[-1].where(F.col("size") > 2**k)
+        above = now.join(up, on("node", "n2")).select("tree", "leaf", "rank", "path_score", F.col("jump").alias("node"), "size")
+        paths.append(Table(now.unionByName(above), "chat-paths").df)
+    paths = _ended(paths)
+    depths = rooted.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "depth")
+    text = base.select("tree", "node", "role", "text").join(depths, on("node", "n2")).select("t2", "n2", "depth", "role", "text")
+    full = paths.join(text, on("node", "n2"))
     return full.select("tree", "leaf", "rank", "path_score", "depth", "role", "text")
 
 
