@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from siltstone.plans import relational_plans, retrieval_plans, text_plans
+
+_MODULES = (text_plans, relational_plans, retrieval_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
