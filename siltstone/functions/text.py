@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Titles that name no posting.
 PLACEHOLDER_TITLES = (
@@ -156,7 +157,7 @@ def year_month(c: Column) -> Column:
     return F.when(first != "", F.concat_ws("-", first, month)).when(name != "", F.concat_ws("-", year, number)).otherwise("")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s):
     """Compatibility forms, which Spark lacks; put it before P3 and R1 where full-width input is expected."""
     import unicodedata
@@ -164,7 +165,7 @@ def nfkc(s):
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(s):
     import html
 

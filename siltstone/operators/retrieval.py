@@ -79,9 +79,9 @@ def bm25(queries: DataFrame, query_id: str, toks: str, index: DataFrame, doc_id:
 
 def hashed_vector(docs: DataFrame, doc_id: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """R5 as sparse rows: doc_id, bucket, w. Tokens and character trigrams; the hash's low bit is the sign; unit length."""
-    t = normalized(F.col(text))
-    trigrams = F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    features = docs.select(doc_id, F.explode(F.concat(tokens(F.col(text)), trigrams)).alias("f")).groupBy(doc_id, "f").agg(F.count("*").alias("n"))
+    chars = docs.select(doc_id, F.split(normalized(F.col(text)), "").alias("__c"), tokens(F.col(text)).alias("__t"))
+    three = F.transform("__c", lambda x, i: F.concat(x, F.get(F.col("__c"), i + 1), F.get(F.col("__c"), i + 2)))  # null at the end
+    features = chars.select(doc_id, F.explode(F.concat("__t", F.filter(three, lambda x: x.isNotNull()))).alias("f")).groupBy(doc_id, "f").agg(F.count("*").alias("n"))
     hashed = features.withColumn("h", fnv1a(F.col("f")))
     sign = F.when(F.col("h") % 2 == 0, 1).otherwise(-1)
     raw = hashed.groupBy(doc_id, (F.col("h") % dimensions).alias("bucket")).agg(F.sum(sign * F.col("n")).cast("double").alias("w")).where("w <> 0")
