@@ -132,7 +132,13 @@ def split_tags(c: Column) -> Column:
 
 def archive_id(number: Column, prefix: str = "APP-", width: int = 6) -> Column:
     """A stable id with leading zeros."""
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
+    return F.concat(F.lit(prefix), zero_filled(number, width))
+
+
+def zero_filled(number: Column, width: int) -> Column:
+    """Leading zeros up to the width; longer numbers stay whole."""
+    n = number.cast("string")
+    return F.when(F.length(n) < width, F.lpad(n, width, "0")).otherwise(n)
 
 
 def latex_to_text(c: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import relational_plans, retrieval_plans, text_plans
+from siltstone.plans import posting_plans, relational_plans, retrieval_plans, text_plans
 
-_MODULES = (text_plans, relational_plans, retrieval_plans)
+_MODULES = (text_plans, relational_plans, retrieval_plans, posting_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

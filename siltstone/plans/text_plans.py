@@ -218,7 +218,7 @@ def url_contract(spark, d):
 
 
 @REG.add(r"""
-    SELECT p_partkey, regexp_replace(lower(p_brand), '[^\p{L}\p{N}]+', '', 'g') AS company_key, upper(substr(p_name, 1, 1)) || '-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS archive_id FROM part
+    SELECT p_partkey, regexp_replace(lower(p_brand), '[^\p{L}\p{N}]+', '', 'g') AS company_key, upper(substr(p_name, 1, 1)) || '-' || CASE WHEN p_partkey < 100000 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END AS archive_id FROM part
 """)
 def archive_ids(spark, d):
     """P8, P35."""
