@@ -118,4 +118,83 @@ def gap_states(spark, d):
     return table(spark, d, "lineitem").select(P.gap_status(F.col("l_discount") >= 0.08, flag == "N", flag == "A").alias("gap")).groupBy("gap").agg(F.count("*").alias("n"))
 
 
+@REG.add("""
+    WITH t AS (SELECT CAST(CAST(max(o_orderdate) AS DATE) - 30 AS VARCHAR) AS today FROM orders),
+    o AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 'rolling' ELSE 'date' END AS kind, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS due FROM orders)
+    SELECT kind, count(*) AS n, count(*) FILTER (kind = 'date' AND due < today) AS expired FROM o, t GROUP BY kind
+""")
+def deadline_sweep(spark, d):
+    """F10, T9."""
+    o = table(spark, d, "orders")
+    today = F.date_sub(F.lit(o.agg(F.max("o_orderdate")).first()[0]).cast("date"), 30)
+    kind = F.when(F.col("o_orderkey") % 5 == 0, "rolling").otherwise("date")
+    passed = P.deadline_passed(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("kind"), today)
+    return o.withColumn("kind", kind).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(passed).cast("bigint").alias("expired"))
+
+
+@REG.add("""
+    SELECT r_name AS keyword, n_name AS city FROM (SELECT r_name, n_name, (r_regionkey * 25 + n_nationkey + 125 - 110) % 125 AS place FROM region, nation) WHERE place < 20
+""")
+def query_plan_batch(spark, d):
+    """Keywords by cities from a cursor, wrapping around."""
+    from siltstone.sources.files import query_plan
+
+    k = table(spark, d, "region").select(F.col("r_regionkey").alias("order"), F.col("r_name").alias("keyword"))
+    c = table(spark, d, "nation").select(F.col("n_nationkey").alias("order"), F.col("n_name").alias("city"))
+    return query_plan(k, c, 110, 20)[0]
+
+
+@REG.add("""
+    WITH u AS (SELECT n_name AS company, CASE WHEN n_nationkey % 2 = 0 THEN 'pool' ELSE '' END AS source, 0 AS o FROM nation UNION ALL SELECT lower(n_name), 'added', 1 FROM nation WHERE n_nationkey % 3 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(company), '[^a-z0-9]', '', 'g') ORDER BY (source = '')::INT, o, company) AS r FROM u)
+    SELECT company, source FROM r WHERE r = 1
+""")
+def company_dimension(spark, d):
+    """Additions join the pool; a row with a source wins."""
+    from siltstone.sources.files import company_dimension as dimension
+
+    n = table(spark, d, "nation")
+    base = n.select(F.col("n_name").alias("company"), F.when(F.col("n_nationkey") % 2 == 0, "pool").otherwise("").alias("source"))
+    more = n.where("n_nationkey % 3 = 0").select(F.lower("n_name").alias("company"), F.lit("added").alias("source"))
+    return dimension(base, more)
+
+
+@REG.add("""
+    SELECT r_name AS region, string_agg(s || '=' || n, ',' ORDER BY s) AS counters FROM (
+        SELECT r_name, c_mktsegment AS s, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2) GROUP BY 1
+""")
+def nested_counters(spark, d):
+    """Counters per region as one sorted map."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    counts = j.groupBy(F.col("r_name").alias("region"), "c_mktsegment").agg(F.count("*").alias("n"))
+    m = counts.groupBy("region").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("c_mktsegment", "n")))).alias("m"))
+    entry = F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return m.select("region", F.array_join(entry, ",").alias("counters"))
+
+
+@REG.add("""
+    WITH c AS (SELECT s_suppkey, min(c_custkey) AS c_custkey FROM supplier JOIN customer ON c_nationkey = s_nationkey AND (c_custkey = s_suppkey OR CAST(c_custkey AS VARCHAR) = CAST(s_suppkey + 50 AS VARCHAR)) GROUP BY 1)
+    SELECT s_suppkey, c_custkey FROM c
+""")
+def candidate_prefetch(spark, d):
+    """Candidates by several keys, then the first that the predicate accepts."""
+    from siltstone.operators.joins import or_equi_join
+
+    text = lambda c: c.cast("string")
+    s, c = table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    keys = [(text(F.col("s_suppkey")), text(F.col("c_custkey"))), (text(F.col("s_suppkey") + 50), text(F.col("c_custkey")))]
+    found = or_equi_join(s, c, "s_suppkey", "c_custkey", keys, "inner").where("s_nationkey = c_nationkey")
+    return found.groupBy("s_suppkey").agg(F.min("c_custkey").alias("c_custkey"))
+
+
+@REG.add()
+def page_scan(spark, d):
+    """Every page parsed to text, links and embedded rows; compared with fixtures in the tests."""
+    from siltstone.sources.markup import scan_pages
+
+    s = scan_pages(table(spark, d, "pages"))
+    return s.select("page_id", F.length("text").alias("n_chars"), F.size("links").alias("n_links"), F.size("rows").alias("n_rows"))
+
+
 QUERIES, ORACLES = REG.queries, REG.oracles
