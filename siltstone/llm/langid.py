@@ -134,18 +134,25 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()}
+    # A share of the hash range with a fifth to spare leaves few rows to rank, however many there are.
+    share = {x: min(1.0, (1.2 * params.sample + 50) / n) for x, n in counts.items()}
+    if not share:
+        return BitmaskFilters({}, params)
+    top = {x: min(2**63 - 1, int(s * 2**64) - 2**63) for x, s in share.items()}
+    within = F.element_at(F.create_map(*[F.lit(x) for kv in top.items() for x in kv]), F.col(lang))
+    ids = labelled.select(F.col(lang).alias("l"), F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"), within.alias("top")).where("h <= top")
     order = W.partitionBy("l").orderBy("h", "k")
-    ids = labelled.select(F.col(lang).alias("l"), F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"))
     last = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= params.sample)
     bound = {r["l"]: r["h"] for r in last.groupBy("l").agg(F.max("h").alias("h")).collect()}
     if not bound:
         return BitmaskFilters({}, params)
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in bound.items() for x in kv]), F.col(lang))
     sample = labelled.where(F.xxhash64(F.col(key)) <= limit).select(F.col(lang), F.col(text))
-    counts = sample.mapInArrow(_count(params), "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    top = counts.withColumn("r", F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))).where(F.col("r") <= params.per_language)
+    grams_of = sample.mapInArrow(_count(params), "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    best = grams_of.withColumn("r", F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))).where(F.col("r") <= params.per_language)
     found: dict[str, list[int]] = {x: [] for x in bound}
-    for r in top.select("lang", "gram").toLocalIterator():
+    for r in best.select("lang", "gram").toLocalIterator():
         found[r["lang"]].append(r["gram"])
     return BitmaskFilters({x: np.array(g, dtype=np.int64).view(np.uint64) for x, g in found.items()}, params)
 
