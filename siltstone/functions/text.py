@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Titles that name no posting.
+# Titles that name no posting, and their forms.
 PLACEHOLDER_TITLES = (
     "", "job", "jobs", "career", "careers", "job details", "job detail", "open positions", "current openings",
     "campus talent", "campus recruiting", "campus recruitment", "join us", "待补充职位名称", "职位详情", "招聘职位",

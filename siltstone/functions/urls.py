@@ -20,7 +20,15 @@ ID_KEYS = (
     "gh_jid", "jobid", "job_id", "jid", "currentjobid", "postingid", "posting_id", "positionid", "position_id",
     "requisitionid", "requisition_id", "reqid", "req_id", "vacancyid", "vacancy_id", "openingid", "opening_id",
 )
+# Fixed value: a fragment that holds a posting's id.
 JOB_FRAGMENT = r"(?i)(?:job|position|posting|opening|vacancy|requisition|req|jid|id)[=/:_-]"
+# Path forms that hold a posting's id, in the order in which they are tried.
+ID_PATHS = (
+    r"(?i)/(?:jobs?|positions?|postings?|openings?|vacancies?)/(?:[^/?#]+/)*([a-z]*\d[a-z0-9_-]{2,}|[0-9a-f]{8}-[0-9a-f-]{20,})/?$",
+    r"(?i)/view/([a-z]*\d[a-z0-9_-]{2,})/?$",
+    r"(?i)/([0-9a-f]{8}-[0-9a-f-]{20,})/?$",
+    r"(?i)/(R-?\d{3,}|REQ-?[a-z0-9_-]{3,}|JR-?\d{3,})/?$",
+)
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -87,13 +95,7 @@ def stable_id(url: Column, supplied: Column | None = None) -> Column:
     first = F.get(hits, F.lit(0))
     choices.append(F.when(web & first.isNotNull(), F.concat(at, F.lit(":query:"), key_of(first), F.lit(":"), value_of(first))))
     path = F.coalesce(F.try_url_decode(F.regexp_extract(u, _PARTS, 3)), F.regexp_extract(u, _PARTS, 3))
-    forms = (
-        r"(?i)/(?:jobs?|positions?|postings?|openings?|vacancies?)/(?:[^/?#]+/)*([a-z]*\d[a-z0-9_-]{2,}|[0-9a-f]{8}-[0-9a-f-]{20,})/?$",
-        r"(?i)/view/([a-z]*\d[a-z0-9_-]{2,})/?$",
-        r"(?i)/([0-9a-f]{8}-[0-9a-f-]{20,})/?$",
-        r"(?i)/(R-?\d{3,}|REQ-?[a-z0-9_-]{3,}|JR-?\d{3,})/?$",
-    )
-    for form in forms:
+    for form in ID_PATHS:
         value = identifier(F.regexp_extract(path, form, 1))
         choices.append(F.when(web & looks_stable(value), F.concat(at, F.lit(":path:"), value)))
     fragment = F.regexp_replace(F.regexp_extract(u, _PARTS, 5), "^#", "")

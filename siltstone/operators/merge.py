@@ -96,20 +96,26 @@ def retain_missing(previous: DataFrame, current: DataFrame, key: str, seen: str,
     return kept.withColumn("retained_until", F.col(seen) + F.make_interval(days=F.lit(days)))
 
 
+# What counts as evidence of a degree or of experience, and hosts of shortened links.
+DEGREE = r"ph\.?d|doctorate|doctoral|master'?s|bachelor'?s|博士|硕士|本科"
+EXPERIENCE = r"(^|[^a-z0-9])[0-9]+\+?\s*(years?|yrs?)([^a-z0-9]|$)|年.{0,8}经验"
+SHORTENERS = r"bit\.ly|tinyurl|forms\.gle|goo\.gl"
+
+
 def enrich(df: DataFrame, description: str, url: str, status: str, score: str, open_status: Sequence[str], repost: Column) -> DataFrame:
     """Missing evidence costs 4 points each from the score before it; legitimacy is 100 less 18 per flag."""
     d = F.lower(F.coalesce(F.col(description), F.lit("")))
     missing = F.filter(
         F.array(
-            F.when(~d.rlike(r"ph\.?d|doctorate|doctoral|master'?s|bachelor'?s|博士|硕士|本科"), F.lit("degree")),
-            F.when(~d.rlike(r"(^|[^a-z0-9])[0-9]+\+?\s*(years?|yrs?)([^a-z0-9]|$)|年.{0,8}经验"), F.lit("experience")),
+            F.when(~d.rlike(DEGREE), F.lit("degree")),
+            F.when(~d.rlike(EXPERIENCE), F.lit("experience")),
         ),
         lambda x: x.isNotNull(),
     )
     flags = F.filter(
         F.array(
             F.when(~F.coalesce(F.col(url).startswith("https://"), F.lit(False)), F.lit("non_https_or_missing_url")),
-            F.when(F.col(url).rlike(r"^https?://[^/]*(bit\.ly|tinyurl|forms\.gle|goo\.gl)"), F.lit("suspicious_shortener_or_form")),
+            F.when(F.col(url).rlike(f"^https?://[^/]*(?:{SHORTENERS})"), F.lit("suspicious_shortener_or_form")),
             F.when(F.trim(d) == "", F.lit("missing_full_description")),
             F.when(~F.coalesce(F.col(status).isin(*open_status), F.lit(False)), F.lit("open_status_not_confirmed")),
             F.when(repost, F.lit("possible_repost_new_url")),
