@@ -30,6 +30,7 @@ class SubstringParams:
     anchor: int = 5
     prefixes: tuple[int, ...] = (2, 4, 8, 13)  # words; the last is the window
     group_suffixes: int = 100_000
+    passes: int = 2  # shares of the groups that are sorted one after another, to bound the disk in use
     broadcast_rows: int = 200_000  # of heavy prefixes, 8 bytes each
 
 
@@ -158,9 +159,12 @@ def repeated_windows(suffixes: DataFrame, p: SubstringParams) -> DataFrame:
     every = groups[0]
     for more in groups[1:]:
         every = every.unionByName(more)
-    n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = every.repartition(n, "group").sortWithinPartitions("group", "suffix", "doc_id").select("doc_id", "place", "suffix")
-    found = ordered.mapInArrow(_subtrees(p), "doc_id long, place long")
+    n, found = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
+    for k in range(p.passes):
+        part = every.where(F.pmod("group", F.lit(p.passes)) == k) if p.passes > 1 else every
+        ordered = part.repartition(n, "group").sortWithinPartitions("group", "suffix", "doc_id").select("doc_id", "place", "suffix")
+        one = Table(ordered.mapInArrow(_subtrees(p), "doc_id long, place long"), "repeated-windows").df
+        found = one if found is None else found.unionByName(one)
     if rest is not None:
         least = rest.groupBy("suffix").agg(F.min("doc_id").alias("low"))
         hot = rest.join(least, "suffix").where("doc_id > low").select("doc_id", "place")
