@@ -172,7 +172,7 @@ def materialise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     for i in range(passes):
         lo, hi = n_shards * i // passes, n_shards * (i + 1) // passes
         parts = rows.mapInArrow(_emit(perm, params, lo, hi), "shard long, slot long, offset long, part binary")
-        dealt = parts.repartition(max(1, hi - lo), "shard").sortWithinPartitions("shard", "slot", "offset")
+        dealt = parts.repartitionById(max(1, hi - lo), (F.col("shard") - lo).cast("int")).sortWithinPartitions("shard", "slot", "offset")
         done.append(Table(dealt.mapInArrow(_write(folder, params, n_slots), schema), "shard-index").df)
     tokens.drop()
     shards = done[0]
