@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, jaccard, langid, packing, pii
-from siltstone.llm.store import materialize
+from siltstone.llm.store import Table, clean_up, tables_made
 
 MIN_LANGUAGE_SCORE = 0.1  # share of known n-grams; prose of a learned language has more than half
 
@@ -51,7 +51,10 @@ ORACLE_SQL = None  # language ID and the tokenizer are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The result is a table in the shared folder; the tables of earlier stages are deleted once the next is written."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_made()
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out = Table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clean_up(spark, mark, out.uri)
+        docs = out.df
     return docs

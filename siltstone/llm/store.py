@@ -50,6 +50,22 @@ def _clean_shuffles(spark: SparkSession):
             spark.conf.set(_FILE_CLEANUP, before)
 
 
+_live: list[str] = []
+
+
+def tables_made() -> int:
+    """A mark for `clean_up`: how many tables are there now."""
+    return len(_live)
+
+
+def clean_up(spark: SparkSession, since: int, keep: str) -> None:
+    """Delete the tables made after a mark, but for the one to keep: their results must have been written."""
+    for uri in _live[since:]:
+        if uri != keep:
+            drop_folder(spark, uri)
+    _live[since:] = [keep]
+
+
 class Table:
     """A DataFrame written to the shared folder; `df` reads it back, `drop` deletes it."""
 
@@ -58,12 +74,9 @@ class Table:
         self.uri = new_folder(self.spark, tag)
         with _clean_shuffles(self.spark):
             df.write.parquet(self.uri)
+        _live.append(self.uri)
         self.df = self.spark.read.schema(df.schema).parquet(self.uri)
 
     def drop(self) -> None:
         drop_folder(self.spark, self.uri)
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage of `df` through a table in the shared folder."""
-    return Table(df, tag).df
+        _live.remove(self.uri)
