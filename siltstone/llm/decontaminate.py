@@ -4,12 +4,14 @@ A seed is the hash of the tokens at the fixed positions of a mask; the positions
 Seeds of benchmark items and of documents are joined, and around each hit the item is laid over the
 document on the hit's diagonal: a run of `window` tokens with at most `max_substitutions` differences
 is an overlap. The masks hit every 14 tokens with up to three differences, and 99.3 % of the cases of
-three differences in 13. Items under SPAN tokens match only a document of just those tokens.
+three differences in 13. Items under `window` tokens have masks of their own (`seed_kinds`), which hit
+every case that is accepted.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +34,52 @@ def tokens(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, r"[^\p{L}\p{N}]+"))
 
 
-def _seeds(df: DataFrame, toks: str, at: str) -> DataFrame:
-    """One row per position and mask: `at`, seed. Short token lists are padded with nulls, which hash too."""
-    here = df.where(F.size(toks) > 0).withColumn(at, F.explode(F.sequence(F.lit(0), F.greatest(F.size(toks) - SPAN, F.lit(0)))))
-    pick = lambda k, mask: F.xxhash64(F.lit(k), *[F.get(F.col(toks), F.col(at) + i) for i in mask])
-    return here.withColumn("seed", F.explode(F.array(*[pick(k, m) for k, m in enumerate(MASKS)])))
+@dataclass(frozen=True)
+class SeedKind:
+    """Masks over `span` tokens, for the items of at least `least` and at most `most` tokens."""
+
+    name: int
+    least: int
+    most: int | None
+    span: int
+    masks: tuple[tuple[int, ...], ...]
+
+
+def seed_kinds(params: DecontaminationParams, short: list[int]) -> list[SeedKind]:
+    """The fixed masks for items of `window` tokens and more, and kinds for the shorter lengths that occur.
+
+    Items that may differ in k tokens are cut into k + 2 parts, and each mask leaves k of these out, so
+    that one mask at least meets no difference. Items without tolerance are hashed whole.
+    """
+    kinds = [SeedKind(0, params.window, None, SPAN, MASKS)]
+    allowed = lambda n: n * params.max_substitutions // params.window
+    for k in sorted({allowed(n) for n in short}):
+        alike = [n for n in range(1, params.window) if allowed(n) == k]
+        if k == 0:
+            kinds += [SeedKind(n, n, n, n, (tuple(range(n)),)) for n in alike if n in short]
+            continue
+        span = alike[0]
+        parts = [range(span * i // (k + 2), span * (i + 1) // (k + 2)) for i in range(k + 2)]
+        masks = tuple(tuple(x for i, part in enumerate(parts) if i not in out for x in part) for out in combinations(range(k + 2), k))
+        kinds.append(SeedKind(span, span, alike[-1], span, masks))
+    return kinds
+
+
+def _seeds(df: DataFrame, toks: str, at: str, kinds: list[SeedKind], items: bool = False) -> DataFrame:
+    """One row per seed: `at`, seed. Documents and long items have seeds at all positions, short items at their start."""
+
+    def fits(kind: SeedKind) -> Column:
+        inside = F.col(at) <= F.size(toks) - kind.span
+        if not items:
+            return inside
+        inside &= F.size(toks) >= kind.least
+        return inside if kind.most is None else inside & (F.size(toks) <= kind.most) & (F.col(at) == 0)
+
+    pick = lambda kind, k, mask: F.xxhash64(F.lit(100 * kind.name + k), *[F.get(F.col(toks), F.col(at) + i) for i in mask])
+    least = min(kind.span for kind in kinds)
+    here = df.where(F.size(toks) >= least).withColumn(at, F.explode(F.sequence(F.lit(0), F.size(toks) - least)))
+    seeds = [F.when(fits(kind), pick(kind, k, m)) for kind in kinds for k, m in enumerate(kind.masks)]
+    return here.withColumn("seed", F.explode(F.array(*seeds))).where(F.col("seed").isNotNull())
 
 
 def find_leaks(
@@ -55,12 +98,15 @@ def find_leaks(
     Items shorter than `window` must lie in the document whole, with the same share of differences.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("item_toks"))
-    item_seeds = _seeds(items, "item_toks", "item_at").select("seed", "item_id", "item_at", "item_toks")
+    n = F.size("item_toks")
+    short = items.select(F.collect_set(F.when((n > 0) & (n < params.window), n))).first()[0]
+    kinds = seed_kinds(params, short)
+    item_seeds = _seeds(items, "item_toks", "item_at", kinds, items=True).select("seed", "item_id", "item_at", "item_toks")
     bounded = item_seeds.count() <= params.broadcast_seeds
     lean = item_seeds.select("seed", "item_id", "item_at", F.size("item_toks").alias("item_len"))
     lean = F.broadcast(lean) if bounded else lean
     d = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("toks"))
-    hits = _seeds(d, "toks", "doc_at").join(lean, "seed").select(
+    hits = _seeds(d, "toks", "doc_at", kinds).join(lean, "seed").select(
         "doc_id",
         "item_id",
         (F.col("doc_at") - F.col("item_at")).alias("diag"),
