@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, jaccard, langid, packing, pii
-from siltstone.llm.store import Table, clean_up, tables_made
+from siltstone.store import Table, clean_up, tables_made
 
 # Share of known n-grams. Held-out labelled documents of all tables score 0.706 (a 70-character one with a key in it)
 # and more; hex strings up to 0.676 and unlearned languages up to 0.679 (Dutch): the cut lies between.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.store import Table
+from siltstone.store import Table
 
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN_END = END + "\n"

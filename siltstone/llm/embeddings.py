@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.graph import connected_components
+from siltstone.graph import connected_components
 from siltstone.llm.jaccard import _grouped, _roots
-from siltstone.llm.store import Table
+from siltstone.store import Table
 
 
 @dataclass(frozen=True)

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.graph import connected_components
-from siltstone.llm.store import Table
+from siltstone.graph import connected_components
+from siltstone.store import Table
 from siltstone.llm.words import chunks, hash_words, mix, ngrams
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.files import read_range, write_file
 from siltstone.llm.packing import cut
-from siltstone.llm.store import Table, new_folder
+from siltstone.store import Table, new_folder
 from siltstone.llm.tokens import TOKENIZER, token_table, with_base
 
 ROUNDS = 6

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.store import Table
+from siltstone.store import Table
 from siltstone.llm.words import chunks, hash_words, ngrams
 
 

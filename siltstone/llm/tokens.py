@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.store import Table
+from siltstone.store import Table
 
 EOS = 1
 TOKENIZER = "byte_bpe_50k"

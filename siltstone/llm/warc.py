@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.files import read_range, write_file
-from siltstone.llm.store import Table, new_folder
+from siltstone.store import Table, new_folder
 
 # Fixed value: the profile URI of revisit records with an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"

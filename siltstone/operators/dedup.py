@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
+from siltstone.graph import connected_components
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -109,7 +110,7 @@ def greedy_display(df: DataFrame, order: str, rank: str, id_col: str = "id") ->
     pairs = same_posting_pairs(df, id_col, displayed=True).persist()
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy("a").agg(F.collect_set("b").alias("near"))
-    group = _spread(both)
+    group = connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("root"))
     keyed = df.select(F.col(id_col).alias("id"), F.col(order).alias("o"), F.col(rank).cast("double").alias("r"))
     linked = keyed.join(near, keyed.id == near.a).drop("a").join(group, "id")
 
@@ -128,16 +129,3 @@ def greedy_display(df: DataFrame, order: str, rank: str, id_col: str = "id") ->
     alone = keyed.join(near, keyed.id == near.a, "left_anti").select("id")
     winners = alone.unionByName(folded).withColumnRenamed("id", "__id")
     return df.join(winners, F.col(id_col) == F.col("__id"), "left_semi")
-
-
-def _spread(both: DataFrame, rounds: int = 12) -> DataFrame:
-    """The smallest id that each id reaches over symmetric pairs (a, b), by rounds of minima."""
-    label = both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
-    for _ in range(rounds):
-        seen = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
-        new = label.join(seen, "id").select("id", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("moved"))
-        new = new.persist()
-        if new.where("moved").isEmpty():
-            return new.select("id", "root")
-        label = new.select("id", "root")
-    return label
