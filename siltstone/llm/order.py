@@ -162,7 +162,7 @@ def materialise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     spark = docs.sparkSession
     tokens = token_table(docs, doc_id, text, source, params.tokenizer)
     based, totals = with_base(tokens.df, ["block"])
-    n_tokens = int(totals.get((), 0) or 0)
+    n_tokens = int(totals.first()["t"] or 0)
     n_slots = -(-n_tokens // params.length)
     folder = new_folder(spark, "shards")
     perm, n_shards = FeistelPermutation(n_slots, params.key), -(-n_slots // params.per_shard)

@@ -5,6 +5,9 @@ quantum once its deficit reaches one, so quantum c of a queue of weight w is due
 place of a quantum in the output is the number of tokens of all quanta due before it, which needs only
 the queues' totals and weights: no task waits for another, and what a window or a partition falls short
 of a queue's share is carried on exactly. Every sequence but the last is full.
+
+Up to MAX_QUEUES queues, tasks compute the places from the totals; beyond, the same places come from a
+table of all quanta in the order in which they are due.
 """
 
 from __future__ import annotations
@@ -16,10 +19,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from siltstone.llm.tokens import TOKENIZER, token_table, with_base
+from siltstone.store import Table
 
 WEIGHT_SUM = 1_000_000
+MAX_QUEUES = 4096  # queues whose totals go to every task
+_EXPLODED = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -73,14 +81,55 @@ def cut(start: np.ndarray, n: np.ndarray, step: int) -> tuple[np.ndarray, np.nda
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _place(schedule: Schedule, length: int):
+def weight_table(totals: DataFrame, mixture: dict[str, float] | None) -> DataFrame:
+    """`integer_weights` of a table (queue, t), as its column w."""
+    shares = totals.withColumn("s", F.col("t").cast("double"))
+    if mixture:
+        given = totals.sparkSession.createDataFrame([(q, float(s)) for q, s in mixture.items()], "queue string, s double")
+        shares = totals.join(given, "queue", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    whole = shares.agg(F.sum("s")).first()[0] or 1.0
+    return shares.select("queue", "t", F.greatest(F.lit(1), F.bround(F.lit(float(WEIGHT_SUM)) * F.col("s") / F.lit(whole))).cast("long").alias("w"))
+
+
+def place_table(totals: DataFrame, mixture: dict[str, float] | None, quantum: int) -> DataFrame:
+    """queue, c (quantum), place: `Schedule.start` of every quantum, by one distributed sort.
+
+    Due times c/w are compared by whole part and remainder; fractions of weights up to WEIGHT_SUM are apart
+    by more than a double's precision.
+    """
+    n = f"(t + {quantum - 1}) div {quantum}"
+    blocks = weight_table(totals, mixture).selectExpr("*", f"explode(sequence(0L, {n} - 1, {_EXPLODED}L)) first")
+    quanta = blocks.selectExpr("queue", "t", "w", f"explode(sequence(first, least(first + {_EXPLODED}, {n}) - 1)) c")
+    order = ["due", "part", "queue"]
+    due = quanta.selectExpr("queue", "c", f"least({quantum}, t - c * {quantum}) size", "c div w due", "(c % w) / w part").orderBy(*order)
+    due = Table(due.withColumn("slice", F.spark_partition_id()), "quanta").df
+    ahead = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    slices = due.groupBy("slice").agg(F.sum("size").alias("k"))
+    slices = slices.select("slice", F.coalesce(F.sum("k").over(ahead(W.orderBy("slice"))), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("size").over(ahead(W.partitionBy("slice").orderBy(*order))), F.lit(0))
+    return due.withColumn("inside", inside).join(F.broadcast(slices), "slice").selectExpr("queue", "c", "base + inside place")
+
+
+def with_places(rows: DataFrame, places: DataFrame, quantum: int) -> DataFrame:
+    """Add the places of each row's quanta, in order. A row is known by its queue and start."""
+    parts = rows.selectExpr("queue", "start", f"explode(sequence(start div {quantum}, (start + n - 1) div {quantum})) c").join(places, ["queue", "c"])
+    lists = parts.groupBy("queue", "start").agg(F.sort_array(F.collect_list(F.struct("c", "place")))["place"].alias("places"))
+    return rows.join(lists, ["queue", "start"]).select("doc_id", "places", "start", "n", "ids")
+
+
+def _place(schedule: Schedule | None, quantum: int, length: int):
+    """Pieces of rows: with a schedule the second column is the queue, without one it is the places of the row's quanta."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_id, queue, start, n, ids = (batch.column(i) for i in range(5))
-            q = np.array([schedule.index[x] for x in queue.to_pylist()], dtype=np.int64)
+            doc_id, known, start, n, ids = (batch.column(i) for i in range(5))
             start, n = start.to_numpy(), n.to_numpy()
-            row, a, size = cut(start, n, schedule.quantum)
-            place = schedule.start(q[row], a // schedule.quantum) + a % schedule.quantum
+            row, a, size = cut(start, n, quantum)
+            if schedule is None:
+                place = known.flatten().to_numpy() + a % quantum
+            else:
+                q = np.array([schedule.index[x] for x in known.to_pylist()], dtype=np.int64)
+                place = schedule.start(q[row], a // quantum) + a % quantum
             inside = a - start[row]
             joined = np.zeros(len(row), dtype=bool)
             joined[1:] = (row[1:] == row[:-1]) & (place[1:] == place[:-1] + size[:-1])
@@ -117,7 +166,10 @@ def pack(
     """
     tokens = token_table(docs, doc_id, text, source, params.tokenizer)
     based, totals = with_base(tokens.df, ["queue", "block"])
-    totals = {k[0]: v for k, v in totals.items()}
-    schedule = Schedule(totals, integer_weights(totals, mixture), params.quantum)
     rows = based.selectExpr("doc_id", "queue", "base + queue_pos start", "n", "ids")
-    return rows.mapInArrow(_place(schedule, params.length), _SCHEMA)
+    first = {r["queue"]: r["t"] for r in totals.limit(MAX_QUEUES + 1).collect()}
+    if len(first) > MAX_QUEUES:
+        schedule, rows = None, with_places(rows, place_table(totals, mixture, params.quantum), params.quantum)
+    else:
+        schedule = Schedule(first, integer_weights(first, mixture), params.quantum)
+    return rows.mapInArrow(_place(schedule, params.quantum, params.length), _SCHEMA)

@@ -22,7 +22,6 @@ from siltstone.store import Table
 
 EOS = 1
 TOKENIZER = "byte_bpe_50k"
-MAX_QUEUES = 4096
 _CACHE_ENTRIES = 600_000
 _UNSAFE = re.compile(r"\s[ ]|[ ]\s|^[ ]|[ ]$")
 _CUT = re.compile(r"(?<=\S)(?=[ ])")
@@ -132,20 +131,18 @@ class TokenTable(Table):
 def token_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str = TOKENIZER) -> TokenTable:
     """Encode each whole text, append EOS and write the table. A null text is empty and gives EOS alone.
 
-    A queue is a source (null: the empty name); beyond MAX_QUEUES sources, sources share queues by hash.
+    A queue is a source (null: the empty name).
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    many = docs.select(name.alias("s")).distinct().count() > MAX_QUEUES
-    queue = F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("string") if many else name
+    queue = F.coalesce(F.col(source).cast("string"), F.lit(""))
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), queue.alias("queue"), F.col(text).cast("string").alias("text"))
     made = picked.mapInArrow(_encode_blocks(tokenizer), _SCHEMA)
     return TokenTable(made)
 
 
-def with_base(table: DataFrame, keys: list[str], limit: int = 1_000_000) -> tuple[DataFrame, dict]:
-    """Add `base`: tokens of earlier blocks, per queue if keys are (queue, block); and the totals of each queue.
+def with_base(table: DataFrame, keys: list[str], limit: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """Add `base`: tokens of earlier blocks, per queue if keys are (queue, block); and the totals `t` of each queue.
 
     The sums of blocks are small rows; they are broadcast up to `limit` of them and joined by shuffle beyond.
     """
@@ -153,6 +150,6 @@ def with_base(table: DataFrame, keys: list[str], limit: int = 1_000_000) -> tupl
     by = [k for k in keys if k != "block"]
     before = W.partitionBy(*by).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     sums = Table(sums.withColumn("base", F.coalesce(F.sum("t").over(before), F.lit(0))), "token-sums").df
-    totals = {tuple(r[k] for k in by): r["t"] for r in sums.groupBy(*by).agg(F.sum("t").alias("t")).collect()}
+    totals = sums.groupBy(*by).agg(F.sum("t").alias("t"))
     small = sums.select(*keys, "base")
     return table.join(F.broadcast(small) if small.count() <= limit else small, keys), totals
