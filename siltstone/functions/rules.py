@@ -63,27 +63,37 @@ def monthly_floor(text: Column, rules: Sequence[tuple[str, float]] = SALARY_RULE
     return F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, 1).cast("double") * m) for p, m in rules])
 
 
-DEADLINE_SIGNAL = r"(?i)(?:deadline|apply by|closing date|closes on|applications? due|截止)"
-# The four date forms, with the parser's format of each.
+DEADLINE_SIGNAL = r"(?i)(?:deadline|apply by|applications? close|closing date|closes on|last date to apply|applications? due|申请截止|报名截止|(?<!申请|报名)截止)"
+# The four date forms, with the groups of year, month and day. The edges are those of ASCII words in any Java.
+_EDGES = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 DATE_FORMS = (
-    (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)),
-    (r"(\d{4})年(\d{1,2})月(\d{1,2})日", (1, 2, 3)),
-    (r"(\d{1,2})/(\d{1,2})/(\d{4})", (3, 1, 2)),
+    (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})".join(_EDGES), (1, 2, 3)),
+    (r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})".join(_EDGES), (3, 1, 2)),
+    (r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日", (1, 2, 3)),
 )
+NAMED_DATE = r"(?i)" + (
+    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+    r"\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
+).join(_EDGES)
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
 
 def deadline(text: Column) -> Column:
-    """The first valid date near a deadline signal (20 characters before, 140 after); null if there is none."""
-    windows = F.regexp_extract_all(text, F.lit(f"(?is).{{0,20}}{DEADLINE_SIGNAL[4:]}.{{0,140}}"), 0)
+    """The first valid date near a deadline signal, from 20 characters before its start to 140 behind it; null if none.
+
+    White space counts as one space. A match is empty and stands 20 characters before its signal, so each
+    signal has a window of its own, however close the next one is.
+    """
+    padded = F.concat(F.lit(" " * 20), F.trim(F.regexp_replace(text, r"(?U)[\s\uFEFF]+", " ")))
+    windows = F.regexp_extract_all(padded, F.lit(f"(?is)(?=.{{20}}{DEADLINE_SIGNAL[4:]})(?=(.{{1,160}}))"), 1)
 
     def read(w):
         dates = []
         for form, (y, m, d) in DATE_FORMS:
             part = lambda g, form=form: F.regexp_extract(w, form, g)
             dates.append(F.when(w.rlike(form), F.try_to_date(F.concat_ws("-", part(y), F.lpad(part(m), 2, "0"), F.lpad(part(d), 2, "0")), "yyyy-MM-dd")))
-        form = r"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
-        month = ((F.position(F.lower(F.regexp_extract(w, form, 1)), F.lit(_MONTHS)) + 3) / 4).cast("int").cast("string")
+        form = NAMED_DATE
+        month = ((F.position(F.lower(F.substring(F.regexp_extract(w, form, 1), 1, 3)), F.lit(_MONTHS)) + 3) / 4).cast("int").cast("string")
         named = F.concat_ws("-", F.regexp_extract(w, form, 3), F.lpad(month, 2, "0"), F.lpad(F.regexp_extract(w, form, 2), 2, "0"))
         return F.coalesce(*dates, F.when(w.rlike(form), F.try_to_date(named, "yyyy-MM-dd")))
 

@@ -1,5 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+import datetime
+
+from pyspark.sql import functions as F
+
+from siltstone.functions import rules as R
 from siltstone.operators import dedup
 
 POST = "id int, company string, title string, location string, job_url string, canonical_url string, application_id string, seen int, rank double"
@@ -19,3 +24,21 @@ def test_display_dedup_holds_a_long_chain_together(spark):
         if not any((k, i) in pairs for k in kept):
             kept.append(i)
     assert sorted(r.id for r in dedup.greedy_display(df, "seen", "rank").collect()) == kept
+
+
+def test_each_deadline_signal_has_its_own_window(spark):
+    gap = "x " * 50
+    texts = [
+        f"Deadline policy {gap} Closing date {gap} 2024-05-01",
+        f"Deadline policy {gap} {gap} 2024-05-01",
+        "Applications close 05-31-2024",
+        "Last date to apply: 5.31.2024",
+        "报名截止2024 年 5 月 1 日",
+        "Deadline\n\n   May 2nd, 2024",
+        "Deadline decided 5 2024",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", R.deadline(F.col("t")).alias("x"))
+    got = [r.x for r in sorted(df.collect())]
+    d = datetime.date
+    assert got == [d(2024, 5, 1), None, d(2024, 5, 31), d(2024, 5, 31), d(2024, 5, 1), d(2024, 5, 2), None, None]
