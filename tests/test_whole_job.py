@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import rules as R
 from siltstone.operators import dedup
+from siltstone.plans import catalogue
 
 POST = "id int, company string, title string, location string, job_url string, canonical_url string, application_id string, seen int, rank double"
 
@@ -42,3 +43,12 @@ def test_each_deadline_signal_has_its_own_window(spark):
     got = [r.x for r in sorted(df.collect())]
     d = datetime.date
     assert got == [d(2024, 5, 1), None, d(2024, 5, 31), d(2024, 5, 31), d(2024, 5, 1), d(2024, 5, 2), None, None]
+
+
+def test_fold_merge_sees_whole_texts(spark, tmp_path):
+    seen = []
+    for i, tail in enumerate("ab"):
+        row = [(5, "s", "en", f"the same first words, then {tail}", 28)]
+        spark.createDataFrame(row, "doc_id long, source string, lang string, text string, n_chars long").write.parquet(f"{tmp_path}/{i}/documents.parquet")
+        seen.append(catalogue.queries()["fold_merge"](spark, f"{tmp_path}/{i}").first().evidence)
+    assert seen[0] != seen[1]
