@@ -1,4 +1,4 @@
-"""Deduplication and posting identity.
+"""Deduplication and posting identity.
 
 Keep-one operators sort by an explicit ordinal, so results do not depend on partitioning.
 """

@@ -1,4 +1,4 @@
-"""Ordered fold-merge, upserts, snapshot comparison, retention and enrichment."""
+"""Ordered fold-merge, upserts, snapshot comparison, retention and enrichment (D3, D4, K5, K6, J18, X2, X3, part of C5, A1)."""
 
 from __future__ import annotations
 
@@ -103,7 +103,7 @@ SHORTENERS = r"bit\.ly|tinyurl|forms\.gle|goo\.gl"
 
 
 def enrich(df: DataFrame, description: str, url: str, status: str, score: str, open_status: Sequence[str], repost: Column) -> DataFrame:
-    """Missing evidence costs 4 points each from the score before it; legitimacy is 100 less 18 per flag."""
+    """C5 without required and preferred skills: missing evidence costs 4 points each from the score before it; legitimacy is 100 less 18 per flag."""
     d = F.lower(F.coalesce(F.col(description), F.lit("")))
     missing = F.filter(
         F.array(

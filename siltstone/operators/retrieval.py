@@ -1,4 +1,4 @@
-"""Lexical, hashed-vector and graph retrieval with a graded verification."""
+"""Lexical, hashed-vector and graph retrieval with a graded verification."""
 
 from __future__ import annotations
 
