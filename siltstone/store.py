@@ -3,24 +3,20 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder, from spark.checkpoint.dir; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        sc = spark.sparkContext
-        root = sc.getCheckpointDir()
-        if not root:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
-            root = sc.getCheckpointDir()
-    return root.rstrip("/")
+    """The shared folder, from spark.checkpoint.dir; where none is set, a folder in the warehouse, which is shared as well."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_siltstone").rstrip("/")
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -37,46 +33,49 @@ def drop_folder(spark: SparkSession, uri: str) -> None:
 
 
 @contextlib.contextmanager
-def _clean_shuffles(spark: SparkSession):
-    """Shuffle files of the jobs inside go as soon as each has ended."""
-    before = spark.conf.get(_FILE_CLEANUP, None)
-    spark.conf.set(_FILE_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs inside; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_FILE_CLEANUP)
-        else:
-            spark.conf.set(_FILE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-_live: list[str] = []
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables of this run", default=None)
 
 
-def tables_made() -> int:
-    """A mark for `clean_up`: how many tables are there now."""
-    return len(_live)
-
-
-def clean_up(spark: SparkSession, since: int, keep: str) -> None:
-    """Delete the tables made after a mark, but for the one to keep: their results must have been written."""
-    for uri in _live[since:]:
-        if uri != keep:
-            drop_folder(spark, uri)
-    _live[since:] = [keep]
+@contextlib.contextmanager
+def run_tables() -> Iterator[list[str]]:
+    """The folders of all tables made inside, by this thread, and not yet dropped."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
 
 
 class Table:
-    """A DataFrame written to the shared folder; `df` reads it back, `drop` deletes it."""
+    """A DataFrame written to the shared folder; `df` reads it back, `drop` deletes it.
+
+    Shuffle files of the write go as soon as it has ended. `batch_rows` bounds the rows of an Arrow batch.
+    """
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, batch_rows: int = 1000):
         self.spark = df.sparkSession
         self.uri = new_folder(self.spark, tag)
-        with _clean_shuffles(self.spark):
+        with settings(self.spark, {_FILE_CLEANUP: "true", _BATCH_ROWS: str(batch_rows)}):
             df.write.parquet(self.uri)
-        _live.append(self.uri)
+        self.made = _made.get()
+        if self.made is not None:
+            self.made.append(self.uri)
         self.df = self.spark.read.schema(df.schema).parquet(self.uri)
 
     def drop(self) -> None:
         drop_folder(self.spark, self.uri)
-        _live.remove(self.uri)
+        if self.made is not None and self.uri in self.made:
+            self.made.remove(self.uri)
