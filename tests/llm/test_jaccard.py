@@ -78,3 +78,48 @@ def test_components_of_chains_and_hubs(spark):
     df = spark.createDataFrame([*chain, *hub, (5000, 5000)], "a long, b long").repartition(5)
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(301)}}
+
+
+def test_recall_at_the_threshold(spark):
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for i in range(400):
+        w = [f"p{i}_{k}" for k in range(200)]
+        other = list(w)
+        # Each word changed far from the others breaks five of 196 shingles.
+        for k in rng.sample(range(5, 195, 8), rng.choice((3, 4))):
+            other[k] = f"q{i}_{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            pairs.append(2 * i)
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(pairs) >= 100
+    assert sum(got[i + 1] == (i, 1) for i in pairs) >= 0.95 * len(pairs)
+
+
+def test_boilerplate_that_most_documents_share(spark):
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(base + [f"o{i}_{k}" for k in range(60 + i % 7)])) for i in range(1200)]
+    for i in range(0, 200, 5):
+        w = rows[i][1].split()
+        w[rng.randrange(101, 150)] = "z"
+        rows.append((5000 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(dict(rows))
+    assert sum(n for _, n in want.values()) == 80
+    assert result(df) == want
+    assert result(df, params=JoinParams(leaf=8, max_depth=2, block=128, broadcast_rows=0)) == want
+
+
+def test_sketches_estimate_similarity():
+    from siltstone.llm.jaccard import _sketches, estimates, sketch
+
+    rng = __import__("numpy").random.default_rng(1)
+    for n, share in ((1, 1.0), (3, 1.0), (40, 0.5), (400, 0.8), (20_000, 0.8)):
+        common = int(round(2 * n * share / (1 + share)))
+        values = rng.integers(0, 2**63, 2 * n).astype("uint64")
+        a, b = values[:n], values[n - common : 2 * n - common]
+        got = float(estimates(_sketches([sketch(a)]), _sketches([sketch(b)]))[0, 0])
+        assert abs(got - len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))) < 0.13
