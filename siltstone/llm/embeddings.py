@@ -1,9 +1,12 @@
 """Near-duplicate vectors through a pivot-permutation index, verified in double precision.
 
 Each distinct vector is described by its `nearest` reference points (pivots) in order of cosine and is
-posted to the inverted list of each. Two vectors on a list are candidates if they share at least
-`shared` pivots and their 8-bit sketches agree; long lists are compared in blocks. Candidates form
-groups, and each group is compared exactly, again in blocks, so no pair below the threshold is linked.
+posted to the inverted list of each. A list of more than `block` vectors is split by second pivots: its
+vectors are posted to a list for each pair of their pivots whose lists are both long, so that two vectors
+that share two pivots always meet on a list. Two vectors on a list are candidates if they share at least
+`shared` pivots, early enough in both orders (a shared pivot counts by the product of `nearest` less its
+places, `order` in sum), and their 8-bit sketches agree; lists still long are compared in blocks. Candidates
+form groups, and each group is compared exactly, again in blocks, so no pair below the threshold is linked.
 """
 
 from __future__ import annotations
@@ -28,30 +31,40 @@ class PivotParams:
     threshold: float = 0.9
     nearest: int = 8  # pivots that describe a vector
     shared: int = 2  # pivots that candidates have in common, at least
+    order: int = 16  # of 204 for equal orders
     per_pivot: int = 64  # distinct vectors for which there is one pivot
     pivots: tuple[int, int] = (128, 4096)  # fewest and most pivots of one dimension: the bounded sample of the fit
     slack: float = 0.05  # far above the error of 8-bit sketches
     block: int = 1024
+    broadcast_rows: int = 200_000  # of long lists, 16 bytes each
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, sig and unit vector (float64 bytes); both null for a vector that can link with nothing."""
     for batch in batches:
-        sig, unit = [], []
-        for v in batch.column(1).to_pylist():
-            ok = bool(v) and None not in v
-            x = np.array(v, dtype=np.float64) if ok else None
-            ok = ok and bool(np.all(np.isfinite(x))) and bool(np.any(x))
-            if ok:
-                x = x / np.abs(x).max()
-                x = x / np.sqrt(x @ x)
-            unit.append(x.tobytes() if ok else None)
-            sig.append(hashlib.blake2b(unit[-1], digest_size=16).digest() if ok else None)
+        column = batch.column(1)
+        sig: list[bytes | None] = [None] * len(column)
+        unit: list[bytes | None] = [None] * len(column)
+        length = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat, ends = column.flatten(), np.cumsum(length)  # the items of null lists are left out
+        holes = np.concatenate([[0], np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))])
+        whole = (length > 0) & (holes[ends] == holes[ends - length])
+        values = flat.cast(pa.float64()).fill_null(0.0).to_numpy()
+        for dim in np.unique(length[whole]).tolist():
+            at = np.flatnonzero(whole & (length == dim))
+            x = values[(ends[at] - dim)[:, None] + np.arange(dim)]
+            ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            at, x = at[ok], x[ok]
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            for i, v in zip(at.tolist(), x):
+                unit[i] = v.tobytes()
+                sig[i] = hashlib.blake2b(unit[i], digest_size=16).digest()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.array(unit, pa.binary())], names=["vec_id", "sig", "v"])
 
 
 def _describe(pivots: dict[int, np.ndarray], p: PivotParams):
-    """One row per inverted list: dim, pivot, rep, perm (pivots in order), sketch (8-bit components)."""
+    """dim, rep, perm (pivots in order, nearest first), sketch (8-bit components)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,37 +74,49 @@ def _describe(pivots: dict[int, np.ndarray], p: PivotParams):
                 at = np.flatnonzero(length == dim)
                 v = np.frombuffer(b"".join(data[i] for i in at.tolist()), dtype=np.float64).reshape(len(at), dim)
                 m = min(p.nearest, len(pivots[dim]))
-                perm = np.argsort(-(v @ pivots[dim].T), axis=1, kind="stable")[:, :m].astype("<i4")
-                top = np.abs(v).max(axis=1, keepdims=True)
-                sketch = np.rint(v / top * 127).astype(np.int8)
-                row = np.repeat(np.arange(len(at)), m)
-                perms, sketches = [x.tobytes() for x in perm], [x.tobytes() for x in sketch]
+                perm = np.argsort(-(v @ pivots[dim].T), axis=1, kind="stable")[:, :m].astype(np.int32)
+                sketch = np.rint(v / np.abs(v).max(axis=1, keepdims=True) * 127).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(row), dim, dtype=np.int32)),
-                        pa.array(perm.ravel()),
-                        pa.array(rep[at][row]),
-                        pa.array([perms[i] for i in row.tolist()], pa.binary()),
-                        pa.array([sketches[i] for i in row.tolist()], pa.binary()),
+                        pa.array(np.full(len(at), dim, dtype=np.int32)),
+                        pa.array(rep[at]),
+                        pa.FixedSizeListArray.from_arrays(pa.array(perm.ravel()), m).cast(pa.list_(pa.int32())),
+                        pa.array([x.tobytes() for x in sketch], pa.binary()),
                     ],
-                    names=["dim", "pivot", "rep", "perm", "sketch"],
+                    names=["dim", "rep", "perm", "sketch"],
                 )
 
     return run
 
 
+def _postings(described: DataFrame, p: PivotParams) -> DataFrame:
+    """One row per vector and list it is on: dim, one, two (-1 on the list of one pivot), rep, perm, sketch."""
+    alone = described.select("dim", F.explode("perm").alias("one")).groupBy("dim", "one").agg(F.count("*").alias("n"))
+    # As many rows as there are pivots: at most pivots[1] of a dimension.
+    long = alone.where(F.col("n") > p.block).groupBy("dim").agg(F.collect_set("one").alias("long"))
+    known = described.join(F.broadcast(long), "dim", "left").withColumn("long", F.coalesce("long", F.array().cast("array<int>")))
+    pair = lambda a, b: F.struct(a.cast("int").alias("one"), b.cast("int").alias("two"))
+    short = F.transform(F.array_except("perm", "long"), lambda u: pair(u, F.lit(-1)))
+    both = F.array_sort(F.array_intersect("perm", "long"))
+    pairs = F.flatten(F.transform(both, lambda u, i: F.transform(F.slice(both, i + 2, F.size(both)), lambda v: pair(u, v))))
+    return known.select("dim", F.explode(F.concat(short, pairs)).alias("list"), "rep", "perm", "sketch").select("dim", "list.*", "rep", "perm", "sketch")
+
+
 def _candidates(p: PivotParams):
     """Candidate links of one block pair of one list, as a star around each group's first member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, i, j), (side, rep, perm, sketch) in _grouped(batches, 4):
-            perms = np.frombuffer(b"".join(perm), dtype="<i4").reshape(len(rep), -1)
+        for (_, _, _, i, j), (side, rep, perm, sketch) in _grouped(batches, 5):
+            perms = np.array(perm, dtype=np.int32)
+            many = perms.shape[1]
             values, inverse = np.unique(perms, return_inverse=True)
             has = np.zeros((len(rep), len(values)), dtype=np.float32)
-            has[np.arange(len(rep))[:, None], inverse.reshape(perms.shape)] = 1
+            has[np.arange(len(rep))[:, None], inverse.reshape(perms.shape)] = many - np.arange(many)
             s = np.frombuffer(b"".join(sketch), dtype=np.int8).reshape(len(rep), -1).astype(np.float32)
             s /= np.sqrt((s * s).sum(axis=1, keepdims=True))
-            link = (has @ has.T >= min(p.shared, perms.shape[1])) & (s @ s.T >= p.threshold - p.slack)
+            link = (has @ has.T >= min(p.order, many)) & (s @ s.T >= p.threshold - p.slack)
+            has = (has > 0).astype(np.float32)
+            link &= has @ has.T >= min(p.shared, many)
             if i != j:
                 side = np.array(side)
                 link &= side[:, None] != side[None, :]
@@ -143,11 +168,12 @@ def _fit_pivots(reps: DataFrame, p: PivotParams) -> dict[int, np.ndarray]:
 
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", params: PivotParams = PivotParams()) -> DataFrame:
-    """One row per distinct id: vec_id, n_links (other vectors linked directly), component_id, kept.
+    """One row per distinct id: vec_id, n_links (other vectors linked directly), component_id, kept. No rows for an empty table.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
     vectors of different dimension. Rows of one id are one vector: of several values, the one with the
     smallest digest is judged. Rows of a null id are one vector that links with nothing and is kept.
+    Vectors of any length are read whole; other columns are not read.
     """
     p, spark = params, df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -156,9 +182,14 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     able = signed.where("sig is not null and vec_id is not null")
     classes = able.groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
     reps = Table(able.join(classes, "sig").where("vec_id = rep").select("rep", "size", "v"), "distinct-vectors").df
-    posts = Table(reps.select("rep", "v").mapInArrow(_describe(_fit_pivots(reps, p), p), "dim int, pivot int, rep long, perm binary, sketch binary"), "lists").df
-    lists = posts.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    dealt = _in_blocks(posts.join(lists, ["dim", "pivot"]), ["dim", "pivot"], ["perm", "sketch"], n)
+    described = Table(reps.select("rep", "v").mapInArrow(_describe(_fit_pivots(reps, p), p), "dim int, rep long, perm array<int>, sketch binary"), "permutations").df
+    keys = ["dim", "one", "two"]
+    posts = _postings(described, p)
+    sizes = posts.groupBy(*keys).agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
+    heavy = Table(sizes.where("blocks > 1"), "long-lists").df
+    heavy = F.broadcast(heavy) if heavy.count() <= p.broadcast_rows else heavy
+    sided = posts.join(heavy, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = _in_blocks(sided, keys, ["perm", "sketch"], n)
     comp = connected_components(dealt.mapInArrow(_candidates(p), "a long, b long"))
     comp = Table(comp.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "candidates").df
     blocks = comp.groupBy("comp").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))

@@ -38,9 +38,10 @@ def test_groups_and_copies_equal_brute_force(spark, params):
     assert result(df, params=params) == want
 
 
-def test_recall_at_the_threshold(spark):
+@pytest.mark.parametrize("params", [PivotParams(), PivotParams(pivots=(2048, 2048), block=64), PivotParams(pivots=(4096, 4096))])
+def test_recall_at_the_threshold(spark, params):
     rng = np.random.default_rng(9)
-    a = rng.normal(size=(1500, 64))
+    a = rng.normal(size=(2400, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     noise = rng.normal(size=a.shape)
     noise -= (noise * a).sum(axis=1, keepdims=True) * a
@@ -48,9 +49,9 @@ def test_recall_at_the_threshold(spark):
     b = 0.905 * a + np.sqrt(1 - 0.905**2) * noise
     vectors = {i: v.tolist() for i, v in enumerate(np.concatenate([a, b]))}
     df = spark.createDataFrame([(i, v, 0, "") for i, v in vectors.items()], SCHEMA)
-    got = sum(n for n, _ in result(df).values())
+    got = sum(n for n, _ in result(df, params=params).values())
     want = sum(n for n, _ in brute(vectors)[0].values())
-    assert want >= 3000 and got >= 0.9 * want
+    assert want >= 4800 and got >= 0.95 * want
 
 
 def test_odd_rows(spark):
