@@ -7,7 +7,8 @@ filter's false positives, decide.
 
 from __future__ import annotations
 
-import re
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UND = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _PRIMES = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -27,6 +27,7 @@ class LangParams:
     sizes: tuple[int, ...] = (2, 3, 4)  # code points per n-gram
     per_language: int = 4000  # the most frequent n-grams of each size that a language's filter takes
     sample: int = 4000  # labelled documents per language that the filters are fitted on, at most
+    languages: int = 1024  # more learned languages than these raise an error: 64 of them take 4 MB of filters
     slots_log2: int = 19
     hashes: int = 4
     chunk: int = 1 << 20  # code points handled at once
@@ -38,10 +39,22 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def letters(text: str | None) -> str:
-    """Lower-case words behind and before one space each; empty if there is no letter."""
-    words = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    return f" {words} " if words else ""
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For each code point 1 for a letter, 2 for a combining mark, 0 for all else (Unicode categories L and M)."""
+    return np.array([{"L": 1, "M": 2}.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], dtype=np.int8)
+
+
+def letters(text: str | None) -> np.ndarray:
+    """Code points of the lower-case words (letters and their marks), behind and before one space each; empty without a letter."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), dtype="<u4")
+    kind = _kinds()[points]
+    if not (kind == 1).any():
+        return np.empty(0, dtype=np.uint64)
+    spaced = np.concatenate([[32], np.where(kind > 0, points, 32), [32]])
+    fresh = np.ones(len(spaced), dtype=bool)
+    fresh[1:] = (spaced[1:] != 32) | (spaced[:-1] != 32)
+    return spaced[fresh].astype(np.uint64)
 
 
 def grams(points: np.ndarray, n: int) -> np.ndarray:
@@ -54,18 +67,14 @@ def grams(points: np.ndarray, n: int) -> np.ndarray:
     return _mix(key)
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
-
-
 def _count(params: LangParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[str, list[str]] = {}
+            by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 by.setdefault(lang, []).append(letters(text))
             for lang, texts in by.items():
-                points = _points("".join(texts))
+                points = np.concatenate(texts)
                 for n in params.sizes:
                     keys, count = np.unique(grams(points, n), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
@@ -102,10 +111,9 @@ class BitmaskFilters:
             out &= self.slots[:, s]
         return out
 
-    def hits(self, text: str) -> tuple[np.ndarray, int]:
+    def hits(self, points: np.ndarray) -> tuple[np.ndarray, int]:
         """Corrected hits per language, and the number of n-grams, of one prepared text."""
         counts, total = np.zeros(len(self.langs)), 0
-        points, widest = _points(text), max(self.params.sizes)
         for a in range(0, max(1, len(points)), self.params.chunk):
             for n in self.params.sizes:
                 keys = grams(points[a : a + self.params.chunk + n - 1], n)
@@ -118,7 +126,7 @@ class BitmaskFilters:
     def decide(self, text: str | None) -> tuple[str, float]:
         """The language with most corrected hits, and the share of the n-grams that are hits."""
         words = letters(text)
-        if not words or not self.langs:
+        if not len(words) or not self.langs:
             return UND, 0.0
         counts, total = self.hits(words)
         best = int(np.argmax(counts))
@@ -128,13 +136,13 @@ class BitmaskFilters:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", params: LangParams = LangParams()) -> BitmaskFilters:
     """Fit on at most `sample` labelled documents per language, those with the smallest hash of `key`.
 
-    Null languages are left out. The filters hold at most `per_language` n-grams of each size and language,
-    and those are all that comes to the driver.
+    Null languages are left out; more than `languages` values raise an error. The filters hold at most
+    `per_language` n-grams of each size and language, and those are all that comes to the driver.
     """
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).limit(params.languages + 1).collect()}
+    if len(counts) > params.languages:
+        raise ValueError(f"column {lang} has more than {params.languages} values: clean it, or raise LangParams.languages")
     # A share of the hash range with a fifth to spare leaves few rows to rank, however many there are.
     share = {x: min(1.0, (1.2 * params.sample + 50) / n) for x, n in counts.items()}
     if not share:
@@ -160,11 +168,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 def predict(docs: DataFrame, filters: BitmaskFilters, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Add the predicted language and its score (0 to 1) to each row, from its whole text alone.
 
-    `und` and 0 for a null text or one without letters. Ties go to the first language by name; equal rows
+    `und` and 0 for a null text or one without letters (Unicode category L). Ties go to the first language by name; equal rows
     get equal results. Columns of the output's names are replaced; all others stay as they are.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(filters)  # slots_log2 bounds its size
+    shared = spark.sparkContext.broadcast(filters)  # slots_log2 and languages bound its size
 
     @F.pandas_udf("struct<lang:string,score:double>")
     def judge(texts):

@@ -40,3 +40,69 @@ def test_odd_rows(spark):
     assert [got[k, t] for k, t, _, _ in rows] == ["en", "de", "und", "und", "und", "en", "de", got[7, "ξψ"]]
     assert got[7, "ξψ"] in ("en", "de")
     assert identify(df.limit(0)).count() == 0
+
+
+def plain(rows, params):
+    """The same decision by dictionaries of n-grams, without filters: rows of (doc_id, text, lang)."""
+    import unicodedata
+    from collections import Counter
+
+    def words(text):
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+        return f" {' '.join(kept.split())} " if any(unicodedata.category(c)[0] == "L" for c in kept) else ""
+
+    counts = {}
+    for _, text, lang in rows:
+        if lang is not None and text is not None:
+            for n in params.sizes:
+                w = words(text)
+                counts.setdefault(lang, {}).setdefault(n, Counter()).update(w[i : i + n] for i in range(len(w) - n + 1))
+    # At the cut-off a tie may fall either way: those n-grams count for half a hit, and such decisions are left out.
+    sure, maybe = {}, {}
+    for lang, by in counts.items():
+        for n, c in by.items():
+            ranked = sorted(c.values(), reverse=True)
+            last = ranked[params.per_language - 1] if len(ranked) > params.per_language else 0
+            tied = len(ranked) > params.per_language and ranked[params.per_language] == last
+            sure.setdefault(lang, set()).update(g for g, k in c.items() if k > last or (k == last and not tied))
+            maybe.setdefault(lang, set()).update(g for g, k in c.items() if k == last and tied)
+
+    def decide(text):
+        w = words(text)
+        grams_of = [w[i : i + n] for n in params.sizes for i in range(len(w) - n + 1)]
+        if not grams_of:
+            return "und", 0.0, 0.0
+        low = {x: sum(g in sure[x] for g in grams_of) / len(grams_of) for x in sure}
+        high = {x: low[x] + sum(g in maybe[x] for g in grams_of) / len(grams_of) for x in sure}
+        best = max(sorted(low), key=lambda x: low[x] + high[x])
+        return best, low[best], high[best]
+
+    return decide
+
+
+def test_predictions_equal_plain_dictionaries(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    decide = plain(learned, LangParams())
+    got = {r.doc_id: r for r in identify(docs).collect()}
+    for i, text, _ in rows:
+        lang, low, high = decide(text)
+        assert got[i].lang_pred == lang
+        assert low - 0.02 <= got[i].score <= high + 0.02
+
+
+def test_letters_and_marks_by_unicode_category():
+    from siltstone.llm.langid import letters
+
+    show = lambda t: "".join(map(chr, letters(t)))
+    assert show("½ ② Ⅷ _ 12") == "" and show(None) == "" and show("\u0301") == ""
+    assert show("  हिन्दी-Straße 3x!") == " हिन्दी straße x "
+
+
+def test_too_many_languages_raise(spark):
+    import pytest
+
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 4 values"):
+        fit(df, params=LangParams(languages=4))
