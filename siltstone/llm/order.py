@@ -30,6 +30,8 @@ ROUNDS = 6
 class OrderParams:
     length: int = 2048
     per_shard: int = 2048
+    checked: int = 512  # slots under one check sum, read at once
+    tasks: int = 4096  # of a pass, at most: each writes a range of shards, one after another
     passes: int = 3  # ranges of slots that are shuffled one after another, to bound the disk in use
     key: int = 0x5EED
     pad: int = 0
@@ -122,8 +124,10 @@ def _write(folder: str, p: OrderParams, n_slots: int):
 
         def flush():
             write_file(_shard_uri(folder, shard), bytes(data))
-            row = [[shard], [shard * p.per_shard], [len(data) // stride], [zlib.crc32(data)]]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in row], names=["shard", "first_slot", "n_slots", "crc32"])
+            row = [[shard], [shard * p.per_shard], [len(data) // stride]]
+            sums = [zlib.crc32(data[a : a + p.checked * stride]) for a in range(0, len(data), p.checked * stride)]
+            columns = [*(pa.array(x, pa.int64()) for x in row), pa.array([sums], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "first_slot", "n_slots", "crc32"])
 
         for batch in batches:
             for s, slot, offset, part in zip(*(c.to_pylist() for c in batch.columns)):
@@ -145,7 +149,7 @@ def _write(folder: str, p: OrderParams, n_slots: int):
 @dataclass(frozen=True)
 class Materialised:
     folder: str
-    shards: DataFrame  # shard, first_slot, n_slots, crc32
+    shards: DataFrame  # shard, first_slot, n_slots, crc32 (of each `checked` slots)
     n_tokens: int
     params: OrderParams
 
@@ -157,7 +161,8 @@ class Materialised:
 def materialise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", params: OrderParams = OrderParams()) -> Materialised:
     """Write all sequences in training order. A null text gives the end id alone; an empty table gives no shard.
 
-    Repeated rows and equal ids are documents of their own. The last sequence is padded.
+    Repeated rows and equal ids are documents of their own; a very long text runs over many sequences; other
+    columns are not read. The last sequence is padded.
     """
     spark = docs.sparkSession
     tokens = token_table(docs, doc_id, text, source, params.tokenizer)
@@ -168,11 +173,12 @@ def materialise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     perm, n_shards = FeistelPermutation(n_slots, params.key), -(-n_slots // params.per_shard)
     rows = based.selectExpr("base + block_pos start", "n", "ids")
     done, passes = [], max(1, min(params.passes, n_shards))
-    schema = "shard long, first_slot long, n_slots long, crc32 long"
+    schema = "shard long, first_slot long, n_slots long, crc32 array<bigint>"
     for i in range(passes):
         lo, hi = n_shards * i // passes, n_shards * (i + 1) // passes
         parts = rows.mapInArrow(_emit(perm, params, lo, hi), "shard long, slot long, offset long, part binary")
-        dealt = parts.repartitionById(max(1, hi - lo), (F.col("shard") - lo).cast("int")).sortWithinPartitions("shard", "slot", "offset")
+        many = max(1, min(params.tasks, hi - lo))
+        dealt = parts.repartitionById(many, F.expr(f"cast((shard - {lo}) * {many} div {max(1, hi - lo)} as int)")).sortWithinPartitions("shard", "slot", "offset")
         done.append(Table(dealt.mapInArrow(_write(folder, params, n_slots), schema), "shard-index").df)
     tokens.drop()
     shards = done[0]
@@ -182,18 +188,25 @@ def materialise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 
 def read_slots(spark: SparkSession, made: Materialised, first: int = 0, last: int | None = None) -> DataFrame:
-    """Slots first..last-1, read from the shards by position: slot, sequence_id, shard, byte_offset, n_tokens, ids."""
+    """Slots first..last-1, read from the shards by position: slot, sequence_id, shard, byte_offset, n_tokens, ids.
+
+    Reads are of whole checked ranges, and a range that does not match its check sum raises an error.
+    """
     p, n_slots, n_tokens, folder = made.params, made.n_slots, made.n_tokens, made.folder
     last = n_slots if last is None else min(last, n_slots)
     perm, stride = FeistelPermutation(n_slots, p.key), 2 * p.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, first_slot, many in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, first_slot, many, sums in zip(*(c.to_pylist() for c in batch.columns)):
                 lo, hi = max(first, first_slot), min(last, first_slot + many)
-                for a in range(lo, hi, 512):
-                    b = min(a + 512, hi)
-                    data = read_range(_shard_uri(folder, shard), (a - first_slot) * stride, (b - a) * stride)
+                for k in range((lo - first_slot) // p.checked, -(-(hi - first_slot) // p.checked)):
+                    begin, end = first_slot + k * p.checked, first_slot + min((k + 1) * p.checked, many)
+                    data = read_range(_shard_uri(folder, shard), (begin - first_slot) * stride, (end - begin) * stride)
+                    if zlib.crc32(data) != sums[k]:
+                        raise ValueError(f"shard {shard}: slots {begin} to {end - 1} do not match their check sum")
+                    a, b = max(lo, begin), min(hi, end)
+                    data = data[(a - begin) * stride : (b - begin) * stride]
                     slots = np.arange(a, b, dtype=np.int64)
                     seq = perm.sequence(slots)
                     n = np.minimum(p.length, n_tokens - seq * p.length)
@@ -205,5 +218,5 @@ def read_slots(spark: SparkSession, made: Materialised, first: int = 0, last: in
                     )
 
     index = made.shards.where((F.col("first_slot") < last) & (F.col("first_slot") + F.col("n_slots") > first))
-    index = index.select("shard", "first_slot", "n_slots").repartition(max(1, min(256, -(-n_slots // p.per_shard))), "shard")
+    index = index.select("shard", "first_slot", "n_slots", "crc32").repartition(max(1, min(256, -(-n_slots // p.per_shard))), "shard")
     return index.mapInArrow(run, "slot long, sequence_id long, shard long, byte_offset long, n_tokens long, ids binary")

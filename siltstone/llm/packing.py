@@ -161,8 +161,10 @@ def pack(
     """Pieces of documents in packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Sequences are filled from offset 0 without gaps; only the last may be short. A null text is empty and
-    gives the end id alone; a null source is a queue of its own; repeated rows and equal ids are
-    documents of their own. An empty table gives no pieces.
+    gives the end id alone; a very long text is cut over many sequences; a null source is a queue of its own;
+    repeated rows and equal ids are documents of their own; other columns are not read. An empty table gives
+    no pieces. `mixture` gives sources their share of every window, for as long as they last; the sources it
+    leaves out, and what is left of the others, follow.
     """
     tokens = token_table(docs, doc_id, text, source, params.tokenizer)
     based, totals = with_base(tokens.df, ["queue", "block"])

@@ -39,6 +39,8 @@ class CachedEncoder:
         path = name if os.path.isabs(name) else public_tokenizers.path(f"{name}.tiktoken")
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if len(ranks) >= 1 << 16:
+            raise ValueError(f"{name} has {len(ranks)} tokens: ids of 16 bits hold 65,535 and the end of a text")
         self.encoding = tiktoken.Encoding(
             "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)}
         )
@@ -133,8 +135,6 @@ def token_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
     A queue is a source (null: the empty name).
     """
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     queue = F.coalesce(F.col(source).cast("string"), F.lit(""))
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), queue.alias("queue"), F.col(text).cast("string").alias("text"))
     made = picked.mapInArrow(_encode_blocks(tokenizer), _SCHEMA)

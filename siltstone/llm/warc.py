@@ -116,7 +116,6 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     all other rows refer to it. A null page_id is never preferred. An empty table writes nothing.
     """
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     payload = F.coalesce(F.col(html).cast("binary"), F.lit("").cast("binary"))
     p = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("html")

@@ -108,3 +108,32 @@ def test_shards_round_trip_and_resume(spark):
 
 def test_empty_input_gives_no_slots(spark):
     assert read_slots(spark, materialise(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_a_damaged_shard_raises(spark):
+    import pytest
+
+    df = spark.createDataFrame([(i, f"text number {i} of some", "s") for i in range(400)], "doc_id long, text string, source string")
+    made = materialise(df, params=OrderParams(length=16, per_shard=40, checked=7, tasks=2))
+    slots = {r.slot for r in read_slots(spark, made).collect()}
+    assert slots == set(range(made.n_slots)) and made.shards.count() > 2
+    path = sorted(__import__("pathlib").Path(made.folder.removeprefix("file:")).glob("shard-*.bin"))[1]
+    data = bytearray(path.read_bytes())
+    data[33] ^= 1
+    path.write_bytes(bytes(data))
+    assert {r.slot for r in read_slots(spark, made, 80, 90).collect()} == set(range(80, 90))
+    with pytest.raises(Exception, match="check sum"):
+        read_slots(spark, made).collect()
+
+
+def test_windows_hold_a_given_mixture_while_sources_last(spark):
+    from siltstone.llm.packing import pack
+
+    rows = [(i, "word " * 300, "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: s for i, _, s in rows}
+    got = {}
+    for r in pack(df, mixture={"a": 0.75, "b": 0.25}).collect():
+        got.setdefault(r.sequence_id, {}).setdefault(source[r.doc_id], []).append(r.length)
+    first = [got[k] for k in range(len(got) // 2)]
+    assert all(abs(sum(x["a"]) / 2048 - 0.75) <= 256 / 2048 for x in first)
