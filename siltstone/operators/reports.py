@@ -64,13 +64,23 @@ def funnel(events: DataFrame, entity: str, stage: str, stages: Sequence[str]) ->
     return rows.withColumn("conversion", F.when(before > 0, F.floor(F.col("n") * 1000 / before + 0.5) / 10))
 
 
-def rule_support(rules: DataFrame, rows: DataFrame, text: str, positive: str, pattern: str = "pattern") -> DataFrame:
-    """How many positive and negative rows each candidate pattern finds. rules is a small configuration table."""
-    from siltstone.operators.joins import small
+def rule_support(rules: DataFrame, rows: DataFrame, text: str, positive: str, pattern: str = "pattern", at_once: int = 200) -> DataFrame:
+    """How many positive and negative rows each candidate pattern finds.
 
-    hits = rows.join(small(rules), F.expr(f"`{text}` rlike `{pattern}`"))
-    found = hits.groupBy(pattern).agg(count_if(F.col(positive)).alias("positives"), count_if(~F.col(positive)).alias("negatives"))
-    return rules.join(found, pattern, "left").na.fill(0, ["positives", "negatives"])
+    rules is a configuration table; its patterns become constants, `at_once` of them counted in one aggregate
+    over the rows, so each is compiled once and no pair of a row and a rule is formed.
+    """
+    found, known = None, sorted({r[0] for r in rules.select(pattern).where(F.col(pattern).isNotNull()).collect()})
+    for a in range(0, len(known), at_once):
+        part = known[a : a + at_once]
+        hits = [(p, F.col(text).rlike(p)) for p in part]
+        counts = rows.agg(*[c.alias(f"{k}{i}") for i, (_, hit) in enumerate(hits) for k, c in (("p", count_if(hit & F.col(positive))), ("n", count_if(hit & ~F.col(positive))))])
+        each = F.array(*[F.struct(F.lit(p).alias(pattern), F.col(f"p{i}").alias("positives"), F.col(f"n{i}").alias("negatives")) for i, p in enumerate(part)])
+        one = counts.select(F.inline(each))
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return rules.select(pattern, F.lit(0).cast("bigint").alias("positives"), F.lit(0).cast("bigint").alias("negatives"))
+    return rules.join(F.broadcast(found), pattern, "left").na.fill(0, ["positives", "negatives"])  # a row per rule
 
 
 # Points of evidence classes in the fit score.

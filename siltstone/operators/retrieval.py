@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import fnv1a
+from siltstone.operators.joins import small
 
 # Words that carry no evidence.
 STOP_WORDS = (
@@ -60,44 +62,92 @@ def ochiai(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))).otherwise(0.0)
 
 
-def bm25_index(docs: DataFrame, doc_id: str, toks: str) -> DataFrame:
-    """One row per document and term: doc_id, term, tf, dl, df, n_docs, avgdl. Statistics cover all documents."""
-    sized = docs.select(doc_id, F.col(toks).alias("__t"), F.size(toks).alias("dl"))
-    stats = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = sized.select(doc_id, "dl", F.explode("__t").alias("term")).groupBy(doc_id, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return tf.join(df, "term").crossJoin(F.broadcast(stats))
+def bm25_index(docs: DataFrame, doc_id: str, toks: str, vocabulary: DataFrame, term: str = "term") -> DataFrame:
+    """doc_id, term, tf, dl, df, n_docs, avgdl for the terms of `vocabulary`. Statistics cover all documents.
 
-
-def bm25(queries: DataFrame, query_id: str, toks: str, index: DataFrame, doc_id: str) -> DataFrame:
+    The vocabulary is joined before anything is shuffled, and all other words of a document become one count,
+    so a document takes at most as many rows as it has known terms, and one.
+    """
+    known = small(vocabulary.select(F.col(term).alias("term")).distinct())
+    words = docs.select(doc_id, F.explode_outer(toks).alias("__w"))
+    counts = words.join(known, F.col("__w") == F.col("term"), "left").groupBy(doc_id, "term").agg(F.count("__w").alias("tf"))
+    sized = counts.withColumn("dl", F.sum("tf").over(W.partitionBy(doc_id)))
+    lengths = counts.groupBy(doc_id).agg(F.sum("tf").alias("dl"))
+    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    tf = sized.where("term is not null")
+    df = counts.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    return tf.join(df, "term").crossJoin(F.broadcast(stats))  # a single row
+
+
+def bm25(queries: DataFrame, query_id: str, toks: str, docs: DataFrame, doc_id: str, doc_toks: str) -> DataFrame:
     """A term join, then one sum per (query, document). Repeated query terms count repeatedly."""
     q = queries.select(query_id, F.explode(toks).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
+    index = bm25_index(docs, doc_id, doc_toks, q)
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qf") * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))
-    return q.join(index, "term").groupBy(query_id, doc_id).agg(F.sum(part).alias("bm25"))
-
-
-def hashed_vector(docs: DataFrame, doc_id: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """R5 as sparse rows: doc_id, bucket, w. Tokens and character trigrams; the hash's low bit is the sign; unit length."""
-    chars = docs.select(doc_id, F.split(normalized(F.col(text)), "").alias("__c"), tokens(F.col(text)).alias("__t"))
-    three = F.transform("__c", lambda x, i: F.concat(x, F.get(F.col("__c"), i + 1), F.get(F.col("__c"), i + 2)))  # null at the end
-    features = chars.select(doc_id, F.explode(F.concat("__t", F.filter(three, lambda x: x.isNotNull()))).alias("f")).groupBy(doc_id, "f").agg(F.count("*").alias("n"))
-    hashed = features.withColumn("h", fnv1a(F.col("f")))
-    sign = F.when(F.col("h") % 2 == 0, 1).otherwise(-1)
-    raw = hashed.groupBy(doc_id, (F.col("h") % dimensions).alias("bucket")).agg(F.sum(sign * F.col("n")).cast("double").alias("w")).where("w <> 0")
-    norm = raw.groupBy(F.col(doc_id).alias("__d")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, F.col(doc_id) == F.col("__d")).select(doc_id, "bucket", (F.col("w") / F.col("norm")).alias("w"))
+    return small(q).join(index, "term").groupBy(query_id, doc_id).agg(F.sum(part).alias("bm25"))
 
 
-def sparse_cosine(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
-    """R6 over sparse rows: a join on the bucket and a sum, clamped at 0."""
-    x, y = a.select(a_id, "bucket", F.col("w").alias("wa")), b.select(b_id, "bucket", F.col("w").alias("wb"))
-    return x.join(y, "bucket").groupBy(a_id, b_id).agg(F.greatest(F.lit(0.0), F.sum(F.col("wa") * F.col("wb"))).alias("cosine"))
+def similar_sets(a: DataFrame, b: DataFrame, a_id: str, b_id: str, toks: str, at_least: float) -> DataFrame:
+    """R4 as a join: a_id, b_id, similarity (Ochiai) of the pairs that reach `at_least`, which is above 0.
 
-
-def dense_cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.greatest(F.lit(0.0), dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)))
+    Of two sets that reach it the smaller has at least the square of it times the larger's size, so sets far
+    too large are left out before they are spread, and pairs too unequal before they are counted.
+    """
+    ratio = at_least * at_least
+    sized = lambda df, key, n: df.select(key, F.array_distinct(toks).alias("__t")).select(key, F.size("__t").alias(n), "__t").where(F.col(n) > 0)
+    left, right = sized(a, a_id, "na"), sized(b, b_id, "nb")
+    span = F.broadcast(left.agg(F.min("na").alias("__low"), F.max("na").alias("__high")))  # a single row
+    right = right.join(span, (F.col("nb") >= F.col("__low") * ratio) & (F.col("nb") <= F.col("__high") / ratio)).drop("__low", "__high")
+    x = small(left.select(a_id, "na", F.explode("__t").alias("__w")))
+    y = right.select(b_id, "nb", F.explode("__t").alias("__w"))
+    near = (F.col("na") >= F.col("nb") * ratio) & (F.col("nb") >= F.col("na") * ratio)
+    k = y.join(x, "__w").where(near).groupBy(a_id, b_id, "na", "nb").agg(F.count("*").alias("k"))
+    similarity = F.col("k") / F.sqrt(F.col("na") * F.col("nb"))
+    return k.where(similarity >= at_least).select(a_id, b_id, similarity.alias("similarity"))
+
+
+_FNV_START, _FNV_PRIME, _LOW32 = np.uint64(2166136261), np.uint64(16777619), np.uint64(0xFFFFFFFF)
+
+
+def _fnv_rows(points: np.ndarray) -> np.ndarray:
+    """FNV-1a of each row of code points."""
+    h = np.full(len(points), _FNV_START)
+    for column in points.T:
+        h = ((h ^ column) * _FNV_PRIME) & _LOW32
+    return h
+
+
+def _hash_features(dimensions: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                out = np.zeros((batch.num_rows, dimensions))
+                for i, (text, toks) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+                    three = np.lib.stride_tricks.sliding_window_view(points, 3) if len(points) >= 3 else np.empty((0, 3), dtype=np.uint64)
+                    if len(known) > 200_000:
+                        known.clear()
+                    for w in set(toks).difference(known):
+                        known[w] = int(_fnv_rows(np.frombuffer(w.encode("utf-32-le"), dtype="<u4").astype(np.uint64)[None, :])[0])
+                    h = np.concatenate([_fnv_rows(three), np.array([known[w] for w in toks], dtype=np.uint64)])
+                    sign = np.where(h % np.uint64(2) == 0, 1.0, -1.0)
+                    out[i] = np.bincount((h % np.uint64(dimensions)).astype(np.int64), weights=sign, minlength=dimensions)
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), dimensions).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["id", "vector"])
+
+    return run
+
+
+def hashed_vectors(docs: DataFrame, doc_id: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """doc_id (an integer), vector. Tokens and character trigrams of a whole text, hashed into signed buckets; the hash's low bit is the sign.
+
+    A document's features stay within its row: nothing is shuffled. Vectors are not yet of unit length.
+    """
+    lean = docs.select(F.col(doc_id).cast("long").alias("id"), normalized(F.col(text)).alias("__s"), tokens(F.col(text)).alias("__t"))
+    return lean.mapInArrow(_hash_features(dimensions), "id long, vector array<double>").withColumnRenamed("id", doc_id)
 
 
 def two_hops(starts: DataFrame, edges: DataFrame, query_id: str = "query_id") -> DataFrame:

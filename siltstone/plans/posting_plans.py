@@ -93,7 +93,7 @@ def structured_evidence(spark, d):
 
 
 @REG.add("""
-    WITH r AS (SELECT DISTINCT l_partkey % 30 AS src, l_suppkey % 30 AS dst, CASE WHEN l_orderkey % 7 = 0 THEN 'transferable_to' WHEN l_orderkey % 7 = 1 THEN 'related_only' ELSE 'evidence_for' END AS type FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 40 = 0),
+    WITH r AS (SELECT DISTINCT l_partkey % 30 AS src, l_suppkey % 30 AS dst, CASE WHEN l_orderkey % 7 = 0 THEN 'transferable_to' WHEN l_orderkey % 7 = 1 THEN 'related_only' ELSE 'evidence_for' END AS type FROM lineitem),
     d AS (SELECT src, dst, min(type) AS type FROM r GROUP BY 1, 2), u AS (SELECT * FROM r WHERE type <> 'related_only'),
     h AS (SELECT a.src, b.dst, max(CASE WHEN a.type = 'transferable_to' OR b.type = 'transferable_to' THEN 0.7 ELSE 0.86 END)::DOUBLE AS two FROM u a JOIN u b ON a.dst = b.src GROUP BY 1, 2),
     p AS (SELECT x.n_nationkey AS src, y.n_nationkey AS dst FROM nation x, nation y)
@@ -103,7 +103,7 @@ def structured_evidence(spark, d):
 def ontology_paths(spark, d):
     """Direct relation, else two hops, over a small ontology made from lineitem."""
     kind = F.when(F.col("l_orderkey") % 7 == 0, "transferable_to").when(F.col("l_orderkey") % 7 == 1, "related_only").otherwise("evidence_for")
-    r = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 40 = 0").select((F.col("l_partkey") % 30).alias("src"), (F.col("l_suppkey") % 30).alias("dst"), kind.alias("type")).distinct()
+    r = table(spark, d, "lineitem").select((F.col("l_partkey") % 30).alias("src"), (F.col("l_suppkey") % 30).alias("dst"), kind.alias("type")).distinct()
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"))
     pairs = n.select(F.col("k").alias("src")).crossJoin(F.broadcast(n.select(F.col("k").alias("dst"))))  # concepts of a fixed vocabulary
     return P.relations(r, pairs)

@@ -223,13 +223,12 @@ def region_state_counts(spark, d):
     return g.agg(n_rows(), reports.count_if(F.col("c_acctbal") < 0).alias("failed"))
 
 
-@REG.add("SELECT source, lang, n FROM (SELECT source FROM (SELECT DISTINCT source FROM documents)) JOIN (SELECT DISTINCT lang FROM documents) ON true LEFT JOIN (SELECT source AS s, lang AS l, count(*) AS n FROM documents WHERE n_chars > 20000 GROUP BY 1, 2) ON s = source AND l = lang WHERE n IS NOT NULL OR true")
+@REG.add("SELECT s.source, count(doc_id) AS n FROM (SELECT DISTINCT source FROM documents UNION SELECT 'manual') s LEFT JOIN documents d ON d.source = s.source GROUP BY 1")
 def source_counts(spark, d):
-    """A2, A5: counts per (source, language) with nulls where a known pair has no long text."""
-    t = table(spark, d, "documents")
-    grid = t.select("source").distinct().crossJoin(F.broadcast(t.select("lang").distinct()))  # dimension tables: sources by languages
-    counts = t.where("n_chars > 20000").groupBy("source", "lang").agg(n_rows())
-    return grid.join(counts, ["source", "lang"], "left")
+    """A2, A5: rows per source, with zero for a known source without rows."""
+    t = table(spark, d, "documents").select("source")
+    known = t.distinct().unionByName(spark.createDataFrame([("manual",)], "source string"))
+    return reports.counts_with_zero(t, "source", known)
 
 
 @REG.add("""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import reports
 from siltstone.operators import retrieval as R
+from siltstone.operators.nearest import nearest
 from siltstone.plans.registry import Registry, table
 
 REG = Registry()
@@ -42,7 +43,7 @@ _BM25 = f"""
 def _bm25(spark, d):
     docs = table(spark, d, "documents").select("doc_id", R.tokens(F.col("text")).alias("t"))
     items = table(spark, d, "benchmark").select("item_id", R.tokens(F.col("text")).alias("t"))
-    return R.bm25(items, "item_id", "t", R.bm25_index(docs, "doc_id", "t"), "doc_id")
+    return R.bm25(items, "item_id", "t", docs, "doc_id", "t")
 
 
 @REG.add(f"""
@@ -71,11 +72,10 @@ _VEC = lambda t, k: f"""
     SELECT item_id, doc_id, cosine FROM (SELECT *, rank() OVER (PARTITION BY item_id ORDER BY cosine DESC) AS k FROM s) WHERE k <= 8
 """)
 def hashed_cosine(spark, d):
-    """Whole texts as hashed vectors, a bucket join, the eight best per item."""
-    docs = R.hashed_vector(table(spark, d, "documents"), "doc_id", "text")
-    items = R.hashed_vector(table(spark, d, "benchmark"), "item_id", "text")
-    s = R.sparse_cosine(items, docs, "item_id", "doc_id").withColumn("cosine", F.round("cosine", 6))
-    return reports.top_with_ties(s, "item_id", "cosine", 8)
+    """Whole texts as hashed vectors, the eight nearest documents of each item with their ties."""
+    docs = R.hashed_vectors(table(spark, d, "documents"), "doc_id", "text")
+    items = R.hashed_vectors(table(spark, d, "benchmark"), "item_id", "text")
+    return nearest(items, docs, "item_id", "doc_id", "vector", "vector", 8, ties=True)
 
 
 _DOT = lambda x, y: f"list_sum(list_transform(list_zip({x}, {y}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
@@ -89,10 +89,8 @@ _DOT = lambda x, y: f"list_sum(list_transform(list_zip({x}, {y}), lambda p: p[1]
 def vector_topk(spark, d):
     """A stated query set (ids divisible by 20) against all vectors, five nearest each."""
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
-    s = v.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(R.dense_cosine(F.col("e"), F.col("embedding")), 6).alias("cosine"))
-    k = F.row_number().over(W.partitionBy("q").orderBy(F.desc("cosine"), "vec_id"))
-    return s.withColumn("k", k).where("k <= 5").drop("k")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    return nearest(q, v, "q", "vec_id", "embedding", "embedding", 5, others=True)
 
 
 @REG.add(f"""
@@ -102,12 +100,10 @@ def vector_topk(spark, d):
     SELECT item_id, doc_id, round(k / sqrt(na.n * nb.n), 6) AS similarity FROM s JOIN na USING (item_id) JOIN nb USING (doc_id) WHERE k / sqrt(na.n * nb.n) >= 0.35
 """)
 def set_similarity(spark, d):
-    """A term join counts the overlaps; no pair without a common term is formed."""
-    a = table(spark, d, "benchmark").select("item_id", F.array_distinct(R.tokens(F.col("text"))).alias("t")).select("item_id", F.size("t").alias("na"), F.explode("t").alias("term"))
-    b = table(spark, d, "documents").select("doc_id", F.array_distinct(R.tokens(F.col("text"))).alias("t")).select("doc_id", F.size("t").alias("nb"), F.explode("t").alias("term"))
-    s = a.join(b, "term").groupBy("item_id", "doc_id", "na", "nb").agg(F.count("*").alias("k"))
-    similarity = F.col("k") / F.sqrt(F.col("na") * F.col("nb"))
-    return s.where(similarity >= 0.35).select("item_id", "doc_id", F.round(similarity, 6).alias("similarity"))
+    """A term join counts the overlaps; no pair without a common term or of sizes too far apart is counted."""
+    a = table(spark, d, "benchmark").select("item_id", R.tokens(F.col("text")).alias("t"))
+    b = table(spark, d, "documents").select("doc_id", R.tokens(F.col("text")).alias("t"))
+    return R.similar_sets(a, b, "item_id", "doc_id", "t", 0.35).withColumn("similarity", F.round("similarity", 6))
 
 
 _EDGES = "SELECT DISTINCT 'p' || (l_partkey % 40) AS src, 's' || (l_suppkey % 25) AS dst, CASE l_partkey % 3 WHEN 0 THEN 'adjacent_concept' WHEN 1 THEN 'functional_equivalent' ELSE 'method_of' END AS type, (l_suppkey % 5) / 10 AS weight, l_suppkey % 25 AS fact FROM lineitem"
