@@ -12,6 +12,7 @@ from siltstone.functions.text import squeeze
 # Query keys that each flavour drops.
 MERGE_KEYS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gh_src", "source", "ref")
 AGGREGATOR_KEYS = (*MERGE_KEYS, "gh_jid", "trk", "refid")
+CHINA_KEYS = ("from", "ka", "ref", "referrer", "source", "src", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 IDENTITY_KEYS = (
     "source", "src", "ref", "referrer", "gh_src", "utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term",
     "trk", "trackingid", "from", "fromsearch",
@@ -22,6 +23,9 @@ ID_KEYS = (
 )
 # Fixed value: a fragment that holds a posting's id.
 JOB_FRAGMENT = r"(?i)(?:job|position|posting|opening|vacancy|requisition|req|jid|id)[=/:_-]"
+# Words that are no id, and the form of a long id.
+PLAIN_WORD = "^(?:jobs?|careers?|search|apply|details?|view|openings?)$"
+UUID = "^[0-9a-f]{8}-[0-9a-f-]{20,}$"
 # Path forms that hold a posting's id, in the order in which they are tried.
 ID_PATHS = (
     r"(?i)/(?:jobs?|positions?|postings?|openings?|vacancies?)/(?:[^/?#]+/)*([a-z]*\d[a-z0-9_-]{2,}|[0-9a-f]{8}-[0-9a-f-]{20,})/?$",
@@ -43,6 +47,8 @@ MERGE = Flavour(MERGE_KEYS)
 AGGREGATOR = Flavour(AGGREGATOR_KEYS)
 METRICS = Flavour((), keep_query=False)
 IDENTITY = Flavour(IDENTITY_KEYS, job_fragment=True)
+CHINA = Flavour(CHINA_KEYS)
+SYNTHETIC_FRAGMENT = r"(?i)#posting-.*$"  # what `operators.postings.distinct_url` appends
 
 
 def host(url: Column) -> Column:
@@ -71,13 +77,22 @@ def canonical_url(url: Column, flavour: Flavour = MERGE) -> Column:
     return F.when(u.rlike(_PARTS), out).otherwise(u)
 
 
+def snapshot_url(url: Column) -> Column:
+    """P2d: the China flavour; an empty value stays empty, other text that is no URL comes back squeezed."""
+    return F.when(squeeze(url) == "", F.lit("")).otherwise(canonical_url(url, CHINA))
+
+
+def base_page_url(url: Column) -> Column:
+    """P2g: the identity flavour without a fragment that the engine itself appended."""
+    return canonical_url(F.regexp_replace(url, SYNTHETIC_FRAGMENT, ""), IDENTITY)
+
+
 def identifier(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[^a-z0-9_-]+", "")
 
 
 def looks_stable(c: Column) -> Column:
-    word = c.rlike("^(?:jobs?|careers?|search|apply|details?|view|openings?)$")
-    return F.length(c).between(3, 160) & ~word & (c.rlike("[0-9]") | c.rlike("^[0-9a-f]{8}-[0-9a-f-]{20,}$"))
+    return F.length(c).between(3, 160) & ~c.rlike(PLAIN_WORD) & (c.rlike("[0-9]") | c.rlike(UUID))
 
 
 def stable_id(url: Column, supplied: Column | None = None) -> Column:

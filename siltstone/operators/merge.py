@@ -1,4 +1,4 @@
-"""Ordered fold-merge, upserts, snapshot comparison, retention and enrichment (D3, D4, K5, K6, J18, X2, X3, part of C5, A1)."""
+"""Ordered fold-merge, upserts, snapshot comparison, retention and enrichment."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions.rules import Rule, all_matches
+from siltstone.functions.text import identity_text, is_placeholder_title, section
+from siltstone.functions.urls import base_page_url
+
 
 def fold_merge(df: DataFrame, keys: Sequence[str], ordinal: str, quality: Sequence[str], overlay: Sequence[str], unions: Sequence[str] = (), maxima: Sequence[str] = ()) -> DataFrame:
     """D3: fold the rows of a key in order. The row of the strictly better quality tuple is the base of the
@@ -102,8 +106,17 @@ EXPERIENCE = r"(^|[^a-z0-9])[0-9]+\+?\s*(years?|yrs?)([^a-z0-9]|$)|年.{0,8}经
 SHORTENERS = r"bit\.ly|tinyurl|forms\.gle|goo\.gl"
 
 
-def enrich(df: DataFrame, description: str, url: str, status: str, score: str, open_status: Sequence[str], repost: Column) -> DataFrame:
-    """C5 without required and preferred skills: missing evidence costs 4 points each from the score before it; legitimacy is 100 less 18 per flag."""
+REQUIRED_SKILLS = r"(?:required|minimum|basic)\s+(?:skills|qualifications|requirements)"
+PREFERRED_SKILLS = r"(?:preferred|desired|nice.to.have)\s+(?:skills|qualifications|requirements)"
+AFTER_SKILLS = r"(?:responsibilities|benefits|compensation|about us)"
+
+
+def enrich(df: DataFrame, description: str, url: str, status: str, score: str, open_status: Sequence[str], repost: Column, skills: Sequence[Rule] = ()) -> DataFrame:
+    """Missing evidence costs 4 points each from the score before it; legitimacy is 100 less 18 per flag.
+
+    Required and preferred skills are what the skill rules find in the two sections of the description.
+    """
+    tagged = lambda start, stop: all_matches(section(F.col(description), start, stop), skills) if skills else F.array().cast("array<string>")
     d = F.lower(F.coalesce(F.col(description), F.lit("")))
     missing = F.filter(
         F.array(
@@ -122,7 +135,8 @@ def enrich(df: DataFrame, description: str, url: str, status: str, score: str, o
         ),
         lambda x: x.isNotNull(),
     )
-    return df.withColumns({"evidence_missing": missing, "legitimacy_flags": flags}).withColumns(
+    found = {"required_skills": tagged(REQUIRED_SKILLS, PREFERRED_SKILLS), "preferred_skills": tagged(PREFERRED_SKILLS, AFTER_SKILLS)}
+    return df.withColumns({"evidence_missing": missing, "legitimacy_flags": flags, **found}).withColumns(
         {
             "score_after": F.greatest(F.lit(0), F.col(score) - 4 * F.size("evidence_missing")),
             "legitimacy_score": F.greatest(F.lit(0), 100 - 18 * F.size("legitimacy_flags")),
@@ -155,3 +169,80 @@ def split_batches(df: DataFrame, ordinal: str, payload: str, most_rows: int, mos
     lean = df.select(F.col(ordinal).cast("long").alias("__o"), F.octet_length(payload).cast("long").alias("n")).repartitionByRange(1, "__o").sortWithinPartitions("__o")
     filled = lean.mapInArrow(fill, "__o long, batch long")
     return df.join(filled, F.col(ordinal) == F.col("__o")).drop("__o")
+
+
+# How a captured page is stored.
+CAPTURED_SOURCE, CAPTURED_STATUS, CAPTURED_SCORE = "bookmark_capture", "已捕获完整JD", 100
+UNKNOWN_COMPANY, NO_VISA, UNCLEAR_VISA, CHINA = "待补充公司", "不适用", "JD 未明确", "中国"
+
+
+def capture_upsert(stored: DataFrame, captured: DataFrame, key: str = "job_url") -> DataFrame:
+    """K7: a captured page over its stored posting. Both have key, company, title, location, region, visa, score, description, skills (array), application_id.
+
+    A placeholder company or title keeps the stored one, a shorter description too, and so do an empty location,
+    empty skills and an empty id; the score is 100 at least. `change` tells inserted, updated and kept rows.
+    """
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    only_new, only_old = a(key).isNull(), b(key).isNull()
+    keep = {
+        "company": b("company") == UNKNOWN_COMPANY,
+        "title": is_placeholder_title(b("title")),
+        "location": text(b("location")) == "",
+        "description": F.length(text(b("description"))) < F.length(text(a("description"))),
+        "skills": F.size(F.coalesce(b("skills"), F.array().cast("array<string>"))) == 0,
+        "application_id": text(b("application_id")) == "",
+    }
+    merged = [F.when(only_old | (~only_new & F.coalesce(test, F.lit(False))), a(c)).otherwise(b(c)).alias(c) for c, test in keep.items()]
+    visa = F.when(b("region") == CHINA, NO_VISA).otherwise(F.coalesce(F.nullif(a("visa"), F.lit("")), F.lit(UNCLEAR_VISA)))
+    score = F.when(only_old, a("score")).otherwise(F.greatest(F.coalesce(a("score"), F.lit(0)), F.lit(CAPTURED_SCORE)))
+    change = F.when(only_new, "inserted").when(only_old, "kept").otherwise("updated")
+    joined = stored.alias("a").join(captured.alias("b"), a(key) == b(key), "full_outer")
+    return joined.select(F.coalesce(a(key), b(key)).alias(key), *merged, F.coalesce(b("region"), a("region")).alias("region"), F.when(only_old, a("visa")).otherwise(visa).alias("visa"), score.alias("score"), change.alias("change"))
+
+
+def compare_and_set(rows: DataFrame, requests: DataFrame, key: str, state: str, expected: str, new: str) -> DataFrame:
+    """K9: rows that a request names and whose state is the expected one change it; `changed` tells which. Of several requests for a row one counts."""
+    asked = requests.select(key).distinct().withColumn("__asked", F.lit(True))
+    changed = F.coalesce(F.col("__asked"), F.lit(False)) & F.coalesce(F.col(state) == expected, F.lit(False))
+    return rows.join(asked, key, "left").withColumn("changed", changed).withColumn(state, F.when(F.col("changed"), new).otherwise(F.col(state))).drop("__asked")
+
+
+# Statuses that count as verified, and how many skills are kept.
+VERIFIED = ("开放", "已核验", "已捕获完整JD", "open")
+MOST_SKILLS = 12
+
+
+def china_merge(df: DataFrame, ordinal: str) -> DataFrame:
+    """`fold_merge` by the URL, else the job key, else company, title and location; quality is verified, description length, score.
+
+    df: canonical_url, job_url, job_key, company, title, location, description, status, score, source, skills.
+    `sources` is sorted, `skills` keep their first-seen order, twelve at most.
+    """
+    text = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    named = F.concat_ws("::", *[F.coalesce(F.col(c), F.lit("")) for c in ("company", "title", "location")])
+    keyed = df.withColumns(
+        {
+            "identity": F.lower(F.trim(F.coalesce(text("canonical_url"), text("job_url"), text("job_key"), named))),
+            "verified": F.coalesce(F.col("status").isin(*VERIFIED), F.lit(False)).cast("int"),
+            "described": F.length(F.coalesce(F.col("description"), F.lit(""))),
+            "rank_score": F.coalesce(F.col("score"), F.lit(0)),
+            "sources": F.filter(F.array(F.trim(F.coalesce(F.col("source"), F.lit("")))), lambda x: x != ""),
+        }
+    )
+    out = fold_merge(keyed, ["identity"], ordinal, ["verified", "described", "rank_score"], ["company", "title", "location", "description", "status"], ["sources", "skills"], ["score"])
+    skills = F.filter(F.transform("skills", lambda x: F.trim(x)), lambda x: x != "")
+    return out.select("identity", "company", "title", "location", "description", "status", "score", F.sort_array("sources").alias("sources"), F.slice(F.array_distinct(skills), 1, MOST_SKILLS).alias("skills"), "n_merged")
+
+
+def adopt_legacy(stored: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+    """Incoming rows with an id and a placeholder title, and the stored row without an id that they take over; the first in `order`.
+
+    Both: id, company, title, job_url, application_id. A row is adopted if company, title and page agree.
+    """
+    keys = lambda df: (identity_text(F.col("company")), identity_text(F.col("title")), base_page_url(F.col("job_url")))
+    old = stored.where(F.coalesce(F.col("application_id"), F.lit("")) == "").select(*[k.alias(f"__k{i}") for i, k in enumerate(keys(stored))], F.col("id").alias("adopted"), F.col(order).alias("__o"))
+    old = old.groupBy("__k0", "__k1", "__k2").agg(F.min_by("adopted", "__o").alias("adopted"))
+    new = incoming.where((F.coalesce(F.col("application_id"), F.lit("")) != "") & is_placeholder_title(F.col("title")))
+    new = new.select("id", "application_id", *[k.alias(f"__k{i}") for i, k in enumerate(keys(incoming))])
+    return new.join(old, ["__k0", "__k1", "__k2"]).select("id", "application_id", "adopted")

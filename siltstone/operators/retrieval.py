@@ -1,8 +1,8 @@
-"""Lexical, hashed-vector and graph retrieval with a graded verification."""
+"""Lexical, hashed-vector and graph retrieval with a graded verification."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -212,9 +212,3 @@ def classify(c: dict[str, Column]) -> Column:
 def recommended(label: Column, status: Column) -> Column:
     open_ended = status.isin("planned", "in_progress")
     return F.when(label == "Direct", F.when(open_ended, "conditional").otherwise("yes")).when(label == "Strong Transferable", "conditional").otherwise("no")
-
-
-def layered_score(layers: Sequence[tuple[Column, Column, float]], strong: Column) -> Column:
-    """Per layer at most two overlapping values count, times the layer's weight; the sum times the strength."""
-    total = sum((F.least(F.lit(2), F.size(F.array_intersect(a, b))) * w for a, b, w in layers), F.lit(0.0))
-    return total * strong
