@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import match_plans, posting_plans, relational_plans, retrieval_plans, screen_plans, text_plans
+from siltstone.plans import match_plans, posting_plans, relational_plans, retrieval_plans, screen_plans, source_plans, text_plans
 
-_MODULES = (text_plans, relational_plans, retrieval_plans, posting_plans, screen_plans, match_plans)
+_MODULES = (text_plans, relational_plans, retrieval_plans, posting_plans, screen_plans, match_plans, source_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

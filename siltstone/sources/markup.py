@@ -198,11 +198,15 @@ def redirect_target(s):
     return s.map(one)
 
 
+def _behind_first(parts):
+    return F.filter(parts, lambda x, i: i > 0)
+
+
 def latex_sections(text: str):
     """array<struct<name, body>> of the sections of a LaTeX text; bullets are split by `latex_items`."""
-    parts = F.slice(F.split(F.col(text), r"\\section\*?\{"), 2, 10_000)
+    parts = _behind_first(F.split(F.col(text), r"\\section\*?\{"))
     return F.transform(parts, lambda p: F.struct(F.substring_index(p, "}", 1).alias("name"), F.regexp_replace(p, r"(?s)^[^}]*\}", "").alias("body")))
 
 
 def latex_items(body):
-    return F.filter(F.transform(F.slice(F.split(body, r"\\item\b"), 2, 10_000), lambda x: F.trim(F.regexp_replace(x, r"(?s)\\end\{itemize\}.*", ""))), lambda x: x != "")
+    return F.filter(F.transform(_behind_first(F.split(body, r"\\item\b")), lambda x: F.trim(F.regexp_replace(x, r"(?s)\\end\{itemize\}.*", ""))), lambda x: x != "")
