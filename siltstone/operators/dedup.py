@@ -1,4 +1,4 @@
-"""Deduplication and posting identity.
+"""Deduplication and posting identity.
 
 Keep-one operators sort by an explicit ordinal, so results do not depend on partitioning.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
 from siltstone.graph import connected_components
+from siltstone.store import Table
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -85,15 +86,18 @@ def same_posting(a: str, b: str, displayed: bool = False) -> Column:
 
 
 def same_posting_pairs(df: DataFrame, id_col: str = "id", displayed: bool = False) -> DataFrame:
-    """All pairs (a < b) of one posting: three equi-joins on blocks instead of a nested loop.
+    """All pairs (a < b) of one posting: equi-joins on blocks instead of a nested loop.
 
-    Every pair that the predicate accepts shares a stable id, a URL with its title, or company with title.
+    Every pair that the predicate accepts shares a stable id, or a URL with its title, or has no stable ids and
+    shares company with title; a displayed pair may instead share company, title and place. The result, and the
+    work within a block, is quadratic in the number of postings of one company and title without stable ids.
     """
     k = with_identity(df).select(F.col(id_col).alias("id"), *_KEYED)
     blocks = F.array(
         F.when(F.col("k_stable") != "", F.concat(F.lit("i:"), "k_stable")),
         F.when(F.col("k_named") & (F.col("k_url") != ""), F.concat_ws("\u0001", F.lit("u"), "k_url", "k_title")),
-        F.when(F.col("k_named") & (F.col("k_company") != ""), F.concat_ws("\u0001", F.lit("r"), "k_company", "k_title")),
+        F.when(F.col("k_named") & (F.col("k_company") != "") & (F.col("k_stable") == ""), F.concat_ws("\u0001", F.lit("r"), "k_company", "k_title")),
+        F.when(F.lit(displayed) & F.col("k_named") & (F.col("k_company") != ""), F.concat_ws("\u0001", F.lit("p"), "k_company", "k_title", "k_place")),
     )
     keyed = k.withColumn("block", F.explode(F.filter(blocks, lambda x: x.isNotNull())))
     a, b = keyed.alias("a"), keyed.alias("b")
@@ -107,7 +111,7 @@ def greedy_display(df: DataFrame, order: str, rank: str, id_col: str = "id") ->
     The order matters, so each group that pairs connect is folded by itself; rows without a pair are kept
     without leaving the JVM.
     """
-    pairs = same_posting_pairs(df, id_col, displayed=True).persist()
+    pairs = Table(same_posting_pairs(df, id_col, displayed=True), "posting-pairs").df
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy("a").agg(F.collect_set("b").alias("near"))
     group = connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("root"))
@@ -118,7 +122,8 @@ def greedy_display(df: DataFrame, order: str, rank: str, id_col: str = "id") ->
         kept: list[int] = []
         rows = pdf.to_dict("list")
         for i in sorted(range(len(pdf)), key=lambda i: (rows["o"][i], rows["id"][i])):
-            same = next((k for k, j in enumerate(kept) if rows["id"][j] in set(rows["near"][i])), None)
+            near = set(rows["near"][i])
+            same = next((k for k, j in enumerate(kept) if rows["id"][j] in near), None)
             if same is None:
                 kept.append(i)
             elif rows["r"][i] > rows["r"][kept[same]]:
@@ -129,3 +134,9 @@ def greedy_display(df: DataFrame, order: str, rank: str, id_col: str = "id") ->
     alone = keyed.join(near, keyed.id == near.a, "left_anti").select("id")
     winners = alone.unionByName(folded).withColumnRenamed("id", "__id")
     return df.join(winners, F.col(id_col) == F.col("__id"), "left_semi")
+
+
+def display_key(df: DataFrame) -> Column:
+    """The key of a displayed posting: its stable id, else URL with title, else company, title and place; for rows that went through with_identity."""
+    named = F.when(F.col("k_named") & (F.col("k_url") != ""), F.concat_ws("::", F.lit("url"), "k_url", "k_title"))
+    return F.coalesce(F.when(F.col("k_stable") != "", F.concat(F.lit("id::"), "k_stable")), named, F.concat_ws("::", F.lit("role"), "k_company", "k_title", "k_place"))

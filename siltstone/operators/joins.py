@@ -78,3 +78,22 @@ def contains_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
     held = left.withColumn("__g", F.explode(every(x))).join(right.withColumn("__g", one(y)), "__g").where(x.contains(y)).drop("__g")
     holds = left.withColumn("__g", one(x)).join(right.withColumn("__g", F.explode(every(y))), "__g").where(y.contains(x) & ~x.contains(y)).drop("__g")
     return held.unionByName(holds)
+
+
+def saved_flags(jobs: DataFrame, saved: DataFrame, key: str) -> DataFrame:
+    """Each job once, with whether it is saved."""
+    marks = saved.select(key).distinct().withColumn("__s", F.lit(True))
+    return jobs.join(marks, key, "left").withColumn("saved", F.coalesce("__s", F.lit(False))).drop("__s")
+
+
+def alias_lookup(rows: DataFrame, company: Column, pool: DataFrame, pool_company: str, pool_keys: Column, order: str) -> DataFrame:
+    """Rows with `pool_company`, the company of the pool that one of whose keys equals the row's; the first in `order` wins."""
+    keys = pool.select(F.explode(pool_keys).alias("__k"), F.col(pool_company).alias("__c"), F.col(order).alias("__o")).where("__k <> ''")
+    best = keys.groupBy("__k").agg(F.min_by("__c", "__o").alias(pool_company))
+    return rows.withColumn("__a", company).join(best, F.col("__a") == F.col("__k"), "left").drop("__a", "__k")
+
+
+def without_match(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
+    """Left rows whose key the right side lacks; null keys stay."""
+    known = right.select(right_key.alias("__k")).where("__k is not null").distinct()
+    return left.withColumn("__l", left_key).join(known, F.col("__l") == F.col("__k"), "left_anti").drop("__l")

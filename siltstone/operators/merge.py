@@ -166,7 +166,7 @@ def split_batches(df: DataFrame, ordinal: str, payload: str, most_rows: int, mos
                 out.append(batch)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["__o", "batch"])
 
-    lean = df.select(F.col(ordinal).cast("long").alias("__o"), F.octet_length(payload).cast("long").alias("n")).repartitionByRange(1, "__o").sortWithinPartitions("__o")
+    lean = df.select(F.col(ordinal).cast("long").alias("__o"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("n")).repartitionByRange(1, "__o").sortWithinPartitions("__o")
     filled = lean.mapInArrow(fill, "__o long, batch long")
     return df.join(filled, F.col(ordinal) == F.col("__o")).drop("__o")
 

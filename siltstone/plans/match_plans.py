@@ -374,6 +374,30 @@ def same_displayed(spark, d):
     return dedup.same_posting_pairs(_pair_rows(spark, d), displayed=True)
 
 
+@REG.add(f"""
+    WITH RECURSIVE p AS ({_pair_sql(True)}), n AS (SELECT x, list(y) AS near FROM (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p) GROUP BY 1),
+    o AS (SELECT row_number() OVER (ORDER BY id * 7919 % 1009, id) AS i, id, id % 13 AS r, coalesce(near, []) AS near FROM ({_PAIR_ROWS}) LEFT JOIN n ON x = id),
+    s AS (SELECT 0::BIGINT AS i, CAST([] AS STRUCT(id BIGINT, r BIGINT)[]) AS kept UNION ALL
+          SELECT o.i, CASE WHEN coalesce(list_position(list_transform(kept, lambda k: list_contains(near, k.id)), true), 0) = 0 THEN list_append(kept, {{'id': o.id, 'r': o.r}})
+                           WHEN o.r > kept[list_position(list_transform(kept, lambda k: list_contains(near, k.id)), true)].r THEN list_transform(kept, lambda k, j: CASE WHEN j = list_position(list_transform(kept, lambda q: list_contains(near, q.id)), true) THEN {{'id': o.id, 'r': o.r}} ELSE k END)
+                           ELSE kept END FROM s JOIN o ON o.i = s.i + 1)
+    SELECT unnest(kept).id AS id FROM s WHERE i = (SELECT max(i) FROM o)
+""")
+def greedy_postings(spark, d):
+    """The sequential rule, against a recursive query."""
+    rows = _pair_rows(spark, d).withColumns({"seen": F.col("id") * 7919 % 1009, "rank": F.col("id") % 13})
+    return dedup.greedy_display(rows, "seen", "rank").select("id")
+
+
+@REG.add(f"""
+    SELECT id, CASE WHEN app <> '' THEN 'id::explicit:' || lower(app) WHEN url <> '' THEN 'url::' || url || '::role' || title ELSE 'role::firm' || company || '::role' || title || '::' || regexp_replace(lower(location), '[^a-z0-9]', '', 'g') END AS key FROM ({_PAIR_ROWS})
+""")
+def display_keys(spark, d):
+    """D8."""
+    rows = dedup.with_identity(_pair_rows(spark, d))
+    return rows.select("id", dedup.display_key(rows).alias("key"))
+
+
 @REG.add(f"SELECT id, 'capture-1-' AS stem, count(*) OVER (PARTITION BY company, location, url, content) AS same FROM ({POSTS_SQL})")
 def capture_ids(spark, d):
     """Equal content has one id, other content another."""

@@ -40,13 +40,13 @@ def archive_names(spark, d):
 
 
 @REG.add("""
-    SELECT event_type AS source, CAST(CAST(ts AS DATE) AS VARCHAR) AS query, count(*) AS scanned, count(*) FILTER (value >= 50) AS matched, count(*) FILTER (value < 50) AS rejected_total, true AS accounted_for FROM events WHERE value IS NOT NULL GROUP BY 1, 2
+    SELECT event_type AS source, CAST(CAST(ts AS DATE) AS VARCHAR) AS query, count(*) AS scanned, count(*) FILTER (value >= 50) AS matched, count(*) FILTER (value < 50 AND event_id % 97 <> 5) AS rejected_total, count(*) FILTER (value < 50 AND event_id % 97 = 5) = 0 AS accounted_for FROM events WHERE value IS NOT NULL GROUP BY 1, 2
 """)
 def scan_accounting(spark, d):
-    """A5: counters reconcile per source and query."""
+    """A5: whether the counters reconcile per source and query; a few rejected rows are in no counter."""
     e = table(spark, d, "events").where("value is not null").select(
         F.col("event_type").alias("source"), F.to_date("ts").cast("string").alias("query"), F.lit(1).cast("bigint").alias("scanned"), (F.col("value") >= 50).cast("bigint").alias("matched"),
-        F.create_map(F.when(F.col("value") < 25, "low").otherwise("other"), (F.col("value") < 50).cast("bigint")).alias("rejected"),
+        F.create_map(F.when(F.col("value") < 25, "low").otherwise("other"), ((F.col("value") < 50) & (F.col("event_id") % 97 != 5)).cast("bigint")).alias("rejected"),
     )
     return P.scan_accounting(e)
 

@@ -13,8 +13,9 @@ MISSES = 2
 def batch_misses(seen: DataFrame, entity: str, scan: str, scans: DataFrame, limit: int = MISSES) -> DataFrame:
     """entity, last_scan, misses (complete scans after it), expired. scans: the numbers of the complete scans."""
     last = seen.groupBy(entity).agg(F.max(scan).alias("last_scan"))
-    total = scans.agg(F.max(scan).alias("newest"))
-    out = last.crossJoin(F.broadcast(total)).withColumn("misses", F.col("newest") - F.col("last_scan"))  # one row
+    # One row: the complete scans in order, so that those after the last one are counted by position.
+    complete = scans.agg(F.sort_array(F.collect_set(scan)).alias("__scans"))
+    out = last.crossJoin(F.broadcast(complete)).withColumn("misses", F.size(F.filter("__scans", lambda x: x > F.col("last_scan"))))
     return out.select(entity, "last_scan", F.col("misses").cast("bigint").alias("misses"), (F.col("misses") >= limit).alias("expired"))
 
 
