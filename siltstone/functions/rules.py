@@ -1,6 +1,6 @@
 """Rule tables as Column expressions: classifiers, tags, ladders, rubrics and number extraction.
 
-A rule is (label, pattern); its order is data. Survey ids P22-P29, P31, P38, F1-F3, F9, C1-C6.
+A rule is (label, pattern); its order is data. Survey ids P23-P29, P31, P38, F3, F9, C6; `screening` has the rubrics.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def ladder(reasons: Sequence[tuple[str, Column]]) -> Column:
 
 
 def points(text: Column, rules: Sequence[tuple[str, int]], cap: int | None = None) -> Column:
-    """The sum of the points of the rules that fit, at most `cap`."""
+    """The sum of the points of the rules that fit, at most `cap`."""
     total = sum((F.when(text.rlike(p), n).otherwise(0) for p, n in rules), F.lit(0))
     return F.least(total, F.lit(cap)) if cap is not None else total
 

@@ -1,4 +1,4 @@
-"""URL canonicalization (P2a-P2g), stable posting ids (P6, P7), host labels (P24, P31, P32) and URL filters."""
+"""URL canonicalization (P2a-P2g), stable posting ids (P6), host labels (P32), URL filters (F4, F13) and title overlap."""
 
 from __future__ import annotations
 

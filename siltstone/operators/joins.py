@@ -1,4 +1,4 @@
-"""Join shapes of the application store: disjunctive, prioritized, multi-key, ranked and fuzzy joins."""
+"""Join shapes of the application store: disjunctive, prioritized, multi-key, ranked and fuzzy joins."""
 
 from __future__ import annotations
 

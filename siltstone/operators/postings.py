@@ -1,7 +1,7 @@
 """Posting life cycle: capture checks, status, verification, archive ids, summaries and structured evidence.
 
-Survey ids P22, P33, P35, P36, P39, P42, F5-F8, F10, F16-F18, D9, K8, A5, A7, A8, A10, A11, A13, A18, A21,
-A25, C7, R9, R11, R13, R16, R20, R21, R23, R24, W11, X7, T9.
+Survey ids P35, P36, P39, P42, F7, F8, F10, F16-F18, D9, K8, A5, A7, A10, A11, A13, A21, A25, C7, R9, R11, R13,
+R16, R20, R21, R23, W11, X7, T9.
 """
 
 from __future__ import annotations

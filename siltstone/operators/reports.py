@@ -1,4 +1,4 @@
-"""Aggregations and report shapes."""
+"""Aggregations and report shapes."""
 
 from __future__ import annotations
 

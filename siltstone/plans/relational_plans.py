@@ -477,7 +477,7 @@ def batch_split(spark, d):
     SELECT event_type, user_id, max(ts) AS last_seen, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 95) GROUP BY 1, 2
 """)
 def incremental_skip(spark, d):
-    """Rows whose key is not yet in the state."""
+    """Rows whose key is not yet in the state."""
     e = table(spark, d, "events")
     done = e.where("event_type = 'purchase' and value > 95").select("user_id").distinct()
     return e.join(done, "user_id", "left_anti").groupBy("event_type", "user_id").agg(F.max("ts").alias("last_seen"), n_rows())

@@ -132,37 +132,31 @@ def graph_two_hop(spark, d):
 
 @REG.add("""
     WITH c AS (
-        SELECT l_orderkey, l_linenumber, l_discount * 10 AS ex, l_tax * 12 AS concept, (l_quantity % 10) / 10 AS problem, (l_partkey % 7) / 7 AS industry, l_suppkey % 4 AS lv, l_partkey % 6 AS st,
-               l_quantity % 3 <> 0 AS eligible, l_partkey % 11 = 0 AS barred, l_partkey % 5 = 0 AS tool, l_suppkey % 9 = 0 AS adj FROM lineitem),
+        SELECT l_discount * 10 AS ex, (l_quantity % 7) / 7 AS dir, l_tax * 12 AS concept, (l_quantity % 10) / 10 AS problem, (l_partkey % 7) / 7 AS industry, l_suppkey % 4 AS lv, l_partkey % 6 AS st, l_partkey % 5 AS att,
+               l_quantity % 3 <> 0 AS eligible, l_partkey % 11 = 0 AS barred, l_partkey % 13 = 0 AS over, l_partkey % 5 = 0 AS tool, l_suppkey % 9 = 0 AS adj, l_suppkey % 6 = 5 AS moves, l_suppkey % 8 = 3 AS path,
+               l_partkey % 19 < 3 AS emb, CASE WHEN l_partkey % 4 = 1 THEN 2.5 ELSE 0 END AS bm25, l_tax * 2 AS cosine FROM lineitem),
     s AS (SELECT *, least(100, 24 * least(1, ex) + 16 * least(1, concept) + 22 * least(1, problem) + 12 * least(1, industry) + 10 * [1.0, 0.9, 0.6, 0.3][CAST(lv AS INT) + 1]::DOUBLE
-                    + 10 * 0.7::DOUBLE + 6 * [1.0, 1.0, 1.0, 0.45, 0.25, 0.2][CAST(st AS INT) + 1]::DOUBLE) AS score FROM c),
-    b AS (SELECT *, CASE WHEN eligible AND ex >= 0.78 AND NOT barred THEN 'Direct' WHEN eligible AND score >= 42 AND (problem >= 0.34 OR industry >= 0.42) THEN 'Strong Transferable' WHEN score >= 16 THEN 'Adjacent' ELSE 'No Evidence' END AS b0 FROM s),
-    k AS (SELECT *, CASE WHEN tool AND ex < 0.78 THEN 'No Evidence' WHEN adj AND ex < 0.78 THEN 'Adjacent' WHEN NOT eligible OR st = 5 THEN 'No Evidence' ELSE b0 END AS label FROM b)
+                    + 10 * [1.0, 0.9, 0.85, 0.7, 0.15][CAST(att AS INT) + 1]::DOUBLE + 6 * [1.0, 1.0, 1.0, 0.45, 0.25, 0.2][CAST(st AS INT) + 1]::DOUBLE) AS score, CASE WHEN tool THEN ex ELSE greatest(ex, dir) END AS overlap FROM c),
+    b AS (SELECT *, CASE WHEN NOT eligible OR st = 5 THEN 'No Evidence' WHEN overlap >= 0.78 AND NOT barred AND NOT over THEN 'Direct' WHEN score >= 42 AND (problem >= 0.34 OR industry >= 0.42 OR moves) THEN 'Strong Transferable'
+                         WHEN score >= 16 OR path OR bm25 > 0 OR cosine > 0.12 THEN 'Adjacent' ELSE 'No Evidence' END AS b0 FROM s),
+    k AS (SELECT *, CASE WHEN tool AND ex < 0.78 THEN 'No Evidence' WHEN adj AND ex < 0.78 THEN 'Adjacent' WHEN emb AND b0 IN ('Direct', 'Strong Transferable') THEN 'Adjacent' ELSE b0 END AS label FROM b)
     SELECT label, CASE WHEN label = 'Direct' AND st IN (3, 4) THEN 'conditional' WHEN label = 'Direct' THEN 'yes' WHEN label = 'Strong Transferable' THEN 'conditional' ELSE 'no' END AS recommended, count(*) AS n, round(avg(score), 4) AS mean_score
     FROM k GROUP BY 1, 2
 """)
 def blend_and_classify(spark, d):
-    """Blend, ladder, demotions and recommendation on signals made from lineitem."""
-    no, zero = F.lit(False), F.lit(0.0)
+    """Blend, ladder, demotions and recommendation on signals made from lineitem."""
     levels, tiers = ["high", "high", "medium", "low"], ["primary", "secondary", "primary", "primary"]
     states = ["completed", "implemented", "reported_result", "in_progress", "planned", "project_context"]
     pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i + 1).cast("int"))
-    line = table(spark, d, "lineitem")
-    level, tier, state = pick(levels, F.col("l_suppkey") % 4), pick(tiers, F.col("l_suppkey") % 4), pick(states, F.col("l_partkey") % 6)
-    c = line.select(
-        (F.col("l_discount") * 10).alias("ex"), (F.col("l_tax") * 12).alias("concept"), ((F.col("l_quantity") % 10) / 10).alias("problem"), ((F.col("l_partkey") % 7) / 7).alias("industry"),
-        R.strength(level, tier).alias("strong"), state.alias("status"), (F.col("l_quantity") % 3 != 0).alias("eligible"), (F.col("l_partkey") % 11 == 0).alias("barred"),
-        (F.col("l_partkey") % 5 == 0).alias("tool"), (F.col("l_suppkey") % 9 == 0).alias("adj"),
+    part, supp, quantity = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")
+    c = table(spark, d, "lineitem").select(
+        (F.col("l_discount") * 10).alias("exact"), ((quantity % 7) / 7).alias("direct"), (F.col("l_tax") * 12).alias("concept"), ((quantity % 10) / 10).alias("problem"), ((part % 7) / 7).alias("industry"),
+        R.strength(pick(levels, supp % 4), pick(tiers, supp % 4)).alias("strong"), pick(states, part % 6).alias("status"), pick(list(R.ATTRIBUTION), part % 5).alias("attribution"), (quantity % 3 != 0).alias("eligible"),
+        (part % 11 == 0).alias("scope_conflict"), (part % 13 == 0).alias("overclaim"), (part % 5 == 0).alias("named_tool"), (supp % 9 == 0).alias("path_adjacent"), (supp % 6 == 5).alias("path_transferable"),
+        (supp % 8 == 3).alias("has_path"), (part % 19 < 3).alias("embedding_only"), F.when(part % 4 == 1, 2.5).otherwise(0.0).alias("bm25"), (F.col("l_tax") * 2).alias("cosine"),
     )
-    c = c.withColumn("score", R.preverification(F.col("ex"), F.col("concept"), F.col("problem"), F.col("industry"), F.col("strong"), F.lit("user_confirmed"), F.col("status")))
-    label = R.classify(
-        {
-            "exact": F.col("ex"), "direct": F.col("ex"), "named_tool": F.col("tool"), "eligible": F.col("eligible"), "scope_conflict": F.col("barred"), "overclaim": no,
-            "score": F.col("score"), "problem": F.col("problem"), "industry": F.col("industry"), "bm25": zero, "cosine": zero, "has_path": no,
-            "path_adjacent": F.col("adj"), "path_transferable": no, "embedding_only": no, "status": F.col("status"),
-        }
-    )
-    out = c.withColumn("label", label).withColumn("recommended", R.recommended(F.col("label"), F.col("status")))
+    c = c.withColumn("score", R.preverification(*[F.col(x) for x in ("exact", "concept", "problem", "industry", "strong", "attribution", "status")]))
+    out = c.withColumn("label", R.classify({x: F.col(x) for x in c.columns})).withColumn("recommended", R.recommended(F.col("label"), F.col("status")))
     return out.groupBy("label", "recommended").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
@@ -172,7 +166,7 @@ def blend_and_classify(spark, d):
     FROM s LEFT JOIN l USING (doc_id) QUALIFY place <= 8
 """)
 def cross_score_topk(spark, d):
-    """Every item against every document with a common term, weighted by strength, top eight."""
+    """Every item against every document with a common term, weighted by strength, top eight."""
     s = _bm25(spark, d).withColumn("bm25", F.round("bm25", 6)).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").na.fill(0, ["quality"])
     place = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc(F.col("bm25") * (1 + F.col("quality"))), "doc_id"))
     return s.withColumn("place", place).where("place <= 8").select("item_id", "doc_id", "bm25", "quality", F.col("place").cast("bigint").alias("place"))

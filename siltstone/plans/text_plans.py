@@ -32,7 +32,7 @@ HOST_SQL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:
 
 @REG.add(f"SELECT page_id, {canonical_sql(U.MERGE)} AS merge_url, {canonical_sql(U.AGGREGATOR)} AS aggregator_url, {canonical_sql(U.METRICS)} AS metrics_url, {canonical_sql(U.IDENTITY)} AS identity_url FROM pages")
 def url_canonical(spark, d):
-    """P2a-P2g."""
+    """P2a, P2b, P2e, P2f."""
     u = F.col("url")
     return table(spark, d, "pages").select(
         "page_id",
@@ -185,13 +185,13 @@ _SCORE = f"greatest(0, least(100, 40 + least({_PTS}, 30) + least(20, length(text
 
 
 def rubric(text):
-    """C1-C4 on documents: base, capped points, capped length bonus, gap penalty, clamp."""
+    """A rubric on documents: base, capped points, capped length bonus, gap penalty, clamp."""
     return R.clamp(40 + R.points(text, RUBRIC, 30) + F.least(F.lit(20), F.floor(F.length(text) / 200)) - F.when(text.rlike("[*$%&#]{3}"), 40).otherwise(0)).cast("bigint")
 
 
 @REG.add(f"SELECT doc_id, CAST({_SCORE} AS BIGINT) AS score, CASE WHEN {_SCORE} >= 85 THEN 'strong' WHEN {_SCORE} >= 70 THEN 'good' WHEN {_SCORE} >= 50 THEN 'fair' ELSE 'weak' END AS band FROM documents")
 def rubric_score(spark, d):
-    """C1, P38."""
+    """Bands of a rubric."""
     s = table(spark, d, "documents").select("doc_id", rubric(F.col("text")).alias("score"))
     return s.withColumn("band", R.band(F.col("score"), [(85, "strong"), (70, "good"), (50, "fair")], "weak"))
 

@@ -1,4 +1,4 @@
-"""File sources: JSON arrays, JSON Lines, CSV/TSV, manifests and directories."""
+"""File sources: JSON arrays, JSON Lines, CSV/TSV, manifests and directories."""
 
 from __future__ import annotations
 

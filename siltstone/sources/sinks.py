@@ -1,4 +1,4 @@
-"""Sinks: JSON, CSV and Parquet exports, batched files, grouped sync and reconciliation."""
+"""Sinks: JSON, CSV and Parquet exports, batched files, grouped sync and reconciliation."""
 
 from __future__ import annotations
 
