@@ -37,9 +37,9 @@ class PackingParams:
     tokenizer: str = TOKENIZER
 
 
-def integer_weights(totals: dict[str, int], mixture: dict[str, float] | None) -> dict[str, int]:
-    """Weights in millionths, 1 at least; by default the queues' own shares. Queues a mixture leaves out come last, at weight 1."""
-    shares = {q: (mixture.get(q, 0.0) if mixture else t) for q, t in totals.items()}
+def integer_weights(totals: dict[str, int], mixture: dict[str, float] | None, temper: float = 1.0) -> dict[str, int]:
+    """Weights in millionths, 1 at least; by default the queues' own shares, tempered. Queues a mixture leaves out come last, at weight 1."""
+    shares = {q: (mixture.get(q, 0.0) if mixture else float(t) ** temper) for q, t in totals.items()}
     whole = sum(shares.values()) or 1
     return {q: max(1, round(WEIGHT_SUM * s / whole)) for q, s in shares.items()}
 
@@ -81,9 +81,9 @@ def cut(start: np.ndarray, n: np.ndarray, step: int) -> tuple[np.ndarray, np.nda
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def weight_table(totals: DataFrame, mixture: dict[str, float] | None) -> DataFrame:
+def weight_table(totals: DataFrame, mixture: dict[str, float] | None, temper: float = 1.0) -> DataFrame:
     """`integer_weights` of a table (queue, t), as its column w."""
-    shares = totals.withColumn("s", F.col("t").cast("double"))
+    shares = totals.withColumn("s", F.pow(F.col("t").cast("double"), F.lit(temper)))
     if mixture:
         given = totals.sparkSession.createDataFrame([(q, float(s)) for q, s in mixture.items()], "queue string, s double")
         shares = totals.join(given, "queue", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
@@ -91,14 +91,14 @@ def weight_table(totals: DataFrame, mixture: dict[str, float] | None) -> DataFra
     return shares.select("queue", "t", F.greatest(F.lit(1), F.bround(F.lit(float(WEIGHT_SUM)) * F.col("s") / F.lit(whole))).cast("long").alias("w"))
 
 
-def place_table(totals: DataFrame, mixture: dict[str, float] | None, quantum: int) -> DataFrame:
+def place_table(totals: DataFrame, mixture: dict[str, float] | None, quantum: int, temper: float = 1.0) -> DataFrame:
     """queue, c (quantum), place: `Schedule.start` of every quantum, by one distributed sort.
 
     Due times c/w are compared by whole part and remainder; fractions of weights up to WEIGHT_SUM are apart
     by more than a double's precision.
     """
     n = f"(t + {quantum - 1}) div {quantum}"
-    blocks = weight_table(totals, mixture).selectExpr("*", f"explode(sequence(0L, {n} - 1, {_EXPLODED}L)) first")
+    blocks = weight_table(totals, mixture, temper).selectExpr("*", f"explode(sequence(0L, {n} - 1, {_EXPLODED}L)) first")
     quanta = blocks.selectExpr("queue", "t", "w", f"explode(sequence(first, least(first + {_EXPLODED}, {n}) - 1)) c")
     order = ["due", "part", "queue"]
     due = quanta.selectExpr("queue", "c", f"least({quantum}, t - c * {quantum}) size", "c div w due", "(c % w) / w part").orderBy(*order)
@@ -156,6 +156,7 @@ def pack(
     text: str = "text",
     source: str = "source",
     mixture: dict[str, float] | None = None,
+    temper: float = 1.0,
     params: PackingParams = PackingParams(),
 ) -> DataFrame:
     """Pieces of documents in packed sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -164,14 +165,15 @@ def pack(
     gives the end id alone; a very long text is cut over many sequences; a null source is a queue of its own;
     repeated rows and equal ids are documents of their own; other columns are not read. An empty table gives
     no pieces. `mixture` gives sources their share of every window, for as long as they last; the sources it
-    leaves out, and what is left of the others, follow.
+    leaves out, and what is left of the others, follow. Without one, a source of t tokens has a share in
+    proportion to t ** temper: its own by default, and below 1 more for small sources, for as long as they last.
     """
     tokens = token_table(docs, doc_id, text, source, params.tokenizer)
     based, totals = with_base(tokens.df, ["queue", "block"])
     rows = based.selectExpr("doc_id", "queue", "base + queue_pos start", "n", "ids")
     first = {r["queue"]: r["t"] for r in totals.limit(MAX_QUEUES + 1).collect()}
     if len(first) > MAX_QUEUES:
-        schedule, rows = None, with_places(rows, place_table(totals, mixture, params.quantum), params.quantum)
+        schedule, rows = None, with_places(rows, place_table(totals, mixture, params.quantum, temper), params.quantum)
     else:
-        schedule = Schedule(first, integer_weights(first, mixture), params.quantum)
+        schedule = Schedule(first, integer_weights(first, mixture, temper), params.quantum)
     return rows.mapInArrow(_place(schedule, params.quantum, params.length), _SCHEMA)

@@ -49,7 +49,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"))
+    return pack(_table(spark, sf_dir, "documents"), temper=0.7)  # small sources are raised
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,3 +137,26 @@ def test_windows_hold_a_given_mixture_while_sources_last(spark):
         got.setdefault(r.sequence_id, {}).setdefault(source[r.doc_id], []).append(r.length)
     first = [got[k] for k in range(len(got) // 2)]
     assert all(abs(sum(x["a"]) / 2048 - 0.75) <= 256 / 2048 for x in first)
+
+
+def test_tempered_shares_fill_the_windows_of_both_ways_to_place(spark, monkeypatch):
+    from siltstone.llm import packing
+
+    rows = [(i, "word " * 300, "abc"[0 if i % 10 < 7 else 1 if i % 10 < 9 else 2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: s for i, _, s in rows}
+    share = {"a": 0.7**0.5, "b": 0.2**0.5, "c": 0.1**0.5}
+    found = []
+    for queues in (4096, 1):
+        monkeypatch.setattr(packing, "MAX_QUEUES", queues)
+        pieces = packing.pack(df, temper=0.5).collect()
+        found.append(sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.sequence_id, r.offset) for r in pieces))
+        got = {}
+        for r in pieces:
+            got.setdefault(r.sequence_id, {}).setdefault(source[r.doc_id], []).append(r.length)
+        for s, x in share.items():
+            served = 0
+            for k in range(20):  # the smallest source lasts that long; what a window falls short of is carried on
+                served += sum(got[k].get(s, [0]))
+                assert abs(served - (k + 1) * 2048 * x / sum(share.values())) <= 2 * 256
+    assert found[0] == found[1]
