@@ -19,7 +19,8 @@ def fold_merge(df: DataFrame, keys: Sequence[str], ordinal: str, quality: Sequen
 
     quality and overlay are columns; the merged row's own quality takes part in the next step, as it follows
     the fields that the quality columns are themselves folded with. Runs as one JVM aggregate over the
-    ordered rows of a key, no Python involved.
+    ordered rows of a key, no Python involved. The fold depends on the order, so a key's whole history is one
+    row of one task: it has to fit in memory.
     """
     fields = list(dict.fromkeys([*quality, *overlay, *unions, *maxima]))
     row = F.struct(F.col(ordinal).alias("__o"), *[F.col(c).alias(c) for c in fields])

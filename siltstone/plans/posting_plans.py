@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import joins
 from siltstone.operators import postings as P
 from siltstone.plans.registry import Registry, table
 
@@ -105,7 +106,7 @@ def ontology_paths(spark, d):
     kind = F.when(F.col("l_orderkey") % 7 == 0, "transferable_to").when(F.col("l_orderkey") % 7 == 1, "related_only").otherwise("evidence_for")
     r = table(spark, d, "lineitem").select((F.col("l_partkey") % 30).alias("src"), (F.col("l_suppkey") % 30).alias("dst"), kind.alias("type")).distinct()
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"))
-    pairs = n.select(F.col("k").alias("src")).crossJoin(F.broadcast(n.select(F.col("k").alias("dst"))))  # concepts of a fixed vocabulary
+    pairs = n.select(F.col("k").alias("src")).crossJoin(joins.small(n.select(F.col("k").alias("dst"))))  # concepts of a fixed vocabulary
     return P.relations(r, pairs)
 
 
@@ -126,9 +127,9 @@ def gap_states(spark, d):
 def deadline_sweep(spark, d):
     """F10, T9."""
     o = table(spark, d, "orders")
-    today = F.date_sub(F.lit(o.agg(F.max("o_orderdate")).first()[0]).cast("date"), 30)
+    o = o.crossJoin(F.broadcast(o.agg(F.date_sub(F.max("o_orderdate").cast("date"), 30).alias("today"))))  # a single row
     kind = F.when(F.col("o_orderkey") % 5 == 0, "rolling").otherwise("date")
-    passed = P.deadline_passed(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("kind"), today)
+    passed = P.deadline_passed(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("kind"), F.col("today"))
     return o.withColumn("kind", kind).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(passed).cast("bigint").alias("expired"))
 
 

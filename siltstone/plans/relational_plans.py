@@ -261,8 +261,8 @@ def snapshot_diff(spark, d):
 def retention(spark, d):
     """Rows missing from the current snapshot stay for 14 days after they were seen."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    now = o.agg(F.max("o_orderdate")).first()[0]
-    return merge.retain_missing(o, o.where("o_orderkey % 2 = 1"), "o_orderkey", "o_orderdate", F.lit(now), 14).select("o_orderkey", "retained_until")
+    dated = o.crossJoin(F.broadcast(o.agg(F.max("o_orderdate").alias("now"))))  # a single row
+    return merge.retain_missing(dated, o.where("o_orderkey % 2 = 1"), "o_orderkey", "o_orderdate", F.col("now"), 14).select("o_orderkey", "retained_until")
 
 
 @REG.add("""
@@ -440,8 +440,8 @@ def calendar_union(spark, d):
 def reminders(spark, d):
     """X6."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    today = F.date_sub(F.lit(o.agg(F.max("o_orderdate")).first()[0]).cast("date"), 14)
-    return reports.reminders(o, "o_orderkey", "o_orderdate", today).select("o_orderkey", F.col("days_left").cast("bigint").alias("days_left"))
+    dated = o.crossJoin(F.broadcast(o.agg(F.date_sub(F.max("o_orderdate").cast("date"), 14).alias("today"))))  # a single row
+    return reports.reminders(dated, "o_orderkey", "o_orderdate", F.col("today")).select("o_orderkey", F.col("days_left").cast("bigint").alias("days_left"))
 
 
 @REG.add("""

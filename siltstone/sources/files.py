@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from siltstone.operators.joins import small
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, asked of the file system that Spark reads it with."""
@@ -96,11 +98,11 @@ def query_plan(keywords: DataFrame, cities: DataFrame, cursor: int, batch: int)
 
     Both sides are configuration tables (order, keyword) and (order, city).
     """
-    plan = keywords.select(F.col("order").alias("k"), "keyword").crossJoin(F.broadcast(cities.select(F.col("order").alias("c"), "city")))
-    total = plan.count()
+    plan = keywords.select(F.col("order").alias("k"), "keyword").crossJoin(small(cities.select(F.col("order").alias("c"), "city")))
+    n_cities = cities.count()
+    total = keywords.count() * n_cities
     if not total:
         return plan.select("keyword", "city"), 0
-    n_cities = cities.count()
     at = F.pmod(F.col("k") * n_cities + F.col("c") - cursor, F.lit(total))
     return plan.where(at < batch).orderBy(at).select("keyword", "city"), (cursor + min(batch, total)) % total
 
