@@ -10,7 +10,7 @@ from siltstone.functions import urls as U
 from siltstone.operators import dedup, merge, postings, reports
 from siltstone.operators import requirements as Q
 from siltstone.operators import retrieval as R
-from siltstone.plans.posts import POSTS_SQL, posts
+from siltstone.plans.posts import POSTS_SQL, greedy_sql, posts, same_posting_sql
 from siltstone.plans.registry import Registry, table
 from siltstone.plans.text_plans import canonical_sql
 from siltstone.sources import sinks
@@ -344,13 +344,9 @@ _PAIR_ROWS = """
 """
 
 
-def _pair_sql(displayed: bool) -> str:
-    near = "(a.place = '' OR b.place = '' OR contains(a.place, b.place) OR contains(b.place, a.place))"
-    role = "a.company = b.company AND a.title = b.title"
-    url = "a.title = b.title AND a.url <> '' AND a.url = b.url"
-    logical = f"(a.company = b.company AND CASE WHEN a.app <> '' AND b.app <> '' THEN a.app = b.app WHEN a.app <> '' OR b.app <> '' THEN {url} ELSE ({url}) OR ({role} AND {near}) END)"
-    more = f" OR (NOT (a.app <> '' AND b.app <> '') AND {role} AND a.place = b.place)" if displayed else ""
-    return f"WITH r AS (SELECT *, regexp_replace(lower(location), '[^a-z0-9]', '', 'g') AS place FROM ({_PAIR_ROWS})) SELECT a.id AS a, b.id AS b FROM r a, r b WHERE a.id < b.id AND ({logical}{more})"
+_PAIR_COLUMNS = f"""
+    SELECT id, 'firm' || company AS co, 'role' || title AS ti, regexp_replace(lower(location), '[^a-z0-9]', '', 'g') AS place, CASE WHEN app <> '' THEN 'explicit:' || lower(app) ELSE '' END AS st, url, true AS named FROM ({_PAIR_ROWS})
+"""
 
 
 def _pair_rows(spark, d):
@@ -362,27 +358,19 @@ def _pair_rows(spark, d):
     )
 
 
-@REG.add(_pair_sql(False))
+@REG.add(same_posting_sql(_PAIR_COLUMNS, False))
 def same_postings(spark, d):
     """All pairs that the predicate accepts, against a nested loop in SQL."""
     return dedup.same_posting_pairs(_pair_rows(spark, d))
 
 
-@REG.add(_pair_sql(True))
+@REG.add(same_posting_sql(_PAIR_COLUMNS, True))
 def same_displayed(spark, d):
     """D6."""
     return dedup.same_posting_pairs(_pair_rows(spark, d), displayed=True)
 
 
-@REG.add(f"""
-    WITH RECURSIVE p AS ({_pair_sql(True)}), n AS (SELECT x, list(y) AS near FROM (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p) GROUP BY 1),
-    o AS (SELECT row_number() OVER (ORDER BY id * 7919 % 1009, id) AS i, id, id % 13 AS r, coalesce(near, []) AS near FROM ({_PAIR_ROWS}) LEFT JOIN n ON x = id),
-    s AS (SELECT 0::BIGINT AS i, CAST([] AS STRUCT(id BIGINT, r BIGINT)[]) AS kept UNION ALL
-          SELECT o.i, CASE WHEN coalesce(list_position(list_transform(kept, lambda k: list_contains(near, k.id)), true), 0) = 0 THEN list_append(kept, {{'id': o.id, 'r': o.r}})
-                           WHEN o.r > kept[list_position(list_transform(kept, lambda k: list_contains(near, k.id)), true)].r THEN list_transform(kept, lambda k, j: CASE WHEN j = list_position(list_transform(kept, lambda q: list_contains(near, q.id)), true) THEN {{'id': o.id, 'r': o.r}} ELSE k END)
-                           ELSE kept END FROM s JOIN o ON o.i = s.i + 1)
-    SELECT unnest(kept).id AS id FROM s WHERE i = (SELECT max(i) FROM o)
-""")
+@REG.add(greedy_sql(same_posting_sql(_PAIR_COLUMNS, True), f"SELECT id, id * 7919 % 1009 AS seen, id % 13 AS rank FROM ({_PAIR_ROWS})"))
 def greedy_postings(spark, d):
     """The sequential rule, against a recursive query."""
     rows = _pair_rows(spark, d).withColumns({"seen": F.col("id") * 7919 % 1009, "rank": F.col("id") % 13})

@@ -189,13 +189,26 @@ def candidate_prefetch(spark, d):
     return found.groupBy("s_suppkey").agg(F.min("c_custkey").alias("c_custkey"))
 
 
-@REG.add()
+_TAGLESS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g')"
+for _name, _char in (("copy", "©"), ("middot", "·"), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+    _TAGLESS = f"replace({_TAGLESS}, '&{_name};', '{_char}')"
+
+
+@REG.add(rf"""
+    SELECT page_id, length(trim(regexp_replace({_TAGLESS}, '\s+', ' ', 'g'))) AS n_chars, len(list_filter(regexp_extract_all(html, '<a\b[^>]*?\bhref=["'']([^"'']+)["'']', 1, 'i'), lambda x: NOT regexp_matches(x, '^(#|javascript:|mailto:)'))) AS n_links,
+           CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS n_rows, CASE WHEN page_id % 2 = 0 THEN 'second ' || page_id WHEN page_id % 3 = 0 THEN 'embedded' END AS first_title FROM pages
+""")
 def page_scan(spark, d):
-    """Every page parsed to text, links and embedded rows; compared with fixtures in the tests."""
+    """Every page parsed to text, links and rows, with two JSON-LD postings of one URL (the last wins) or embedded JSON put into some."""
     from siltstone.sources.markup import scan_pages
 
-    s = scan_pages(table(spark, d, "pages"))
-    return s.select("page_id", F.length("text").alias("n_chars"), F.size("links").alias("n_links"), F.size("rows").alias("n_rows"))
+    k = F.col("page_id")
+    posting = lambda title: F.concat(F.lit('{"@type": "JobPosting", "url": "/j/1", "title": "'), title, F.lit('"}'))
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@graph": ['), posting(F.lit("first")), F.lit(', {"@type": "Org", "name": "o", "url": "/o"}, '), posting(F.concat(F.lit("second "), k)), F.lit("]}</script>"))
+    embedded = F.lit('<script>window.x = {"props": {"jobs": [{"jobTitle": "embedded", "jobUrl": "/j/2"}]}};</script>')
+    p = table(spark, d, "pages").withColumn("html", F.concat("html", F.when(k % 2 == 0, ld).otherwise(""), F.when(k % 3 == 0, embedded).otherwise("")))
+    s = scan_pages(p)
+    return s.select("page_id", F.length("text").alias("n_chars"), F.size("links").alias("n_links"), F.size("rows").alias("n_rows"), F.get("rows", F.lit(0))["title"].alias("first_title"))
 
 
 QUERIES, ORACLES = REG.queries, REG.oracles

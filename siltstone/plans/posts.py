@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import urls as U
 from siltstone.plans.registry import table
 
 TITLES = (
@@ -47,3 +48,48 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(
         k.alias("id"), _pick(COMPANIES, c).alias("company"), _pick(TITLES, k).alias("title"), _pick(PLACES, c).alias("location"), content.alias("content"), url.alias("url"), F.col("o_orderstatus").alias("state")
     )
+
+
+_PARTS = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
+_IDENT = lambda x: f"regexp_replace(lower(trim({x})), '[^a-z0-9_-]+', '', 'g')"
+_STABLE = lambda x: f"(length({x}) BETWEEN 3 AND 160 AND NOT regexp_matches({x}, '{U.PLAIN_WORD}') AND (regexp_matches({x}, '[0-9]') OR regexp_matches({x}, '{U.UUID}')))"
+
+
+def stable_sql(url: str, supplied: str = "''") -> str:
+    """P6 in SQL."""
+    part = lambda n: f"regexp_extract({url}, {_PARTS}, {n})"
+    host = f"regexp_replace(lower({part(2)}), '^www\\.', '')"
+    key = lambda p: f"regexp_replace(lower(split_part({p}, '=', 1)), '[^a-z0-9_]', '', 'g')"
+    value = lambda p: _IDENT(f"url_decode(split_part({p}, '=', -1))")
+    keys = ", ".join(f"'{k}'" for k in U.ID_KEYS)
+    hits = f"list_filter(string_split(substr({part(4)}, 2), '&'), lambda p: contains(p, '=') AND {key('p')} IN ({keys}) AND {_STABLE(value('p'))})"
+    found = [f"CASE WHEN {_STABLE(_IDENT(supplied))} THEN 'explicit:' || {_IDENT(supplied)} END", f"CASE WHEN web AND len({hits}) > 0 THEN {host} || ':query:' || {key(hits + '[1]')} || ':' || {value(hits + '[1]')} END"]
+    for form in U.ID_PATHS:
+        v = _IDENT(f"regexp_extract(url_decode({part(3)}), '{form}', 1)")
+        found.append(f"CASE WHEN web AND {_STABLE(v)} THEN {host} || ':path:' || {v} END")
+    fragment = f"regexp_replace({part(5)}, '^#', '')"
+    v = _IDENT(f"string_split_regex({fragment}, '[=/:]')[-1]")
+    found.append(f"CASE WHEN web AND regexp_matches({fragment}, '{U.JOB_FRAGMENT}') AND {_STABLE(v)} THEN {host} || ':hash:' || {v} END")
+    return "coalesce(" + ", ".join(found).replace("web AND", f"regexp_matches({url}, '(?i)^https?://') AND") + ", '')"
+
+
+def same_posting_sql(rows: str, displayed: bool) -> str:
+    """D5, D6 as a nested loop over rows (id, co, ti, place, st, url, named)."""
+    titles = "a.named AND b.named AND a.ti = b.ti"
+    near = "(a.place = '' OR b.place = '' OR contains(a.place, b.place) OR contains(b.place, a.place))"
+    role, url = f"({titles} AND a.co <> '' AND a.co = b.co)", f"({titles} AND a.url <> '' AND a.url = b.url)"
+    logical = f"((a.co = '' OR b.co = '' OR a.co = b.co) AND CASE WHEN a.st <> '' AND b.st <> '' THEN a.st = b.st WHEN a.st <> '' OR b.st <> '' THEN {url} ELSE {url} OR ({role} AND {near}) END)"
+    more = f" OR (NOT (a.st <> '' AND b.st <> '') AND {role} AND a.place = b.place)" if displayed else ""
+    return f"WITH r AS MATERIALIZED ({rows}) SELECT a.id AS a, b.id AS b FROM r a, r b WHERE a.id < b.id AND ({logical}{more})"
+
+
+def greedy_sql(pairs: str, rows: str) -> str:
+    """D7 as a recursive query over rows (id, seen, rank) and displayed pairs (a, b)."""
+    at = "coalesce(list_position(list_transform(kept, lambda k: list_contains(near, k.id)), true), 0)"
+    return f"""
+        WITH RECURSIVE p AS ({pairs}), n AS (SELECT x, list(y) AS near FROM (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p) GROUP BY 1),
+        o AS (SELECT row_number() OVER (ORDER BY seen, id) AS i, id, rank AS r, coalesce(near, []) AS near FROM ({rows}) LEFT JOIN n ON x = id),
+        s AS (SELECT 0::BIGINT AS i, CAST([] AS STRUCT(id BIGINT, r BIGINT)[]) AS kept UNION ALL
+              SELECT o.i, CASE WHEN {at} = 0 THEN list_append(kept, {{'id': o.id, 'r': o.r}}) WHEN o.r > kept[{at}].r THEN list_concat(list_append(kept[1:{at} - 1], {{'id': o.id, 'r': o.r}}), kept[{at} + 1:]) ELSE kept END FROM s JOIN o ON o.i = s.i + 1)
+        SELECT unnest(kept).id AS id FROM s WHERE i = (SELECT max(i) FROM o)
+    """

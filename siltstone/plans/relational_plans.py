@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions import text as T
+from siltstone.functions import urls as U
 from siltstone.operators import dedup, joins, merge, reports
+from siltstone.plans.posts import greedy_sql, same_posting_sql, stable_sql
 from siltstone.plans.registry import Registry, table
+from siltstone.plans.text_plans import canonical_sql
 
 REG = Registry()
 
@@ -39,10 +43,12 @@ def dedup_exact(spark, d):
     return t.groupBy("key").agg(F.min("doc_id").alias("doc_id"), n_rows())
 
 
-_POST = """
-    SELECT page_id AS id, h AS company, t AS title, u FROM (
-        SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '') AS h,
-               regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*/?([^/?#]*)', 1)), '[^a-z0-9]+', '', 'g') AS t, url AS u FROM pages)
+_HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '')"
+_TITLE = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*/?([^/?#]*)', 1)"
+_PLAIN = lambda x: f"regexp_replace(replace(lower({x}), '&', 'and'), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', '', 'g')"
+_PLACEHOLDER = f"(lower(trim({_TITLE})) IN ({', '.join(repr(x) for x in T.PLACEHOLDER_TITLES)}) OR " + " OR ".join(f"regexp_matches(lower(trim({_TITLE})), '{f}')" for f in T._PLACEHOLDER_FORMS) + ")"
+_POST = f"""
+    SELECT page_id AS id, {_PLAIN(_HOST)} AS co, {_PLAIN(_TITLE)} AS ti, '' AS place, {stable_sql('url')} AS st, {canonical_sql(U.IDENTITY)} AS url, {_PLAIN(_TITLE)} <> '' AND NOT {_PLACEHOLDER} AS named FROM pages
 """
 
 
@@ -60,9 +66,9 @@ def _postings(spark, d):
     )
 
 
-@REG.add()
+@REG.add(same_posting_sql(_POST, False))
 def resolve_pairs(spark, d):
-    """D5 with blocking; compared with the nested loop in the tests."""
+    """D5 with blocking, on pages."""
     return dedup.same_posting_pairs(_postings(spark, d))
 
 
@@ -131,9 +137,12 @@ def point_lookup(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").where("c_custkey = 7").limit(1)
 
 
-@REG.add()
+@REG.add(f"""
+    SELECT page_id AS id, {_HOST} AS company, {_TITLE} AS title, length(url) AS rank FROM pages WHERE page_id IN (
+        {greedy_sql(same_posting_sql(_POST, True), "SELECT page_id AS id, page_id * 7919 % 1009 AS seen, length(url) AS rank FROM pages")})
+""")
 def display_dedup(spark, d):
-    """D7, C6; compared with the sequential loop in the tests."""
+    """D7 on pages."""
     p = _postings(spark, d).withColumns({"seen": F.col("id") * 7919 % 1009, "rank": F.length("job_url")})
     return dedup.greedy_display(p, "seen", "rank").select("id", "company", "title", "rank")
 

@@ -9,7 +9,7 @@ from siltstone.functions import screening as S
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
 from siltstone.operators import dedup, postings
-from siltstone.plans.posts import POSTS_SQL, posts
+from siltstone.plans.posts import POSTS_SQL, posts, stable_sql
 from siltstone.plans.registry import Registry, table
 from siltstone.plans.text_plans import HOST_SQL, canonical_sql
 
@@ -88,6 +88,8 @@ def china_eligibility(spark, d):
     return posts(spark, d).select("id", S.china_eligible(F.col("title"), F.concat_ws(" ", "title", "content")).alias("eligible"))
 
 
+_GIVEN = "CASE WHEN id % 3 = 0 THEN ' Req ' || id ELSE 'apply' END"
+_FRAGMENT = "('https://a.io/list' || CASE WHEN id % 4 = 0 THEN '#job=' || id WHEN id % 4 = 1 THEN '#top' || id ELSE '' END)"
 _ids = lambda name: "coalesce(" + ", ".join(f"nullif(regexp_extract(url, {_q(f)}, 1), '')" for f in S.APPLICATION_IDS[name]) + ", '')"
 
 
@@ -104,6 +106,15 @@ def application_ids(spark, d):
     )
 
 
+@REG.add(f"SELECT id, {stable_sql('url')} AS stable, {stable_sql('url', _GIVEN)} AS supplied, {stable_sql(_FRAGMENT)} AS fragment FROM ({POSTS_SQL})")
+def posting_ids(spark, d):
+    """From a supplied id, a query key, the path or the fragment."""
+    u, k = F.col("url"), F.col("id")
+    p = posts(spark, d)
+    mark = F.when(k % 4 == 0, F.concat(F.lit("#job="), k)).when(k % 4 == 1, F.concat(F.lit("#top"), k)).otherwise("")
+    return p.select("id", U.stable_id(u).alias("stable"), U.stable_id(u, F.when(k % 3 == 0, F.concat(F.lit(" Req "), k)).otherwise("apply")).alias("supplied"), U.stable_id(F.concat(F.lit("https://a.io/list"), mark)).alias("fragment"))
+
+
 _AGGREGATORS, _SYSTEMS = ("zhaopin.cn", "indeed.com"), ("greenhouse.io", "lever.co")
 _under = lambda names: " OR ".join(f"h = '{n}' OR h LIKE '%.{n}'" for n in names)
 
