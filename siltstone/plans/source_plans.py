@@ -112,6 +112,24 @@ def storable_candidates(spark, d):
     return A.storable(c, ignored).select("source_id", "title", "region", "score", "visa", "skills", "canonical_url", "application_id", "status")
 
 
+@REG.add(f"""
+    WITH p AS (SELECT *, CASE WHEN id % 2 = 0 THEN '中国' ELSE '美国' END AS region, lower(title || ' ' || content || ' 20K') AS c, title || ' ' || content AS b, CASE WHEN id % 3 = 0 THEN 'https://acme.wd5.myworkdayjobs.com/Ext/job/' || id WHEN id % 3 = 1 THEN 'https://jobs.acme.io/job/' || id ELSE url END AS link FROM ({POSTS_SQL}))
+    SELECT id AS source_id, {_KEY('link')} AS job_key, title, CASE WHEN location <> '' THEN location WHEN region = '中国' THEN '中国' ELSE 'Location not listed' END AS location, region, {_case('title', A.AGGREGATOR_TRACKS, 'Technology')} AS track,
+           CAST(least({S.SHORT_RUBRICS['portal'][1]}, {S.SHORT_RUBRICS['portal'][0]} + {_points('b', S.SHORT_RUBRICS['portal'][2])}) AS INT) AS score, CASE WHEN region = '中国' THEN '不适用' ELSE 'JD 未明确' END AS visa, {_tags('content', A.SKILLS)}[1:7] AS skills,
+           link AS canonical_url, CAST(id AS VARCHAR) AS application_id, '开放' AS status
+    FROM p WHERE {_hit('title', A.PORTAL_TITLE)} AND CASE WHEN region = '中国' THEN {_hit('c', S.CHINA_RELEVANT)} AND NOT {_hit('lower(title)', S.CHINA_EXCLUDED_TITLE)} AND NOT {_hit('lower(title)', S.CHINA_IRRELEVANT)} AND NOT {_hit('c', S.CHINA_EXCLUDED_CORE)} AND coalesce({_YEARS.replace('lower(content)', 'c')} <= 3, true)
+              AND (location = '' OR {_hit('location', A.CHINA_PLACE)}) ELSE NOT {_hit('title', A.PORTAL_EXCLUDED)} AND (location = '' OR {_hit('location', A.US_PLACE)}) END
+""")
+def adapt_portal(spark, d):
+    """Rows of a company portal's API, with relative URLs."""
+    k = F.col("id")
+    raw = _raw(spark, d).withColumns({
+        "region": F.when(k % 2 == 0, "中国").otherwise("美国"), "system": F.when(k % 3 == 0, "workday").otherwise("generic"), "salary": F.lit("20K"), "description": F.col("content"),
+        "portal": F.when(k % 3 == 0, "https://acme.wd5.myworkdayjobs.com/Ext?q=1").when(k % 3 == 1, "https://jobs.acme.io/list").otherwise(""), "url": F.when(k % 3 < 2, F.concat(F.lit("/job/"), k)).otherwise(F.col("url")),
+    })
+    return A.from_portal(raw).select(*_KEEP)
+
+
 @REG.add("""
     SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'https://boards-api.greenhouse.io/v1/boards/acme/jobs?content=true' WHEN 1 THEN 'https://acme.recruitee.com/api/offers' WHEN 2 THEN 'https://jobs.acme.io/xml'
            WHEN 3 THEN 'https://acme.wd5.myworkdayjobs.com/wday/cxs/acme/Ext/jobs' END AS address FROM orders

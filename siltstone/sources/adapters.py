@@ -1,4 +1,4 @@
-"""Adapters from raw source rows to the canonical posting row (four of P19; P20, P21), and boards of applicant systems.
+"""Adapters from raw source rows to the canonical posting row (five of P19; P20, P21), and boards of applicant systems.
 
 Each adapter is one `select` over staged rows. The canonical row: job_key, company, title, location, region,
 track, score, visa, skills, job_url, canonical_url, application_id, source, status, description.
@@ -111,6 +111,45 @@ def from_cloud(df: DataFrame, source: str) -> DataFrame:
     )
 
 
+# Titles that the scan of company portals looks for and leaves out.
+PORTAL_TITLE = (
+    r"(?i)(?:biostatistic|statistical scientist|clinical statistic|medical statistic|data scientist|applied scientist|research scientist|decision scientist|quantitative researcher|quantitative analyst|quant researcher"
+    r"|epidemiolog|health econom|outcomes research|real.world evidence|healthcare consultant|life sciences consultant|clinical data scientist"
+    r"|生物统计|临床统计|医学统计|统计科学|统计分析|统计建模|统计师|统计|数据科学|应用科学|量化研究|定量研究|量化分析|流行病|卫生经济|健康经济|结局研究|真实世界|医药咨询|医疗咨询|生命科学咨询|算法科学|医学数据|医学影像)"
+)
+PORTAL_EXCLUDED = (
+    r"(?i)(?:\bintern(?:ship)?\b|postdoc|postdoctoral|\bsenior\b|\bsr\.?\b|\bprincipal\b|\bstaff\b|\bdirector\b|\bmanager\b|\blead\b|\bhead\b|vice president|\bvp\b|software engineer|data engineer"
+    r"|machine learning engineer|generative ai|large language model|\bllm\b|\bnlp\b|实习|博士后|高级|资深|总监|经理|负责人)"
+)
+
+
+def portal_url(url: Column, system: Column, portal: Column) -> Column:
+    """A board's URL made absolute: below the portal's host, for Workday below its site; empty without a portal."""
+    root = F.regexp_extract(portal, "^([a-z]+://[^/?#]+)", 1)
+    site = F.regexp_extract(portal, "^[a-z]+://[^/?#]+/([^/?#]+)", 1)
+    below = F.when(system == "workday", F.concat(root, F.lit("/"), site, url)).otherwise(F.concat(root, url))
+    return F.when(~url.startswith("/"), url).when(root == "", "").otherwise(below)
+
+
+def from_portal(df: DataFrame) -> DataFrame:
+    """Rows of a company portal's API: company, region, system, portal, title, location, url, description, salary, id.
+
+    Kept: target titles whose place fits the region (a blank one does); in China what F5 accepts, elsewhere titles
+    that are not excluded.
+    """
+    t, c, place, d = (_text(x, df) for x in ("title", "company", "location", "description"))
+    system, region, china = _text("system", df), _text("region", df), F.col("region") == CHINA
+    url = portal_url(_text("url", df), system, _text("portal", df))
+    keep = t.rlike(PORTAL_TITLE) & F.when(china, S.china_eligible(t, F.concat_ws(" ", t, d, _text("salary", df)))).otherwise(~t.rlike(PORTAL_EXCLUDED))
+    keep = keep & ((place == "") | F.when(china, place.rlike(CHINA_PLACE)).otherwise(place.rlike(US_PLACE)))
+    both = F.concat_ws(" ", t, d)
+    return _rows(
+        df, keep, job_key=job_key(T.first_nonempty(url, F.concat_ws("::", F.lower(c), F.lower(t), F.lower(place)))), company=c, title=t, location=T.first_nonempty(place, F.when(china, CHINA).otherwise("Location not listed")), region=region,
+        track=R.first_match(t, AGGREGATOR_TRACKS, "Technology"), score=S.short_score(both, "portal"), visa=F.when(china, "不适用").otherwise(S.UNCLEAR), skills=R.all_matches(d, SKILLS, 7), job_url=url, canonical_url=url,
+        application_id=_text("id", df), source=F.concat(F.lit("Company portal · "), system), status=OPEN, description=F.substring(T.squeeze(F.regexp_replace(d, "<[^>]+>", " ")), 1, 120_000),
+    )
+
+
 # Names of the same field in exported snapshots.
 SNAPSHOT_KEYS = {
     "title": ("title", "jobTitle", "job_title", "jobName", "job_name", "positionName", "position_name", "position"),
