@@ -47,3 +47,13 @@ def test_index_reads_selected_records_alone(spark):
 
 def test_empty_table(spark):
     assert read_records(write_archive(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_very_long_pages(spark):
+    rows = [(1, "u", "é<p>" * 2_000_000, "d"), (2, "v", "é<p>" * 2_000_000, "d"), (3, "w", "x" * 3_000_000, "d"), (4, "x", "short", "d")]
+    archive = write_archive(spark.createDataFrame(rows, SCHEMA), params=WarcParams(file_bytes=1000, read_bytes=1000))
+    got = {r.page_id: r for r in read_records(archive).collect()}
+    assert {i: (r.record_type, r.refers_to, r.payload_bytes) for i, r in got.items()} == {
+        1: ("revisit", 2, 10_000_000), 2: ("response", None, 10_000_000), 3: ("response", None, 3_000_000), 4: ("response", None, 5),
+    }
+    assert bytes(got[2].payload) == rows[1][2].encode()
