@@ -101,7 +101,7 @@ def test_recall_at_the_threshold(spark):
 def test_boilerplate_that_most_documents_share(spark):
     rng = random.Random(7)
     base = [f"b{i}" for i in range(100)]
-    rows = [(i, " ".join(base + [f"o{i}_{k}" for k in range(60 + i % 7)])) for i in range(1200)]
+    rows = [(i, " ".join(base + [f"o{i}_{k}" for k in range(60 + i % 7)])) for i in range(500)]
     for i in range(0, 200, 5):
         w = rows[i][1].split()
         w[rng.randrange(101, 150)] = "z"
