@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.operators.joins import small
+from siltstone.store import Table
 
 # Words that carry no evidence.
 STOP_WORDS = (
@@ -66,11 +68,12 @@ def bm25_index(docs: DataFrame, doc_id: str, toks: str, vocabulary: DataFrame, t
     """doc_id, term, tf, dl, df, n_docs, avgdl for the terms of `vocabulary`. Statistics cover all documents.
 
     The vocabulary is joined before anything is shuffled, and all other words of a document become one count,
-    so a document takes at most as many rows as it has known terms, and one.
+    so a document takes at most as many rows as it has known terms, and one. These counts are a table, which
+    the lengths, the document frequencies and the result read.
     """
     known = small(vocabulary.select(F.col(term).alias("term")).distinct())
     words = docs.select(doc_id, F.explode_outer(toks).alias("__w"))
-    counts = words.join(known, F.col("__w") == F.col("term"), "left").groupBy(doc_id, "term").agg(F.count("__w").alias("tf"))
+    counts = Table(words.join(known, F.col("__w") == F.col("term"), "left").groupBy(doc_id, "term").agg(F.count("__w").alias("tf")), "term-counts").df
     sized = counts.withColumn("dl", F.sum("tf").over(W.partitionBy(doc_id)))
     lengths = counts.groupBy(doc_id).agg(F.sum("tf").alias("dl"))
     stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -95,7 +98,9 @@ def similar_sets(a: DataFrame, b: DataFrame, a_id: str, b_id: str, toks: str, at
     too large are left out before they are spread, and pairs too unequal before they are counted.
     """
     ratio = at_least * at_least
-    sized = lambda df, key, n: df.select(key, F.array_distinct(toks).alias("__t")).select(key, F.size("__t").alias(n), "__t").where(F.col(n) > 0)
+    # The explode of one array keeps the filters behind it, so that the words of a row are made once.
+    one = lambda df, key: df.select(key, F.explode(F.array(F.array_distinct(toks))).alias("__t"))
+    sized = lambda df, key, n: one(df, key).select(key, F.size("__t").alias(n), "__t").where(F.col(n) > 0)
     left, right = sized(a, a_id, "na"), sized(b, b_id, "nb")
     span = F.broadcast(left.agg(F.min("na").alias("__low"), F.max("na").alias("__high")))  # a single row
     right = right.join(span, (F.col("nb") >= F.col("__low") * ratio) & (F.col("nb") <= F.col("__high") / ratio)).drop("__low", "__high")
@@ -110,32 +115,45 @@ def similar_sets(a: DataFrame, b: DataFrame, a_id: str, b_id: str, toks: str, at
 _FNV_START, _FNV_PRIME, _LOW32 = np.uint64(2166136261), np.uint64(16777619), np.uint64(0xFFFFFFFF)
 
 
-def _fnv_rows(points: np.ndarray) -> np.ndarray:
-    """FNV-1a of each row of code points."""
-    h = np.full(len(points), _FNV_START)
-    for column in points.T:
-        h = ((h ^ column) * _FNV_PRIME) & _LOW32
+def _fnv(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """FNV-1a of runs of code points, all runs one place at a time."""
+    h = np.full(len(start), _FNV_START)
+    for k in range(int(length.max(initial=0))):
+        on = np.flatnonzero(length > k)
+        h[on] = ((h[on] ^ points[start[on] + k]) * _FNV_PRIME) & _LOW32
     return h
 
 
-def _hash_features(dimensions: int):
+def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, one behind the other, and the length of each."""
+    joined = "".join(texts.to_pylist())
+    return np.frombuffer(joined.encode("utf-32-le"), dtype="<u4").astype(np.uint64), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _hash_features(dimensions: int, at_once: int = 1 << 20):
+    def signed(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+        place = row * dimensions + (h % np.uint64(dimensions)).astype(np.int64)
+        return np.bincount(place, weights=1.0 - 2.0 * (h & np.uint64(1)), minlength=rows * dimensions)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                batch = whole.slice(a, 256)
-                out = np.zeros((batch.num_rows, dimensions))
-                for i, (text, toks) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-                    three = np.lib.stride_tricks.sliding_window_view(points, 3) if len(points) >= 3 else np.empty((0, 3), dtype=np.uint64)
-                    if len(known) > 200_000:
-                        known.clear()
-                    for w in set(toks).difference(known):
-                        known[w] = int(_fnv_rows(np.frombuffer(w.encode("utf-32-le"), dtype="<u4").astype(np.uint64)[None, :])[0])
-                    h = np.concatenate([_fnv_rows(three), np.array([known[w] for w in toks], dtype=np.uint64)])
-                    sign = np.where(h % np.uint64(2) == 0, 1.0, -1.0)
-                    out[i] = np.bincount((h % np.uint64(dimensions)).astype(np.int64), weights=sign, minlength=dimensions)
-                vectors = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), dimensions).cast(pa.list_(pa.float64()))
+            for a in range(0, whole.num_rows, 32):
+                batch = whole.slice(a, 32)
+                n = batch.num_rows
+                points, length = _points(batch.column(1))
+                row = np.repeat(np.arange(n), length)
+                out = np.zeros(n * dimensions)
+                for i in range(0, len(points), at_once):
+                    first = np.arange(i, min(i + at_once, len(points) - 2))
+                    first = first[row[first] == row[first + 2]] if len(first) else first
+                    out += signed(row[first], _fnv(points, first, np.full(len(first), 3)), n)
+                toks = batch.column(2)
+                word, size = _points(toks.flatten())
+                owner = np.repeat(np.arange(n), toks.value_lengths().to_numpy(zero_copy_only=False))
+                start = np.cumsum(size) - size
+                for i in range(0, len(size), at_once):
+                    out += signed(owner[i : i + at_once], _fnv(word, start[i : i + at_once], size[i : i + at_once]), n)
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(out), dimensions).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["id", "vector"])
 
     return run
