@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.llm.audit import AUDIT_SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,6 +81,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.audit import audit_filters
+
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.centroids import cluster_vectors
+
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_format": op2_chat_format,
@@ -90,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_training_order": op9_training_order,
     "op10_warc": op10_warc,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 ORACLE_SQL: dict[str, str] = {
     "op10_warc": """
@@ -102,4 +118,5 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id <> keep THEN keep END AS refers_to
         FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest
     """,
+    "op12_filter_audit": AUDIT_SQL,
 }
