@@ -81,6 +81,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.audit import audit_filters
 
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_training_order": op9_training_order,
     "op10_warc": op10_warc,
+    "op11_toxicity": op11_toxicity,
     "op12_filter_audit": op12_filter_audit,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
