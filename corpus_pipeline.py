@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, jaccard, langid, packing, pii
+from siltstone.names import fresh
 from siltstone.store import Table, drop_folder, run_tables
 
 # Share of known n-grams. Held-out labelled documents of all tables score 0.706 (a 70-character one with a key in it)
@@ -26,8 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay as they are; without labelled rows nothing is learned and nothing stays; empty gives empty.
     """
     filters = langid.fit(docs.where(~langid.held_out("doc_id")))
-    judged = langid.predict(docs, filters, lang_out="__lang", score_out="__score")
-    return judged.where((F.col("__lang") != langid.UND) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "judged_lang"), fresh(docs, "judged_score")
+    judged = langid.predict(docs, filters, lang_out=lang, score_out=score)
+    return judged.where((F.col(lang) != langid.UND) & (F.col(score) >= MIN_LANGUAGE_SCORE)).drop(lang, score)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
