@@ -15,6 +15,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.names import column, fresh
+
 # Fixed masks: the token positions that are hashed, counted from the seed's start. Of the 286 ways to change three
 # of 13 tokens each leaves some placement of some mask untouched (tests/llm/test_decontaminate_short.py counts them).
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 6, 9))
@@ -136,6 +138,7 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """The documents without any verified overlap, columns as they were; a null doc_id stays."""
-    leaks = find_leaks(docs, benchmark, doc_id, text, params=params).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col(doc_id) == F.col("__leak"), "left_anti")
+    """The documents without any verified overlap, columns as they were, whatever their names; a null doc_id stays."""
+    name = fresh(docs, "leak")
+    leaks = find_leaks(docs, benchmark, doc_id, text, params=params).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaks, column(doc_id) == F.col(name), "left_anti")

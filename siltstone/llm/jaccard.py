@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from siltstone.graph import connected_components
 from siltstone.store import Table
 from siltstone.llm.words import chunks, hash_words, mix, ngrams
+from siltstone.names import column, fresh
 
 
 @dataclass(frozen=True)
@@ -366,6 +367,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
-    """The rows of the smallest id of each class, columns as they were; rows of a null id stay."""
-    gone = similar_documents(docs, doc_id, text, params).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    """The rows of the smallest id of each class, columns as they were, whatever their names; rows of a null id stay."""
+    name = fresh(docs, "gone")
+    gone = similar_documents(docs, doc_id, text, params).where("doc_id <> class_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, column(doc_id) == F.col(name), "left_anti")

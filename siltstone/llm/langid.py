@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.names import column, fresh
+
 UND = "und"
 _PRIMES = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -180,8 +182,9 @@ def predict(docs: DataFrame, filters: BitmaskFilters, text: str = "text", lang_o
 
         return pd.DataFrame([shared.value.decide(t) for t in texts], columns=["lang", "score"])
 
-    judged = docs.withColumn("__judged", judge(F.col(text)))
-    return judged.withColumns({lang_out: F.col("__judged.lang"), score_out: F.col("__judged.score")}).drop("__judged")
+    name = fresh(docs, "judged")
+    judged = docs.withColumn(name, judge(column(text)))
+    return judged.withColumns({lang_out: F.col(f"{name}.lang"), score_out: F.col(f"{name}.score")}).drop(name)
 
 
 def held_out(key):

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.names import fresh
+
 # The base patterns, in the order in which kinds are listed.
 _LOCAL = "[A-Za-z0-9._%+-]"
 BASE_PATTERNS = {
@@ -140,8 +142,9 @@ def detect_pii(df: DataFrame, text: str = "text", out: str = "pii", params: PiiP
 
 
 def redact(df: DataFrame, text: str = "text", params: PiiParams = PiiParams()) -> DataFrame:
-    """Replace every span in `text` by its kind in brackets; overlapping spans become one tag. Null texts stay null."""
-    found = detect_pii(df, text, "__pii", params)
+    """Replace every span in `text` by its kind in brackets; overlapping spans become one tag. Null texts stay null; all other columns stay, whatever their names."""
+    name = fresh(df, "pii")
+    found = detect_pii(df, text, name, params)
     t = F.col(f"`{text}`")
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -158,8 +161,8 @@ def redact(df: DataFrame, text: str = "text", params: PiiParams = PiiParams()) -
         tail = F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))
         return F.concat(F.array_join(acc["parts"], ""), tail)
 
-    clean = F.when(F.size("__pii") > 0, F.aggregate(F.col("__pii"), zero, step, finish)).otherwise(t)
-    return found.withColumn(text, clean).drop("__pii")
+    clean = F.when(F.size(name) > 0, F.aggregate(F.col(name), zero, step, finish)).otherwise(t)
+    return found.withColumn(text, clean).drop(name)
 
 
 def pii_digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text", params: PiiParams = PiiParams()) -> DataFrame:
