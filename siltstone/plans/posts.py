@@ -11,6 +11,7 @@ from siltstone.plans.registry import table
 TITLES = (
     "Biostatistician", "Senior Data Scientist", "Research Scientist III", "Clinical Data Scientist", "Software Engineer", "Quantitative Researcher",
     "Sr. Statistical Scientist", "Epidemiologist", "生物统计师", "物流统计文员", "高级数据科学家", "Decision Scientist, Intern", "Jobs",
+    "Machine Learning Scientist", "数据科学家", "Healthcare Consultant", "Bioinformatics Analyst",
 )
 PHRASES = (
     "PhD in biostatistics or statistics required.", "At least 2 years of experience with clinical trial design.", "5+ years of relevant experience in healthcare.",
@@ -19,6 +20,8 @@ PHRASES = (
     "We will not provide sponsorship.", "要求博士学历，至少3年经验，月薪 15-25K。", "负责临床试验的统计分析与预测模型。", "大模型与自然语言处理方向。",
     "Deep learning architecture for medical imaging.", "Entry level role; machine learning and study design.", "The cafeteria is on the second floor.",
     "薪资 20000-30000 元。", "Data analysis in SQL or SAS, must know GPU clusters.",
+    "要求公民身份。", "The firm will not, under its present policy for this team, sponsor anyone.", "A visa is helped with, and in some cases of this kind we sponsor.",
+    "至少 4 years in statistics.", "6年及以上相关工作经验。", "经验3-5年。", "Minimum 2 yrs in healthcare, PhD preferred.", "Experiment design and 需具备2年.",
 )
 PLACES = ("Boston, Massachusetts", "Remote - US", "北京", "Shanghai, China", "Berlin", "", "New York, United States", "上海市")
 COMPANIES = ("Acme Health Inc.", "North-Star Pharma", "Delta & Sons", "某某医药公司", "Blue River LLC")

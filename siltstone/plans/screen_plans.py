@@ -9,6 +9,7 @@ from siltstone.functions import screening as S
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
 from siltstone.operators import dedup, postings
+from siltstone.plans import literals as L
 from siltstone.plans.posts import POSTS_SQL, posts, stable_sql
 from siltstone.plans.registry import Registry, table
 from siltstone.plans.text_plans import HOST_SQL, canonical_sql
@@ -18,54 +19,40 @@ _q = lambda s: "'" + s.replace("'", "''") + "'"
 _hit = lambda text, p: f"regexp_matches({text}, {_q(p)})"
 _any = lambda text, terms: " OR ".join(f"contains({text}, {_q(t)})" for t in terms)
 _points = lambda text, rules: " + ".join(f"CASE WHEN {_hit(text, p)} THEN {n} ELSE 0 END" for p, n in rules)
-_WANTED = f"({_any('lower(title)', S.WANTED_TITLES)})"
-_EXCLUDED = f"({_any('lower(title)', S.EXCLUDED_TITLES)} OR {' OR '.join(_hit('lower(title)', f) for f in S.EXCLUDED_FORMS)})"
-_YEARS = "list_max(list_transform(list_concat(" + ", ".join(f"regexp_extract_all(lower(content), {_q(f)}, 1)" for f in S.YEARS) + "), lambda x: CAST(x AS INTEGER)))"
-_VISA = f"CASE WHEN {_hit('lower(content)', S.NO_SPONSOR)} THEN '{S.BLOCKED}' WHEN {_hit('lower(content)', S.SPONSOR)} THEN '{S.POSSIBLE}' ELSE '{S.UNCLEAR}' END"
 
 
-@REG.add(f"SELECT id, {_WANTED} AS wanted, {_EXCLUDED} AS excluded FROM ({POSTS_SQL})")
+@REG.add(f"SELECT id, {L.wanted_sql('scan')} AS wanted, {L.wanted_sql('server')} AS wanted_server, {L.wanted_sql('china')} AS wanted_china, {L.excluded_sql()} AS excluded FROM ({POSTS_SQL})")
 def title_filters(spark, d):
-    """F1, F2."""
-    return posts(spark, d).select("id", S.wanted_title(F.col("title")).alias("wanted"), S.excluded_title(F.col("title")).alias("excluded"))
+    """F1 by the scan's, the server's and the Chinese scan's terms; F2."""
+    t = F.col("title")
+    return posts(spark, d).select("id", S.wanted_title(t, "scan").alias("wanted"), S.wanted_title(t, "server").alias("wanted_server"), S.wanted_title(t, "china").alias("wanted_china"), S.excluded_title(t).alias("excluded"))
 
 
-@REG.add(f"SELECT id, {_YEARS} AS years, {_VISA} AS visa FROM ({POSTS_SQL})")
-def years_and_visa(spark, d):
-    """The reference's own forms."""
-    return posts(spark, d).select("id", S.required_years(F.col("content")).alias("years"), S.sponsorship(F.col("content")).alias("visa"))
-
-
-def _score_sql(r: S.Rubric, visa: str | None) -> str:
-    t, gaps = "t", " + ".join(f"CASE WHEN {_hit('t', g)} THEN 15 ELSE 0 END" for g in r.gaps)
-    return (
-        f"CAST(greatest(0, least(100, {r.base} + CASE WHEN {_hit(t, r.phd)} THEN 10 WHEN {_hit(t, r.quantitative)} THEN 6 ELSE 0 END"
-        f" + CASE WHEN years IS NULL THEN 4 WHEN years = 0 THEN 10 WHEN years <= 3 THEN 8 ELSE 0 END + least(30, {_points(t, r.core)}) + least(20, {_points(t, r.domain)})"
-        f" + least(15, {_points(t, r.tools)})"
-        + (f" + CASE {visa} WHEN '{S.POSSIBLE}' THEN 15 WHEN '{S.UNCLEAR}' THEN 7 ELSE 0 END" if visa else "")
-        + (f" + CASE WHEN {_WANTED} THEN {r.targeted} ELSE 0 END" if r.targeted else "")
-        + f" - least(40, {gaps}))) AS INTEGER)"
-    )
+_PLACES = ("scan", "server", "portal", "china", "collector")
 
 
-_gaps = lambda r: " + ".join(f"CASE WHEN {_hit('t', g)} THEN 1 ELSE 0 END" for g in r.gaps)
-_eligible = lambda r: (
-    f"NOT {_hit('t', S.CITIZENSHIP)} AND visa <> '{S.BLOCKED}' AND NOT (coalesce(years > 3, false) AND NOT {_hit('lower(content)', S.DEGREE_COUNTS)}) AND ({_gaps(r)}) < 2"
+@REG.add(
+    f"SELECT id, {', '.join(f'{L.years_sql(p, chr(99))} AS years_{p}' for p in _PLACES)}, {L.visa_sql('scan', 'c')} AS visa, {L.visa_sql('server', 'c')} AS visa_server FROM (SELECT id, lower(content) AS c FROM ({POSTS_SQL}))"
 )
+def years_and_visa(spark, d):
+    """The forms of each place that reads them."""
+    c = F.col("content")
+    return posts(spark, d).select("id", *[S.required_years(c, p).alias(f"years_{p}") for p in _PLACES], S.sponsorship(c, "scan").alias("visa"), S.sponsorship(c, "server").alias("visa_server"))
 
 
 @REG.add(f"""
-    SELECT id, {_score_sql(S.RUBRIC_US, 'visa')} AS score_us, {_score_sql(S.RUBRIC_SCAN, 'visa')} AS score_scan, {_score_sql(S.RUBRIC_CHINA, None)} AS score_china,
-           {_eligible(S.RUBRIC_US)} AS eligible_us, {_eligible(S.RUBRIC_SCAN)} AS eligible_scan
-    FROM (SELECT *, lower(title || ' ' || content) AS t, {_YEARS} AS years, {_VISA} AS visa FROM ({POSTS_SQL}))
+    SELECT id, {L.score_sql('server', 'visa_server').replace('years', 'years_server')} AS score_us, {L.score_sql('scan', 'visa').replace('years', 'years_scan')} AS score_scan, {L.score_sql('china').replace('years', 'years_china')} AS score_china,
+           {L.eligible_sql('server', 'visa_server').replace('years', 'years_server')} AS eligible_us, {L.eligible_sql('scan', 'visa').replace('years', 'years_scan')} AS eligible_scan
+    FROM (SELECT *, {', '.join(f'{L.years_sql(p, "lower(content)")} AS years_{p}' for p in ('server', 'scan', 'china'))}, {L.visa_sql('server', 'lower(content)')} AS visa_server, {L.visa_sql('scan', 'lower(content)')} AS visa, lower(title || ' ' || content) AS t FROM ({POSTS_SQL}))
 """)
 def rubric_flavours(spark, d):
-    """The three full rubrics, and the eligibility of the first two."""
-    p = posts(spark, d).withColumns({"years": S.required_years(F.col("content")), "visa": S.sponsorship(F.col("content"))})
-    t, c, y, v = (F.col(x) for x in ("title", "content", "years", "visa"))
-    return p.select(
-        "id", S.score(t, c, y, v, S.RUBRIC_US).alias("score_us"), S.score(t, c, y, v, S.RUBRIC_SCAN).alias("score_scan"), S.score(t, c, y, None, S.RUBRIC_CHINA).alias("score_china"),
-        S.eligible(t, c, y, v, S.RUBRIC_US).alias("eligible_us"), S.eligible(t, c, y, v, S.RUBRIC_SCAN).alias("eligible_scan"),
+    """The three full rubrics, and the eligibility of the first two, each with its own years and sponsorship."""
+    t, c = F.col("title"), F.col("content")
+    years = lambda p: S.required_years(c, p)
+    server, scan = S.sponsorship(c, "server"), S.sponsorship(c, "scan")
+    return posts(spark, d).select(
+        "id", S.score(t, c, years("server"), server, S.RUBRIC_US).alias("score_us"), S.score(t, c, years("scan"), scan, S.RUBRIC_SCAN).alias("score_scan"), S.score(t, c, years("china"), None, S.RUBRIC_CHINA).alias("score_china"),
+        S.eligible(t, c, years("server"), server, S.RUBRIC_US).alias("eligible_us"), S.eligible(t, c, years("scan"), scan, S.RUBRIC_SCAN).alias("eligible_scan"),
     )
 
 
@@ -80,7 +67,7 @@ def rubric_short(spark, d):
 
 
 @REG.add(f"""
-    SELECT id, {_hit('c', S.CHINA_RELEVANT)} AND NOT {_hit('lower(title)', S.CHINA_EXCLUDED_TITLE)} AND NOT {_hit('lower(title)', S.CHINA_IRRELEVANT)} AND NOT {_hit('c', S.CHINA_EXCLUDED_CORE)} AND coalesce({_YEARS.replace('lower(content)', 'c')} <= 3, true) AS eligible
+    SELECT id, {_hit('c', S.CHINA_RELEVANT)} AND NOT {_hit('lower(title)', S.CHINA_EXCLUDED_TITLE)} AND NOT {_hit('lower(title)', S.CHINA_IRRELEVANT)} AND NOT {_hit('c', S.CHINA_EXCLUDED_CORE)} AND coalesce({L.years_sql('portal', 'c')} <= 3, true) AS eligible
     FROM (SELECT *, lower(title || ' ' || content) AS c FROM ({POSTS_SQL}))
 """)
 def china_eligibility(spark, d):

@@ -8,7 +8,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from siltstone.functions import screening as S
 from siltstone.plans.posts import POSTS_SQL, posts
 from siltstone.plans.registry import Registry, table
-from siltstone.plans.screen_plans import _EXCLUDED, _VISA, _WANTED, _YEARS, _eligible, _hit, _points, _q, _score_sql
+from siltstone.plans import literals as L
+from siltstone.plans.screen_plans import _hit, _points, _q
 from siltstone.plans.text_plans import canonical_sql
 from siltstone.functions import urls as U
 from siltstone.sources import adapters as A
@@ -30,8 +31,8 @@ def _raw(spark, d):
 
 
 @REG.add(f"""
-    WITH p AS (SELECT *, lower(title || ' ' || content) AS t, {_YEARS} AS years, {_VISA} AS visa, {_SCAN_ID} AS ident FROM ({POSTS_SQL})),
-    s AS (SELECT *, {_score_sql(S.RUBRIC_SCAN, 'visa')} AS score FROM p WHERE {_WANTED} AND NOT {_EXCLUDED} AND {_eligible(S.RUBRIC_SCAN)} AND {_hit('lower(content)', S.PHD)})
+    WITH p AS (SELECT *, lower(title || ' ' || content) AS t, {L.years_sql('scan', 'lower(content)')} AS years, {L.visa_sql('scan', 'lower(content)')} AS visa, {_SCAN_ID} AS ident FROM ({POSTS_SQL})),
+    s AS (SELECT *, {L.score_sql('scan', 'visa')} AS score FROM p WHERE {L.wanted_sql('scan')} AND NOT {L.excluded_sql()} AND {L.eligible_sql('scan', 'visa')} AND {_hit('lower(content)', S.PHD)})
     SELECT id AS source_id, {_KEY("regexp_replace(lower(company), '[^a-z0-9_]+', '', 'g') || '::' || coalesce(nullif(ident, ''), trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g')))")} AS job_key, title,
            CASE WHEN location = '' THEN 'Boston, US' ELSE location END AS location, '美国' AS region, {_case('t', A.SCAN_TRACKS, 'Technology')} AS track, score, visa, {_tags('content', A.SKILLS)}[1:7] AS skills,
            {canonical_sql(U.MERGE)} AS canonical_url, ident AS application_id, '待官网核验' AS status FROM s WHERE score >= 55
@@ -84,7 +85,7 @@ def adapt_snapshot(spark, d):
 @REG.add(f"""
     WITH p AS ({POSTS_SQL}), l AS (SELECT id % 900 AS k, max(id) AS id FROM p GROUP BY 1), x AS (SELECT k, p.* EXCLUDE (content), CASE WHEN p.id % 4 = 0 THEN '' ELSE content END AS jd, CASE WHEN p.id % 4 = 0 THEN '' ELSE company END AS firm FROM l JOIN p ON p.id = l.id),
     c AS (SELECT *, title || ' ' || jd || ' ' || CASE WHEN id % 4 = 0 THEN 'sql' ELSE 'sql SAS' END AS content, CASE WHEN firm <> '' THEN firm WHEN id % 8 = 0 THEN 'Boss Co' ELSE '' END AS company2 FROM x),
-    s AS (SELECT *, {_tags('content', A.LOCAL_SKILLS)} AS found, {_YEARS} AS years FROM c)
+    s AS (SELECT *, {_tags('content', A.LOCAL_SKILLS)} AS found, {L.years_sql('collector', 'lower(content)')} AS years FROM c)
     SELECT 'K' || k AS source_id, {_KEY("'K' || k")} AS job_key, title, location, '中国' AS region, {_case('lower(content)', A.LOCAL_TRACKS, 'Technology')} AS track, CAST(least(92, 68 + least(18, len(found) * 3) + CASE WHEN jd <> '' THEN 5 ELSE 0 END) AS INT) AS score, '不适用' AS visa,
            url AS canonical_url, 'K' || k AS application_id, company2 AS company
     FROM s WHERE {_hit('title', A.LOCAL_TITLE)} AND NOT {_hit('lower(title)', S.CHINA_EXCLUDED_TITLE)} AND NOT {_hit('lower(title)', S.CHINA_IRRELEVANT)} AND company2 <> '' AND coalesce(years <= 3, true) AND NOT {_hit('lower(content)', S.CHINA_EXCLUDED_CORE)}
@@ -100,16 +101,17 @@ def adapt_collector(spark, d):
 
 
 @REG.add(f"""
-    WITH p AS (SELECT *, lower(title || ' ' || content) AS t, {_YEARS} AS years, CASE WHEN {_hit('location', A.CHINA_PLACE)} THEN '中国' ELSE '美国' END AS region, {_VISA} AS v FROM ({POSTS_SQL})),
-    s AS (SELECT * FROM (SELECT *, CASE WHEN region = '美国' THEN v ELSE '{S.POSSIBLE}' END AS visa FROM p)),
-    k AS (SELECT *, {_score_sql(S.RUBRIC_US, 'visa')} AS score FROM s WHERE {_WANTED} AND NOT {_EXCLUDED} AND {_eligible(S.RUBRIC_US)} AND {_hit('lower(content)', S.RUBRIC_US.phd)} AND NOT (company = 'Blue River LLC' AND title = 'Epidemiologist'))
-    SELECT id AS source_id, title, region, score, v AS visa, {_tags('content', A.SKILLS)}[1:8] AS skills, {canonical_sql(U.IDENTITY)} AS canonical_url, CASE WHEN id % 5 = 0 THEN 'S' || id ELSE {_SERVER_ID} END AS application_id, '开放' AS status FROM k WHERE score >= 55
+    WITH p AS (SELECT *, lower(title || ' ' || content) AS t, {L.years_sql('server', 'lower(content)')} AS years, CASE WHEN {_hit('location', A.CHINA_PLACE)} THEN '中国' ELSE '美国' END AS region, {L.visa_sql('server', 'lower(content)')} AS v FROM ({POSTS_SQL})),
+    s AS (SELECT *, CASE WHEN region = '美国' THEN v END AS visa FROM p),
+    k AS (SELECT *, {L.score_sql('server', 'visa')} AS score FROM s WHERE {L.wanted_sql('server')} AND NOT {L.excluded_sql()} AND {L.eligible_sql('server', 'visa')}
+          AND regexp_matches(lower(content), '\\bph\\.?d\\.?\\b|doctoral|doctorate|博士|硕博|硕士(?:研究生)?(?:及|或)?以上') AND NOT (company = 'Blue River LLC' AND title = 'Epidemiologist'))
+    SELECT id AS source_id, title, region, {L.server_track_sql()} AS track, score, v AS visa, {L.server_skills_sql()} AS skills, {canonical_sql(U.IDENTITY)} AS canonical_url, CASE WHEN id % 5 = 0 THEN 'S' || id ELSE {_SERVER_ID} END AS application_id, '开放' AS status FROM k WHERE score >= 55
 """)
 def storable_candidates(spark, d):
     """P21."""
     c = _raw(spark, d).select("source_id", "company", "title", "location", "content", F.col("url").alias("job_url"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("S"), "id")).otherwise("").alias("application_id"), F.lit("board").alias("source"))
     ignored = spark.createDataFrame([("blue river llc::epidemiologist",)], "fingerprint string")
-    return A.storable(c, ignored).select("source_id", "title", "region", "score", "visa", "skills", "canonical_url", "application_id", "status")
+    return A.storable(c, ignored).select("source_id", "title", "region", "track", "score", "visa", "skills", "canonical_url", "application_id", "status")
 
 
 @REG.add(f"""
@@ -117,7 +119,7 @@ def storable_candidates(spark, d):
     SELECT id AS source_id, {_KEY('link')} AS job_key, title, CASE WHEN location <> '' THEN location WHEN region = '中国' THEN '中国' ELSE 'Location not listed' END AS location, region, {_case('title', A.AGGREGATOR_TRACKS, 'Technology')} AS track,
            CAST(least({S.SHORT_RUBRICS['portal'][1]}, {S.SHORT_RUBRICS['portal'][0]} + {_points('b', S.SHORT_RUBRICS['portal'][2])}) AS INT) AS score, CASE WHEN region = '中国' THEN '不适用' ELSE 'JD 未明确' END AS visa, {_tags('content', A.SKILLS)}[1:7] AS skills,
            link AS canonical_url, CAST(id AS VARCHAR) AS application_id, '开放' AS status
-    FROM p WHERE {_hit('title', A.PORTAL_TITLE)} AND CASE WHEN region = '中国' THEN {_hit('c', S.CHINA_RELEVANT)} AND NOT {_hit('lower(title)', S.CHINA_EXCLUDED_TITLE)} AND NOT {_hit('lower(title)', S.CHINA_IRRELEVANT)} AND NOT {_hit('c', S.CHINA_EXCLUDED_CORE)} AND coalesce({_YEARS.replace('lower(content)', 'c')} <= 3, true)
+    FROM p WHERE {_hit('title', A.PORTAL_TITLE)} AND CASE WHEN region = '中国' THEN {_hit('c', S.CHINA_RELEVANT)} AND NOT {_hit('lower(title)', S.CHINA_EXCLUDED_TITLE)} AND NOT {_hit('lower(title)', S.CHINA_IRRELEVANT)} AND NOT {_hit('c', S.CHINA_EXCLUDED_CORE)} AND coalesce({L.years_sql('portal', 'c')} <= 3, true)
               AND (location = '' OR {_hit('location', A.CHINA_PLACE)}) ELSE NOT {_hit('title', A.PORTAL_EXCLUDED)} AND (location = '' OR {_hit('location', A.US_PLACE)}) END
 """)
 def adapt_portal(spark, d):

@@ -22,7 +22,7 @@ LEAST_SCORE = 55
 
 # Skills, tracks and places of the adapters.
 SKILLS = (
-    ("R", r"(?i)(?:^|[^a-z0-9_])r(?:[^a-z0-9_]|$)|\brstudio\b"), ("Python", r"(?i)\bpython\b"), ("SQL", r"(?i)\bsql\b"), ("SAS", r"(?i)\bsas\b"), ("Statistics", r"(?i)\bstatistic"),
+    ("R", r"(?i)(?:^|\W)r(?:\W|$)|\brstudio\b"), ("Python", r"(?i)\bpython\b"), ("SQL", r"(?i)\bsql\b"), ("SAS", r"(?i)\bsas\b"), ("Statistics", r"(?i)\bstatistic"),
     ("Biostatistics", r"(?i)\bbiostat"), ("Causal inference", r"(?i)causal inference|propensity score|inverse probability|target trial"), ("Experimentation", r"(?i)experimental design|a/b test|randomized experiment"),
     ("Machine learning", r"(?i)machine learning|statistical learning|predictive model"), ("Clinical trials", r"(?i)clinical trial|randomized controlled trial|estimand"),
     ("Longitudinal data", r"(?i)longitudinal|repeated measures|mixed.effects|survival analysis"), ("Model validation", r"(?i)external validation|calibration|generaliz|fairness|bias analysis|model evaluation"),
@@ -35,6 +35,17 @@ LOCAL_SKILLS = (
     ("RWE / HEOR", r"(?i)real.world|真实世界|\bheor\b|health economics|卫生经济"),
 )
 SCAN_TRACKS = (("Quant", "quantitative researcher|quantitative analyst|systematic"), ("Pharma", "biostat|statistical scientist|clinical trial|epidemiol|health economics|outcomes research"), ("Healthcare AI", "health|clinical ai|medical|imaging"), ("Medical Device", "device|diagnostic|algorithm validation"))
+SERVER_SKILLS = (
+    ("Python", r"(?i)\bpython\b"), ("R", r"(?:^|\W)R(?:\W|$)"), ("SQL", r"(?i)\bsql\b"), ("SAS", r"(?i)\bsas\b"), ("Statistics", r"(?i)\bstatistic"), ("Biostatistics", r"(?i)\bbiostat"),
+    ("Causal inference", r"(?i)causal inference|propensity score|inverse probability|target trial"), ("Experimentation", r"(?i)experiment(?:al)? design|a\/b test|randomized experiment"),
+    ("Machine learning", r"(?i)machine learning|statistical learning|predictive model"), ("Clinical trials", r"(?i)clinical trial|randomized controlled trial|estimand"),
+    ("Longitudinal data", r"(?i)longitudinal|repeated measures|mixed.effects|survival analysis"), ("Model validation", r"(?i)external validation|calibration|generaliz|fairness|bias analysis|model evaluation"),
+    ("Medical imaging", r"(?i)medical imaging|neuroimaging|multimodal imaging|digital biomarker"), ("RWE / HEOR", r"(?i)real.world evidence|\brwe\b|\bheor\b|health economics|pharmacoepidemi"),
+)
+SERVER_TRACKS = (
+    ("Quant", "quantitative researcher|quantitative analyst|systematic|量化研究|定量研究|量化分析"), ("Pharma", "biostat|statistical scientist|clinical trial|epidemiol|health economics|outcomes research|生物统计|临床统计|医学统计|流行病|卫生经济|健康经济|真实世界"),
+    ("Healthcare Consulting", "healthcare consultant|life sciences consultant|医疗咨询|医药咨询|生命科学咨询"), ("Healthcare AI", "health|clinical ai|medical|imaging"), ("Medical Device", "device|diagnostic|algorithm validation"),
+)
 AGGREGATOR_TRACKS = (("Quant", "(?i)quantitative"), ("Pharma", "(?i)biostat|statistical|epidemiol|health econom|outcomes|clinical statistic|medical statistic"))
 LOCAL_TRACKS = (
     ("Quant", "量化研究|量化分析|quantitative|systematic"), ("Consulting", "医疗咨询|医药咨询|生命科学咨询|healthcare consultant|life sciences consultant"), ("Pharma", "生物统计|临床统计|医学统计|biostat|clinical trial|流行病|卫生经济|真实世界"),
@@ -70,7 +81,7 @@ def from_scraper(df: DataFrame) -> DataFrame:
     """
     t, d, c = _text("title", df), _text("description", df), _text("company", df)
     url = T.first_nonempty(_text("job_url_direct", df), _text("job_url", df))
-    years, visa = S.required_years(d), S.sponsorship(d)
+    years, visa = S.required_years(d, "scan"), S.sponsorship(d, "scan")
     score, ident = S.score(t, d, years, visa, S.RUBRIC_SCAN), S.application_id(url, "scan")
     keep = (t != "") & (c != "") & (url != "") & S.wanted_title(t) & ~S.excluded_title(t)
     keep = keep & S.eligible(t, d, years, visa, S.RUBRIC_SCAN) & F.lower(d).rlike(S.PHD) & (score >= LEAST_SCORE)
@@ -196,7 +207,7 @@ def from_collector(listing: DataFrame, details: DataFrame, row_key: str, seen: s
     company, url = T.first_nonempty(F.col("d_company"), F.col("company"), trusted), T.squeeze(F.col("job_link"))
     tags = F.concat(T.split_tags(F.col("skills")), T.split_tags(F.col("d_tags")))
     content = F.concat_ws(" ", t, jd, F.array_join(tags, " "))
-    years, found = S.required_years(content), R.all_matches(content, LOCAL_SKILLS)
+    years, found = S.required_years(content, "collector"), R.all_matches(content, LOCAL_SKILLS)
     low = F.lower(t)
     keep = t.rlike(LOCAL_TITLE) & ~low.rlike(S.CHINA_EXCLUDED_TITLE) & ~low.rlike(S.CHINA_IRRELEVANT) & (company != "") & (url != "")
     keep = keep & (years.isNull() | (years <= S.MOST_YEARS)) & ~F.lower(content).rlike(S.CHINA_EXCLUDED_CORE)
@@ -217,13 +228,13 @@ def storable(candidates: DataFrame, ignored: DataFrame) -> DataFrame:
     c = c.join(joins.small(ignored.select(F.col("fingerprint").alias("__k")).distinct()), "__k", "left_anti")
     t, d, url = T.squeeze(F.col("title")), T.squeeze(F.col("content")), T.squeeze(F.col("job_url"))
     region = F.when(F.coalesce(F.col("location"), F.lit("")).rlike(CHINA_PLACE), CHINA).otherwise(US)
-    years, visa = S.required_years(d), S.sponsorship(d)
+    years, visa = S.required_years(d, "server"), S.sponsorship(d, "server")
     asked = F.when(region == US, visa)
     score = S.score(t, d, years, asked, S.RUBRIC_US)
-    keep = (t != "") & (url != "") & S.wanted_title(t) & ~S.excluded_title(t) & S.eligible(t, d, years, asked, S.RUBRIC_US) & F.lower(d).rlike(S.RUBRIC_US.phd) & (score >= LEAST_SCORE)
+    keep = (t != "") & (url != "") & S.wanted_title(t, "server") & ~S.excluded_title(t) & S.eligible(t, d, years, asked, S.RUBRIC_US) & F.lower(d).rlike(S.RUBRIC_US.phd) & (score >= LEAST_SCORE)
     return _rows(
-        c, keep, job_key=job_key(F.col("__k")), company=F.col("company"), title=t, location=F.col("location"), region=region, track=R.first_match(F.lower(F.concat_ws(" ", t, d)), SCAN_TRACKS, "Technology"), score=score, visa=visa,
-        skills=R.all_matches(d, SKILLS, 8), job_url=url, canonical_url=U.canonical_url(url, U.IDENTITY), application_id=S.application_id(url, "server", F.col("application_id")), source=F.col("source"), status=OPEN, description=d,
+        c, keep, job_key=job_key(F.col("__k")), company=F.col("company"), title=t, location=F.col("location"), region=region, track=R.first_match(F.lower(F.concat_ws(" ", t, d)), SERVER_TRACKS, "Technology"), score=score, visa=visa,
+        skills=R.all_matches(d, SERVER_SKILLS, 7), job_url=url, canonical_url=U.canonical_url(url, U.IDENTITY), application_id=S.application_id(url, "server", F.col("application_id")), source=F.col("source"), status=OPEN, description=d,
     )
 
 
