@@ -11,51 +11,97 @@ from pyspark.sql import functions as F
 from siltstone.functions.rules import Rule, all_matches
 from siltstone.functions.text import identity_text, is_placeholder_title, section
 from siltstone.functions.urls import base_page_url
+from siltstone.names import column, fresh
+from siltstone.store import Table
+
+
+def fold_records(df: DataFrame, keys: Sequence[str], order: Sequence[str], quality: Sequence[str], maxima: Sequence[str] = (), salts: int = 16) -> DataFrame:
+    """The rows of each key that become the base of the fold of D3: keys, order. No row holds a key's history.
+
+    The merged row's own quality is what a row has to beat. Of a quality column in `maxima` that is the running
+    maximum of all rows. Any other is the base's value, filled from the first row that has one while it is zero; so it is a
+    running maximum among the rows that equal the merged row in all columns before it, which starts anew where a
+    row is better in one of those and has a value.
+
+    Bases are among the rows that are better than all rows before them in any subset of a key's rows. So a key's rows are
+    first dealt to `salts` subsets, and only such rows go on, with those that first fill a column or raise a maximum.
+    Both passes are windows, which spill.
+    """
+    lean = df.select(*keys, *order, *[F.coalesce(F.col(q).cast("double"), F.lit(0.0)).alias(f"q{i}") for i, q in enumerate(quality)]).distinct()
+    cols = [f"q{i}" for i in range(len(quality))]
+    rising = [c for c, q in zip(cols, quality) if q in maxima]
+    filled = [c for c in cols if c not in rising]
+
+    def before(w):
+        return w.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+
+    salted = lean.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    part = before(W.partitionBy(*keys, "salt"))
+    best = F.max(F.struct(*cols)).over(part)
+    useful = best.isNull() | (F.struct(*cols) > best)
+    for c in rising:
+        useful = useful | (F.col(c) > F.max(c).over(part))
+    for c in filled:
+        useful = useful | ((F.col(c) > 0) & (F.max(c).over(part) <= 0))
+    few = salted.withColumn("useful", useful).where("useful").select(*keys, *order, *cols)
+
+    w = before(W.partitionBy(*keys))
+    upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    first = F.count("*").over(w) == 0
+    few = few.withColumns({"better": first, "equal": ~first})  # by the columns so far: than the merged row before, or as it
+    for c in cols:
+        if c in rising:
+            few = few.withColumn("now", F.max(c).over(w))
+        else:
+            anew = (F.col(c) > 0) & (F.col("better") | (F.coalesce(F.max(c).over(w), F.lit(0.0)) <= 0))
+            few = few.withColumn("turn", F.sum(anew.cast("long")).over(upto))
+            given = F.when(anew | F.col("equal"), F.col(c)).otherwise(0.0)
+            few = few.withColumn("now", F.coalesce(F.max(F.struct("turn", given.alias("v"))).over(w)["v"], F.lit(0.0)))
+        few = few.withColumn("better", F.col("better") | (F.col("equal") & (F.col(c) > F.col("now")))).withColumn("equal", F.col("equal") & (F.col(c) == F.col("now")))
+    return few.where("better").select(*keys, *order)
 
 
 def fold_merge(df: DataFrame, keys: Sequence[str], ordinal: str, quality: Sequence[str], overlay: Sequence[str], unions: Sequence[str] = (), maxima: Sequence[str] = ()) -> DataFrame:
     """D3: fold the rows of a key in order. The row of the strictly better quality tuple is the base of the
     result, its empty fields are filled from the other; `unions` (arrays) keep first-seen order; `maxima` take the larger.
 
-    quality and overlay are columns; the merged row's own quality takes part in the next step, as it follows
-    the fields that the quality columns are themselves folded with. Runs as one JVM aggregate over the
-    ordered rows of a key, no Python involved. The fold depends on the order, so a key's whole history is one
-    row of one task: it has to fit in memory.
+    quality: numeric columns, zero and null being empty; the merged row's own quality takes part in the next step
+    (see fold_records). A field's value is that of the last base that has one, else that of the first row that has one:
+    two aggregates that are combined before the shuffle, so a key may be as large as it likes. Rows of equal
+    ordinals are taken in the order of a hash of their columns; rows with a null key are one key, null ordinals come first.
+    A key of one row keeps its arrays as they are. Also returns n_merged, the rows of the key.
     """
     fields = list(dict.fromkeys([*quality, *overlay, *unions, *maxima]))
-    row = F.struct(F.col(ordinal).alias("__o"), *[F.col(c).alias(c) for c in fields])
-    grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("__rows"))
-    rank = lambda r: F.struct(*[r[c] for c in quality])
-
-    def empty(c: Column, name: str) -> Column:
-        kind = dict(df.dtypes)[name]
-        blank = c.isNull()
-        if kind == "string":
-            return blank | (c == "")
-        if kind.startswith("array"):
-            return blank | (F.size(c) == 0)
-        return blank
-
-    def step(left, right):
-        better = rank(right) > rank(left)
-        out = [left["__o"].alias("__o")]
-        for c in fields:
-            a, b = F.when(better, right[c]).otherwise(left[c]), F.when(better, left[c]).otherwise(right[c])
-            if c in unions:
-                none = F.array().cast(dict(df.dtypes)[c])
-                value = F.array_distinct(F.concat(F.coalesce(left[c], none), F.coalesce(right[c], none)))
-            elif c in maxima:
-                value = F.greatest(left[c], right[c])
-            elif c in overlay:
-                value = F.when(empty(a, c), b).otherwise(a)
-            else:
-                value = a
-            out.append(value.alias(c))
-        return F.struct(*out)
-
-    rest = F.slice(F.col("__rows"), F.lit(2), F.size("__rows"))
-    merged = F.aggregate(rest, F.get(F.col("__rows"), F.lit(0)), step)
-    return grouped.select(*keys, merged.alias("__m"), F.size("__rows").alias("n_merged")).select(*keys, *[F.col(f"__m.{c}").alias(c) for c in fields], "n_merged")
+    # Hashes stand for keys of any type, null too; a row is known by its key, its ordinal and its hash.
+    rows = df.select(*keys, F.xxhash64(*keys).alias("key_hash"), F.col(ordinal).alias("at"), F.xxhash64(*keys, ordinal, *fields).alias("row_hash"), *fields)
+    order = ["at", "row_hash"]
+    kinds = dict(df.dtypes)
+
+    def given(c: str) -> Column:
+        if kinds[c] == "string":
+            return F.coalesce(F.col(c) != "", F.lit(False))
+        if kinds[c].startswith("array"):
+            return F.coalesce(F.size(c) > 0, F.lit(False))
+        return F.coalesce(F.col(c) != 0, F.lit(False)) if c in quality else F.col(c).isNotNull()
+
+    place = F.struct(*order)
+    plain = [c for c in fields if c not in unions and c not in maxima]
+    marks = fold_records(rows, ["key_hash"], order, quality, maxima).withColumn("base", F.lit(True)).withColumnsRenamed({"key_hash": "m_key", "at": "m_at", "row_hash": "m_row"})
+    same = (F.col("key_hash") == F.col("m_key")) & F.col("at").eqNullSafe(F.col("m_at")) & (F.col("row_hash") == F.col("m_row"))
+    marked = rows.join(marks, same, "left").drop("m_key", "m_at", "m_row")
+    held = [F.max_by(c, F.when(F.col("base") & given(c), place)).alias(f"l_{c}") for c in plain] + [F.min_by(c, F.when(given(c), place)).alias(f"f_{c}") for c in plain]
+    # Where no row has a value, that of the last base stays: null, empty or zero.
+    none = [F.max_by(c, F.when(F.col("base"), place)).alias(f"n_{c}") for c in plain]
+    only = [F.max_by(c, place).alias(f"o_{c}") for c in unions]
+    out = marked.groupBy("key_hash").agg(*[F.first(k).alias(k) for k in keys], *held, *none, *only, *[F.max(c).alias(c) for c in maxima], F.count("*").cast("int").alias("n_merged"))
+    for c in unions:
+        each = rows.select("key_hash", "at", "row_hash", F.posexplode(c).alias("pos", "item"))
+        seen = each.groupBy("key_hash", "item").agg(F.min(F.struct("at", "row_hash", "pos")).alias("seen"))
+        lists = seen.groupBy(F.col("key_hash").alias("u_key")).agg(F.transform(F.sort_array(F.collect_list(F.struct("seen", "item"))), lambda x: x["item"]).alias(f"u_{c}"))
+        out = out.join(lists, F.col("key_hash") == F.col("u_key"), "left").drop("u_key")
+    none_of = lambda c: F.array().cast(kinds[c])
+    value = {c: F.coalesce(f"l_{c}", f"f_{c}", f"n_{c}") for c in plain} | {c: F.when(F.col("n_merged") == 1, F.col(f"o_{c}")).otherwise(F.coalesce(f"u_{c}", none_of(c))) for c in unions} | {c: F.col(c) for c in maxima}
+    return out.select(*keys, *[value[c].alias(c) for c in fields], "n_merged")
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -145,31 +191,72 @@ def enrich(df: DataFrame, description: str, url: str, status: str, score: str, o
     )
 
 
-def split_batches(df: DataFrame, ordinal: str, payload: str, most_rows: int, most_bytes: int) -> DataFrame:
-    """K4: batch numbers in order, each batch bounded by rows and by encoded bytes; raises on a row that is too large.
+BLOCK = 100_000  # consecutive rows that one task of the batch splitter walks through
 
-    Greedy filling is sequential by nature, so only (ordinal, bytes) pass through one ordered task, in
-    Arrow batches; the payload stays where it is and is joined back.
-    """
+
+def _walk(most_rows: int, most_bytes: int, size: int, mark: bool):
+    """Within a block of consecutive rows (block, own, entry, base, row, sum): where the walk from each possible entry leaves it, and after
+    how many batches; or, if `mark`, the batch of every row from the entry that is known. Behind its own rows a block has the first ones of the next."""
+    import numpy as np
     import pyarrow as pa
 
-    def fill(batches):
-        batch, rows, size = 0, 0, 2
-        for b in batches:
-            out = []
-            for n in b.column(1).to_pylist():
-                if n + 2 > most_bytes:
-                    raise ValueError(f"a row of {n} bytes exceeds a batch of {most_bytes}")
-                extra = n + (1 if rows else 0)
-                if rows and (rows >= most_rows or size + extra > most_bytes):
-                    batch, rows, size, extra = batch + 1, 0, 2, n
-                rows, size = rows + 1, size + extra
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["__o", "batch"])
-
-    lean = df.select(F.col(ordinal).cast("long").alias("__o"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("n")).repartitionByRange(1, "__o").sortWithinPartitions("__o")
-    filled = lean.mapInArrow(fill, "__o long, batch long")
-    return df.join(filled, F.col(ordinal) == F.col("__o")).drop("__o")
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by("row")
+        row, total = t.column("row").to_numpy(), t.column("sum").to_numpy()
+        start = total - t.column("bytes").to_numpy() - 1  # bytes and commas before each row
+        after = np.minimum(np.arange(len(row)) + most_rows, np.searchsorted(total, start + most_bytes - 1, side="right"))
+        own = int(t.column("own").to_numpy().sum())
+        block = t.column("block")[0].as_py()
+        if mark:
+            at, starts = int(t.column("entry")[0].as_py() - row[0]), []
+            while at < own:
+                starts.append(at)
+                at = int(after[at])
+            batch = np.searchsorted(starts, np.arange(own), side="right") - 1 + t.column("base")[0].as_py()
+            return pa.table({"row": pa.array(row[:own]), "batch": pa.array(batch.astype(np.int64))})
+        leave, count = np.arange(len(row) + 1), np.zeros(len(row) + 1, dtype=np.int64)
+        for i in range(own - 1, -1, -1):
+            leave[i], count[i] = leave[after[i]], count[after[i]] + 1
+        n = min(own, most_rows)
+        return pa.table({"block": pa.array(np.full(n, block)), "entry": pa.array(row[:n]), "next": pa.array(row[0] + leave[:n]), "many": pa.array(count[:n])})
+
+    return run
+
+
+def split_batches(df: DataFrame, ordinal: str, payload: str, most_rows: int, most_bytes: int, block: int = BLOCK) -> DataFrame:
+    """K4: df with `batch`, numbered from 0 in order; each batch is bounded by rows and by encoded bytes (brackets and commas count). Raises on a row that is too large.
+
+    Greedy filling: where a batch ends depends on where it began. Prefix sums of the bytes, made by ranges of
+    the order, tell for any row where a batch from it would end. Blocks of consecutive rows are walked through apart,
+    from each row at which a batch can enter them; the ways through blocks are then joined by
+    pointer jumping from the first row, and each block is walked once more from its true entry. So no
+    task sees all rows. Rows of equal ordinals are taken in the order of their payloads, null ordinals come first; a null
+    payload has no bytes; equal rows are rows of their own. A column `batch` of the input is replaced; an empty table gives no rows.
+    """
+    from siltstone.operators.scans import numbered
+
+    size = max(block, most_rows)
+    names = {k: fresh(df, k) for k in ("row", "sum", "bytes")}
+    bytes_ = F.coalesce(F.octet_length(column(payload).cast("string")), F.lit(0)).cast("long")
+    whole = F.when(bytes_ + 2 > most_bytes, F.raise_error(F.concat(F.lit("a row of "), bytes_, F.lit(f" bytes exceeds a batch of {most_bytes}")))).otherwise(bytes_)
+    rest = df.drop("batch").withColumn(names["bytes"], whole.cast("long"))
+    rows = numbered(rest, [column(ordinal).asc_nulls_first(), column(payload).asc_nulls_first()], names["row"], {names["sum"]: F.col(names["bytes"]) + 1})
+    lean = rows.df.select(*[F.col(v).alias(k) for k, v in names.items()]).withColumn("block", F.floor((F.col("row") - 1) / size))
+    ahead = lean.where((F.col("block") > 0) & ((F.col("row") - 1) % size < most_rows)).withColumn("block", F.col("block") - 1)
+    dealt = lean.withColumn("own", F.lit(1)).unionByName(ahead.withColumn("own", F.lit(0)))
+    ways = Table(dealt.groupBy("block").applyInArrow(_walk(most_rows, most_bytes, size, False), "block long, entry long, next long, many long"), "batch-ways")
+    blocks = ways.df.agg(F.max("block")).first()[0]
+    # Entries of blocks 0 to 2^k - 1 are known after k rounds; `leap` crosses 2^k blocks.
+    known = Table(df.sparkSession.createDataFrame([(0, 1, 0)], "block long, entry long, base long"), "batch-entries")
+    leap, step = ways, 1
+    while step <= (blocks or 0):
+        ahead = known.df.join(leap.df, ["block", "entry"]).select((F.col("block") + step).alias("block"), F.col("next").alias("entry"), (F.col("base") + F.col("many")).alias("base"))
+        known = Table(known.df.unionByName(ahead.where(F.col("block") <= blocks)), "batch-entries")
+        far = leap.df.alias("a").join(leap.df.alias("b"), (F.col("a.block") + step == F.col("b.block")) & (F.col("a.next") == F.col("b.entry")))
+        leap, step = Table(far.select("a.block", "a.entry", "b.next", (F.col("a.many") + F.col("b.many")).alias("many")), "batch-ways"), 2 * step
+    entered = dealt.join(known.df, "block").groupBy("block").applyInArrow(_walk(most_rows, most_bytes, size, True), "row long, batch long")
+    entered = entered.withColumnRenamed("row", "of_row")
+    return rows.df.join(entered, F.col(names["row"]) == F.col("of_row")).drop("of_row", *names.values())
 
 
 # How a captured page is stored.
@@ -231,7 +318,7 @@ def china_merge(df: DataFrame, ordinal: str) -> DataFrame:
             "sources": F.filter(F.array(F.trim(F.coalesce(F.col("source"), F.lit("")))), lambda x: x != ""),
         }
     )
-    out = fold_merge(keyed, ["identity"], ordinal, ["verified", "described", "rank_score"], ["company", "title", "location", "description", "status"], ["sources", "skills"], ["score"])
+    out = fold_merge(keyed, ["identity"], ordinal, ["verified", "described", "rank_score"], ["company", "title", "location", "description", "status"], ["sources", "skills"], ["score", "rank_score"])
     skills = F.filter(F.transform("skills", lambda x: F.trim(x)), lambda x: x != "")
     return out.select("identity", "company", "title", "location", "description", "status", "score", F.sort_array("sources").alias("sources"), F.slice(F.array_distinct(skills), 1, MOST_SKILLS).alias("skills"), "n_merged")
 

@@ -234,7 +234,7 @@ _FOLD_ROWS = """
     f AS (SELECT k, list_reduce(l, lambda a, b: {{
         'c': CASE WHEN b.q > a.q THEN coalesce(nullif(b.c, ''), a.c) ELSE coalesce(nullif(a.c, ''), b.c) END, 't': CASE WHEN b.q > a.q THEN coalesce(nullif(b.t, ''), a.t) ELSE coalesce(nullif(a.t, ''), b.t) END,
         'd': CASE WHEN b.q > a.q THEN coalesce(nullif(b.d, ''), a.d) ELSE coalesce(nullif(a.d, ''), b.d) END, 's': CASE WHEN b.q > a.q THEN coalesce(nullif(b.s, ''), a.s) ELSE coalesce(nullif(a.s, ''), b.s) END,
-        'q': CASE WHEN b.q > a.q THEN b.q ELSE a.q END, 'm': greatest(a.m, b.m), 'src': list_concat(a.src, b.src), 'sk': list_concat(a.sk, b.sk), 'cnt': a.cnt + b.cnt}}) AS x FROM g)
+        'q': {{'v': greatest(a.q.v, b.q.v), 'n': length(CASE WHEN b.q > a.q THEN coalesce(nullif(b.d, ''), a.d) ELSE coalesce(nullif(a.d, ''), b.d) END), 'p': greatest(a.q.p, b.q.p)}}, 'm': greatest(a.m, b.m), 'src': list_concat(a.src, b.src), 'sk': list_concat(a.sk, b.sk), 'cnt': a.cnt + b.cnt}}) AS x FROM g)
     SELECT 'u' || k AS identity, x.c AS company, x.t AS title, x.d AS description, x.s AS status, x.m AS score, list_sort(list_distinct(x.src)) AS sources,
            list_transform(list_filter(list_zip(list_transform(x.sk, lambda s: trim(s)), range(len(x.sk))), lambda z: list_position(list_transform(x.sk, lambda s: trim(s)), z[1]) = z[2] + 1), lambda z: z[1])[1:12] AS skills, x.cnt AS n_merged FROM f
 """)

@@ -24,8 +24,7 @@ def n_rows():
 """)
 def dedup_last(spark, d):
     """D1."""
-    c = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max("role").alias("role"), F.max("text").alias("text"))
-    return dedup.keep_last(c, ["conv_id"], "turn").select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
+    return dedup.keep_last(table(spark, d, "conversations"), ["conv_id"], "turn").select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
 
 
 @REG.add("""
@@ -148,24 +147,29 @@ def display_dedup(spark, d):
 
 
 @REG.add("""
-    WITH r AS (SELECT source, lang, doc_id, (doc_id % 3 = 0)::INT AS v, least(n_chars, 100000) AS n, CASE WHEN doc_id % 5 < 2 THEN CASE WHEN text <> '' THEN sha256(text) ELSE text END ELSE '' END AS e, ['s' || (doc_id % 7)] AS k, doc_id * 31 % 100 AS m FROM documents),
-    g AS (SELECT source, lang, list({'q': {'v': v, 'n': n}, 'e': e, 'k': k, 'm': m, 'c': 1} ORDER BY doc_id) AS l FROM r GROUP BY 1, 2),
-    f AS (SELECT source, lang, list_reduce(l, lambda a, b: {'q': CASE WHEN b.q > a.q THEN b.q ELSE a.q END, 'e': CASE WHEN b.q > a.q THEN CASE WHEN coalesce(b.e, '') = '' THEN a.e ELSE b.e END ELSE CASE WHEN coalesce(a.e, '') = '' THEN b.e ELSE a.e END END,
-        'k': CASE WHEN list_contains(a.k, b.k[1]) THEN a.k ELSE list_concat(a.k, b.k) END, 'm': greatest(a.m, b.m), 'c': a.c + b.c}) AS x FROM g)
-    SELECT source, lang, x.q.v AS verified, x.q.n AS description, x.e AS evidence, array_to_string(x.k, '|') AS skills, x.m AS score, CAST(x.c AS INT) AS n_merged FROM f
+    WITH r AS (SELECT source, lang, doc_id, (doc_id % 9 = 0)::INT AS v, CASE WHEN doc_id % 4 = 1 THEN 0 ELSE least(n_chars, 100000) END AS n, CASE WHEN doc_id % 5 < 2 THEN CASE WHEN text <> '' THEN sha256(text) ELSE text END ELSE '' END AS e, ['s' || (doc_id % 7)] AS k, doc_id * 31 % 100 AS m FROM documents),
+    g AS (SELECT source, lang, list({'v': v, 'n': coalesce(n, 0), 'x': doc_id * 7 % 13 * (coalesce(e, '') <> '')::INT, 'e': e, 'k': k, 'm': m, 'c': 1} ORDER BY doc_id) AS l FROM r GROUP BY 1, 2),
+    f AS (SELECT source, lang, list_reduce(list_transform(l, lambda z: {'q': {'v': z.v, 'n': z.n, 'x': z.x, 'm': z.m}, 'e': z.e, 'k': z.k, 'c': z.c}), lambda a, b: {
+        'q': {'v': CASE WHEN b.q > a.q THEN CASE WHEN b.q.v <> 0 THEN b.q.v ELSE a.q.v END ELSE CASE WHEN a.q.v <> 0 THEN a.q.v ELSE b.q.v END END,
+              'n': CASE WHEN b.q > a.q THEN CASE WHEN b.q.n <> 0 THEN b.q.n ELSE a.q.n END ELSE CASE WHEN a.q.n <> 0 THEN a.q.n ELSE b.q.n END END,
+              'x': CASE WHEN b.q > a.q THEN CASE WHEN b.q.x <> 0 THEN b.q.x ELSE a.q.x END ELSE CASE WHEN a.q.x <> 0 THEN a.q.x ELSE b.q.x END END, 'm': greatest(a.q.m, b.q.m)},
+        'e': CASE WHEN b.q > a.q THEN CASE WHEN coalesce(b.e, '') = '' THEN a.e ELSE b.e END ELSE CASE WHEN coalesce(a.e, '') = '' THEN b.e ELSE a.e END END,
+        'k': CASE WHEN list_contains(a.k, b.k[1]) THEN a.k ELSE list_concat(a.k, b.k) END, 'c': a.c + b.c}) AS x FROM g)
+    SELECT source, lang, x.q.v AS verified, x.q.n AS description, x.q.x AS noted, coalesce(x.e, '') AS evidence, array_to_string(x.k, '|') AS skills, x.q.m AS score, CAST(x.c AS INT) AS n_merged FROM f
 """)
 def fold_merge(spark, d):
-    """D3 on documents keyed by source and language, with the digest of a whole text as evidence."""
+    """D3 on documents keyed by source and language: quality is verified, description, evidence and score; the digest of a whole text is the evidence."""
+    evidence = F.when(F.col("doc_id") % 5 < 2, F.when(F.col("text") != "", F.sha2("text", 256)).otherwise(F.col("text"))).otherwise("")
     t = table(spark, d, "documents").select(
         "source", "lang", "doc_id",
-        (F.col("doc_id") % 3 == 0).cast("int").alias("verified"),
-        F.least(F.col("n_chars"), F.lit(100_000)).alias("description"),
-        F.when(F.col("doc_id") % 5 < 2, F.when(F.col("text") != "", F.sha2("text", 256)).otherwise(F.col("text"))).otherwise("").alias("evidence"),
+        (F.col("doc_id") % 9 == 0).cast("int").alias("verified"),
+        F.when(F.col("doc_id") % 4 == 1, 0).otherwise(F.least(F.col("n_chars"), F.lit(100_000))).alias("description"),
+        (F.col("doc_id") * 7 % 13 * (F.coalesce(evidence, F.lit("")) != "").cast("int")).alias("noted"), evidence.alias("evidence"),
         F.array(F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string"))).alias("skills"),
         (F.col("doc_id") * 31 % 100).alias("score"),
     )
-    out = merge.fold_merge(t, ["source", "lang"], "doc_id", ["verified", "description"], ["evidence"], ["skills"], ["score"])
-    return out.withColumn("skills", F.array_join("skills", "|"))
+    out = merge.fold_merge(t, ["source", "lang"], "doc_id", ["verified", "description", "noted", "score"], ["evidence"], ["skills"], ["score"])
+    return out.withColumns({"skills": F.array_join("skills", "|"), "evidence": F.coalesce("evidence", F.lit(""))})
 
 
 @REG.add("""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.names import column, fresh
+
 LIST_SEPARATOR = " | "
 
 
@@ -30,9 +32,10 @@ def write_batches(df: DataFrame, ordinal: str, path: str, most_rows: int = 40, m
     """K4 as files: one folder per batch, rows in order inside; returns the batch sizes."""
     from siltstone.operators.merge import split_batches
 
-    rows = df.withColumn("__j", F.to_json(F.struct(*df.columns)))
-    numbered = split_batches(rows, ordinal, "__j", most_rows, most_bytes)
-    files = numbered.select("batch", F.col("__j").alias("value"), ordinal).repartition("batch").sortWithinPartitions("batch", ordinal)
+    name = fresh(df, "line")
+    rows = df.withColumn(name, F.to_json(F.struct(*[column(c) for c in df.columns])))
+    numbered = split_batches(rows, ordinal, name, most_rows, most_bytes)
+    files = numbered.select("batch", F.col(name).alias("value"), column(ordinal).alias("at")).repartition("batch").sortWithinPartitions("batch", "at", "value")
     files.select("batch", "value").write.mode("overwrite").partitionBy("batch").text(path)
     return numbered.groupBy("batch").agg(F.count("*").alias("n"))
 

@@ -136,6 +136,93 @@ def test_batches_are_greedy_and_bounded(spark):
         merge.split_batches(df, "o", "j", 7, 50).collect()
 
 
+def greedy(sizes, most_rows, most_bytes):
+    batch, n, size, out = 0, 0, 2, []
+    for b in sizes:
+        extra = b + (1 if n else 0)
+        if n and (n >= most_rows or size + extra > most_bytes):
+            batch, n, size, extra = batch + 1, 0, 2, b
+        n, size = n + 1, size + extra
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 30, 1000])
+def test_batches_over_many_blocks(spark, block):
+    rng = random.Random(block)
+    rows = [(i, "x" * rng.randrange(60)) for i in range(400)]
+    df = spark.createDataFrame(rows, "o int, j string").repartition(6)
+    got = {r.o: r.batch for r in merge.split_batches(df, "o", "j", 7, 200, block=block).collect()}
+    assert [got[i] for i, _ in rows] == greedy([len(j) for _, j in rows], 7, 200)
+
+
+def test_batches_of_odd_rows(spark):
+    rows = [(1, "a"), (1, "bb"), (None, "c"), (2, None), (1, "a"), (None, None), (3, "é")]
+    df = spark.createDataFrame([(*r, 9, 9, 9, 9) for r in rows], "o int, j string, row int, sum int, batch int, part int")
+    got = merge.split_batches(df, "o", "j", 3, 100)
+    assert sorted(got.columns) == sorted(df.columns)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert sorted((r.batch, *(repr(x) for x in (r.o, r.j))) for r in got.collect()) == sorted((b, repr(o), repr(j)) for b, (o, j) in zip(greedy([len((j or "").encode()) for _, j in order], 3, 100), order))
+    assert merge.split_batches(df.where("false"), "o", "j", 3, 100).count() == 0
+    with pytest.raises(Exception, match="exceeds a batch"):
+        merge.split_batches(df, "o", "j", 3, 3).collect()
+
+
+def full_fold(rows):
+    """Sequential D3 with all four quality fields: rows have v, text, note, score; tags are a union."""
+    out = {}
+    for r in rows:
+        left = out.get(r["k"])
+        if left is None:
+            out[r["k"]] = {**r, "n": 1}
+            continue
+        q = lambda x: (x["v"], len(x["text"]), len(x["note"]), x["score"])
+        a, b = (r, left) if q(r) > q(left) else (left, r)
+        out[r["k"]] = {"k": r["k"], "v": a["v"] or b["v"], "text": a["text"] or b["text"], "note": a["note"] or b["note"], "title": a["title"] or b["title"], "score": max(a["score"], b["score"]), "tags": list(dict.fromkeys([*left["tags"], *r["tags"]])), "n": left["n"] + 1}
+    return out
+
+
+def folded(spark, rows, parts=5):
+    data = [(r["k"], i, r["v"], r["text"], len(r["text"]), r["note"], len(r["note"]), r["title"], r["score"], r["tags"]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "k string, o int, v int, text string, tl int, note string, nl int, title string, score int, tags array<string>").repartition(parts)
+    return merge.fold_merge(df, ["k"], "o", ["v", "tl", "nl", "score"], ["text", "note", "title"], ["tags"], ["score"])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fold_with_all_quality_fields_filled_and_overtaken(spark, seed):
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    rows = [
+        {"k": f"k{rng.randrange(40)}", "v": int(rng.random() < 0.15), "text": word(rng.choice([0, 0, 1, 2, 3])), "note": word(rng.choice([0, 0, 1, 2])), "title": rng.choice(["", "t", "u"]), "score": rng.randrange(5), "tags": rng.sample("RSPQ", rng.randrange(3))}
+        for _ in range(700)
+    ]
+    want = full_fold(rows)
+    got = folded(spark, rows).collect()
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r.k]
+        assert (r.v, r.text, r.tl, r.note, r.nl, r.title, r.score, r.tags, r.n_merged) == (w["v"], w["text"], len(w["text"]), w["note"], len(w["note"]), w["title"], w["score"], w["tags"], w["n"])
+
+
+def test_fold_of_one_key_of_a_million_rows(spark):
+    df = spark.range(0, 1_000_000, 1, 8).selectExpr(
+        "'hot' k", "id o", "int(id % 1000 = 999) v", "int(id * 7919 % 100003) tl", "concat('t', id) title", "int(id * 31 % 977) score", "array(concat('s', id % 50)) tags"
+    )
+    r = merge.fold_merge(df, ["k"], "o", ["v", "tl", "score"], ["title"], ["tags"], ["score"]).first()
+    best = max((i * 7919 % 100003, -i) for i in range(999, 1_000_000, 1000))
+    assert (r.tl, r.n_merged, r.score, len(r.tags), r.tags[0], r.v) == (best[0], 1_000_000, 976, 50, "s0", 1)
+    assert r.title in {f"t{i}" for i in range(999, 1_000_000, 1000) if i * 7919 % 100003 == best[0]}
+
+
+def test_fold_of_odd_rows(spark):
+    schema = "k string, o int, q int, e string, tags array<string>, at int, base int, turn int"
+    df = spark.createDataFrame([(None, None, None, None, None, 1, 1, 1), (None, 1, 0, "", [], 1, 1, 1), ("a", 1, 2, "x", ["R", "R"], 1, 1, 1), ("b", 5, 1, "p", ["R"], 1, 1, 1), ("b", 5, 1, "p", ["R"], 1, 1, 1)], schema)
+    got = {r.k: r for r in merge.fold_merge(df, ["k"], "o", ["q"], ["e"], ["tags"]).collect()}
+    assert (got["a"].tags, got["a"].n_merged, got["b"].n_merged, got["b"].e) == (["R", "R"], 1, 2, "p")
+    assert (got[None].n_merged, got[None].tags, got[None].e) == (2, [], None)
+    assert merge.fold_merge(df.where("false"), ["k"], "o", ["q"], ["e"], ["tags"]).count() == 0
+
+
 def test_upserts_and_enrichment(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 5, 1)], "k string, v int, __ord int")
