@@ -39,6 +39,7 @@ class ToxicityParams:
     own: float = 1.0  # weight of the label's share among all labelled documents in a vote
     threshold: float = 0.3
     evidence: int = 3  # neighbours that are shown
+    rows_per_task: int = 10_000  # scored in one task
 
 
 def terms(texts: list[str | None], p: ToxicityParams) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -320,4 +321,6 @@ def score_toxicity(
         index.points = calibrate(np.array([r["vote"] for r in votes]), label, np.where(label, share[True], share[False]), index.prior)
     known.drop()
     examples.drop()
-    return found.mapInArrow(_score(spark.sparkContext.broadcast(index)), "doc_id long, held_out boolean, score double, predicted int, evidence string")
+    # Vectors are small beside the work on them: files would be packed into few tasks.
+    dealt = found.repartition(max(spark.sparkContext.defaultParallelism, -(-total // p.rows_per_task)))
+    return dealt.mapInArrow(_score(spark.sparkContext.broadcast(index)), "doc_id long, held_out boolean, score double, predicted int, evidence string")
