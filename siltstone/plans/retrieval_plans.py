@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.operators import reports
+from siltstone.operators import phrases, reports
 from siltstone.operators import retrieval as R
 from siltstone.operators.nearest import nearest
 from siltstone.plans.registry import Registry, table
@@ -172,4 +172,30 @@ def cross_score_topk(spark, d):
     return s.withColumn("place", place).where("place <= 8").select("item_id", "doc_id", "bm25", "quality", F.col("place").cast("bigint").alias("place"))
 
 
+_WORDS = "[x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if x <> '']"
+_ALIASES = f"""
+    w AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    al AS (SELECT DISTINCT substr(alias, 1, 2) AS concept, alias FROM (SELECT unnest([x for x in w if length(x) >= 8]) AS alias FROM w UNION ALL
+           SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w) WHERE length(w[i]) >= 4 AND length(w[i + 1]) >= 4))
+"""
+
+
+@REG.add(f"""
+    WITH {_ALIASES}, d AS (SELECT doc_id, {_NORM('text')} AS t FROM documents),
+    o AS (SELECT string_agg(alias, '|' ORDER BY length(alias) DESC, alias) AS p FROM al WHERE concept = 'on'),
+    x AS (SELECT doc_id, t, regexp_replace(t, p, ' ', 'g') AS rest FROM d, o),
+    h AS (SELECT doc_id, concept, alias FROM x JOIN al ON contains(t, alias) WHERE regexp_matches(CASE WHEN concept = 'th' THEN rest ELSE t END, '(^|[^a-z0-9])' || alias || '($|[^a-z0-9])'))
+    SELECT doc_id, concept, count(*) AS n_terms, min(alias) AS first_term FROM h GROUP BY 1, 2
+""")
+def concept_terms(spark, d):
+    """The words and word pairs of `benchmark` as aliases, their first two letters as concepts, in whole documents; what stands inside a phrase of "on" is no term of "th"."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    w = table(spark, d, "benchmark").select(words.alias("w"))
+    long = w.select(F.explode(F.filter("w", lambda x: F.length(x) >= 8)).alias("alias"))
+    pairs = w.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("p")).where("length(p.a) >= 4 and length(p.b) >= 4").select(F.concat_ws(" ", "p.a", "p.b").alias("alias"))
+    aliases = long.unionByName(pairs).select(F.substring("alias", 1, 2).alias("concept"), "alias").distinct()
+    found = phrases.concepts_in(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", aliases, spark.createDataFrame([("on", "th")], "outer string, inner string"))
+    return found.select("doc_id", "concept", F.size("terms").cast("long").alias("n_terms"), F.element_at("terms", 1).alias("first_term"))
+
+
 QUERIES, ORACLES = REG.queries, REG.oracles
