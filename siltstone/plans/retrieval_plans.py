@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.operators import phrases, reports
+from siltstone.operators import phrases
 from siltstone.operators import retrieval as R
 from siltstone.operators.nearest import nearest
+from siltstone.operators.ranked import bm25_top
 from siltstone.plans.registry import Registry, table
 
 REG = Registry()
@@ -40,10 +41,10 @@ _BM25 = f"""
 """
 
 
-def _bm25(spark, d):
+def _bm25_sides(spark, d):
     docs = table(spark, d, "documents").select("doc_id", R.tokens(F.col("text")).alias("t"))
     items = table(spark, d, "benchmark").select("item_id", R.tokens(F.col("text")).alias("t"))
-    return R.bm25(items, "item_id", "t", docs, "doc_id", "t")
+    return items, "item_id", "t", docs, "doc_id", "t"
 
 
 @REG.add(f"""
@@ -52,8 +53,7 @@ def _bm25(spark, d):
 """)
 def bm25_topk(spark, d):
     """The twentieth score and all its ties."""
-    s = _bm25(spark, d).withColumn("bm25", F.round("bm25", 6))
-    return reports.top_with_ties(s, "item_id", "bm25", 20)
+    return bm25_top(*_bm25_sides(spark, d), 20, ties=True).select("item_id", "doc_id", "bm25")
 
 
 _VEC = lambda t, k: f"""
@@ -167,9 +167,10 @@ def blend_and_classify(spark, d):
 """)
 def cross_score_topk(spark, d):
     """Every item against every document with a common term, weighted by strength, top eight."""
-    s = _bm25(spark, d).withColumn("bm25", F.round("bm25", 6)).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").na.fill(0, ["quality"])
-    place = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc(F.col("bm25") * (1 + F.col("quality"))), "doc_id"))
-    return s.withColumn("place", place).where("place <= 8").select("item_id", "doc_id", "bm25", "quality", F.col("place").cast("bigint").alias("place"))
+    quality = table(spark, d, "labels").select("doc_id", (1 + F.coalesce("quality", F.lit(0))).alias("weight"))
+    s = bm25_top(*_bm25_sides(spark, d), 8, weights=quality)
+    place = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    return s.select("item_id", "doc_id", "bm25", (F.col("score") / F.col("bm25") - 1).cast("int").alias("quality"), place.cast("bigint").alias("place"))
 
 
 _WORDS = "[x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if x <> '']"
