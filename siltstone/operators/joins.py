@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions import urls as U
+
 BROADCAST_ROWS = 100_000
 
 
@@ -97,3 +99,32 @@ def without_match(left: DataFrame, right: DataFrame, left_key: Column, right_key
     """Left rows whose key the right side lacks; null keys stay."""
     known = right.select(right_key.alias("__k")).where("__k is not null").distinct()
     return left.withColumn("__l", left_key).join(known, F.col("__l") == F.col("__k"), "left_anti").drop("__l")
+
+
+# The tiers of a page's match with an application, and the score from which a match counts.
+TIERS = (("exact-url", 100), ("stable-job-id", 95), ("canonical-url", 80), ("same-host", 20))
+LEAST_TIER = 80
+
+
+def page_matches(pages: DataFrame, applications: DataFrame, page_id: str, url: str, row_id: str, job_url: str, application_id: str, updated: str) -> DataFrame:
+    """Pages with score (100, 95, 80, 20 or 0), reason, n_tied, `recent` (the latest application of the page's best tier), matched and ambiguous.
+
+    A page's tier is the best at which any application meets it: by the URL itself, the stable id, the canonical URL, the host.
+    The application counts as matched if it is alone there and the tier has 80 points at least; several are ambiguous.
+    Applications are first combined to one row per tier and key, so a host of any size is one row, and a page asks a tier
+    only for what the tiers above did not give. Null and empty keys meet nothing; of equal times the larger id is the later one.
+    """
+    keys = lambda u, given: (u, U.stable_id(u, given), U.canonical_url(u, U.IDENTITY), U.host(u))
+    clean = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    u = F.col(job_url)
+    apps = applications.select(F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), clean(k).alias("key")) for i, k in enumerate(keys(u, F.col(application_id)))])).alias("t"), F.col(row_id).alias("row"), F.col(updated).alias("at"))
+    known = apps.where("t.key is not null").groupBy("t.tier", "t.key").agg(F.count("*").alias("n"), F.max_by("row", F.struct(F.coalesce("at", F.lit("")), "row")).alias("recent"))
+    out = pages.select(F.col(page_id), *[clean(k).alias(f"k{i}") for i, k in enumerate(keys(F.col(url), None))], F.lit(0).alias("score"), F.lit("").alias("reason"), F.lit(0).cast("long").alias("n_tied"), F.lit(None).cast(dict(applications.dtypes)[row_id]).alias("recent"))
+    for i, (reason, points) in enumerate(TIERS):
+        tier = known.where(F.col("tier") == i).select(F.col("key").alias("t_key"), F.col("n").alias("t_n"), F.col("recent").alias("t_recent"))
+        out = out.join(tier, F.when(F.col("score") == 0, F.col(f"k{i}")) == F.col("t_key"), "left")
+        hit = F.col("t_key").isNotNull()
+        new = {"score": F.when(hit, points).otherwise(F.col("score")), "reason": F.when(hit, reason).otherwise(F.col("reason")), "n_tied": F.coalesce("t_n", "n_tied"), "recent": F.coalesce("t_recent", "recent")}
+        out = out.withColumns(new).drop("t_key", "t_n", "t_recent")
+    counts = F.col("score") >= LEAST_TIER
+    return out.select(page_id, "score", "reason", "n_tied", "recent", F.when(counts & (F.col("n_tied") == 1), F.col("recent")).alias("matched"), (counts & (F.col("n_tied") > 1)).alias("ambiguous"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
-from siltstone.operators import dedup, merge, postings, reports
+from siltstone.operators import dedup, joins, merge, postings, reports
 from siltstone.operators import requirements as Q
 from siltstone.operators import retrieval as R
-from siltstone.plans.posts import POSTS_SQL, greedy_sql, posts, same_posting_sql
+from siltstone.plans.posts import POSTS_SQL, greedy_sql, posts, same_posting_sql, stable_sql
 from siltstone.plans.registry import Registry, table
 from siltstone.plans.text_plans import canonical_sql
 from siltstone.sources import sinks
@@ -399,4 +399,31 @@ def json_packets(spark, d):
     return posts(spark, d).select("id", postings.packet(["title", "company", "url"]).alias("packet"))
 
 
+_HOST_OF = lambda x: f"regexp_replace(lower(regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '')"
+_PAGE = "CASE id % 5 WHEN 0 THEN url WHEN 1 THEN url || '?utm_source=mail' WHEN 2 THEN replace(url, 'https://', 'https://www.') || '#top' WHEN 3 THEN 'https://jobs.lever.co/other/' || id ELSE 'https://none.example/' || id END"
+
+
+@REG.add(f"""
+    WITH p AS ({POSTS_SQL}), pg AS (SELECT id, {_PAGE} AS url FROM p),
+    ap AS (SELECT id * 10 AS app, url, CASE WHEN id % 11 = 0 THEN 'Req-' || id ELSE '' END AS given, lpad(CAST(id * 7919 % 10007 AS VARCHAR), 5, '0') AS tm FROM p WHERE id % 3 = 0 UNION ALL SELECT id * 10 + 1, url, '', '00000' FROM p WHERE id % 21 = 0),
+    k AS (SELECT id, url AS u, {stable_sql('url')} AS s, {canonical_sql(U.IDENTITY)} AS c, {_HOST_OF('url')} AS h FROM pg),
+    a AS (SELECT app, tm, url AS u, {stable_sql('url', 'given')} AS s, {canonical_sql(U.IDENTITY)} AS c, {_HOST_OF('url')} AS h FROM ap),
+    m AS (SELECT id, app, tm, 100 AS score FROM k JOIN a ON k.u = a.u UNION ALL SELECT id, app, tm, 95 FROM k JOIN a ON k.s = a.s AND k.s <> '' UNION ALL SELECT id, app, tm, 80 FROM k JOIN a ON k.c = a.c UNION ALL
+          SELECT id, y.x.app, y.x.tm, 20 FROM k JOIN (SELECT h, max({{'tm': tm, 'app': app}}) AS x FROM a WHERE h <> '' GROUP BY 1) y ON k.h = y.h),
+    hn AS (SELECT h, count(*) AS n FROM a GROUP BY 1), b AS (SELECT id, max(score) AS score FROM m GROUP BY 1),
+    r AS (SELECT id, score, count(*) AS n, max({{'tm': tm, 'app': app}}).app AS recent FROM m JOIN b USING (id, score) GROUP BY 1, 2)
+    SELECT k.id, coalesce(score, 0) AS score, CASE score WHEN 100 THEN 'exact-url' WHEN 95 THEN 'stable-job-id' WHEN 80 THEN 'canonical-url' WHEN 20 THEN 'same-host' ELSE '' END AS reason,
+           CASE WHEN score = 20 THEN hn.n ELSE coalesce(r.n, 0) END AS n_tied, recent, CASE WHEN score >= 80 AND r.n = 1 THEN recent END AS matched, coalesce(score >= 80 AND r.n > 1, false) AS ambiguous
+    FROM k LEFT JOIN r ON r.id = k.id LEFT JOIN hn ON hn.h = k.h
+""")
+def page_match(spark, d):
+    """Pages against applications through URL, stable id, canonical URL and host."""
+    p, k, u = posts(spark, d), F.col("id"), F.col("url")
+    page = F.when(k % 5 == 0, u).when(k % 5 == 1, F.concat(u, F.lit("?utm_source=mail"))).when(k % 5 == 2, F.concat(F.replace(u, F.lit("https://"), F.lit("https://www.")), F.lit("#top")))
+    page = page.when(k % 5 == 3, F.concat(F.lit("https://jobs.lever.co/other/"), k)).otherwise(F.concat(F.lit("https://none.example/"), k))
+    first = p.where(k % 3 == 0).select((k * 10).alias("app"), "url", F.when(k % 11 == 0, F.concat(F.lit("Req-"), k)).otherwise("").alias("given"), F.lpad((k * 7919 % 10007).cast("string"), 5, "0").alias("at"))
+    again = p.where(k % 21 == 0).select((k * 10 + 1).alias("app"), "url", F.lit("").alias("given"), F.lit("00000").alias("at"))
+    return joins.page_matches(p.select("id", page.alias("url")), first.unionByName(again), "id", "url", "app", "url", "given", "at")
+
+
 QUERIES, ORACLES = REG.queries, REG.oracles
