@@ -10,8 +10,9 @@ from siltstone.functions import urls as U
 from siltstone.operators import dedup, joins, merge, postings, reports
 from siltstone.operators import requirements as Q
 from siltstone.operators import retrieval as R
-from siltstone.plans.posts import POSTS_SQL, greedy_sql, posts, same_posting_sql, stable_sql
+from siltstone.plans.posts import POSTS_SQL, greedy_groups_sql, posts, same_posting_sql, stable_sql
 from siltstone.plans.registry import Registry, table
+from siltstone.plans.retrieval_plans import _STEM, _STOPS
 from siltstone.plans.text_plans import canonical_sql
 from siltstone.sources import sinks
 
@@ -155,11 +156,17 @@ def scope_flags(spark, d):
     return posts(spark, d).select("id", postings.flagged_groups(c, guard, _GROUPS).alias("flagged"), scopes.alias("scopes"))
 
 
-@REG.add(f"SELECT id, CASE WHEN {_holds(_NORM('content'), 'machine learning')} OR {_holds(_NORM('content'), 'statistical programming')} THEN 1.0::DOUBLE END AS overlap FROM ({POSTS_SQL})")
+_TOKENS = f"list_distinct(list_concat(list_transform(list_filter(regexp_extract_all({_NORM('content')}, '[a-z0-9][a-z0-9+#.-]*'), lambda w: w NOT IN ({_STOPS})), lambda w: {_STEM}), flatten(list_transform(regexp_extract_all(content, '[\\x{{3400}}-\\x{{9fff}}]+'), lambda b: CASE WHEN length(b) = 1 THEN [b] ELSE list_transform(range(1, length(b)), lambda i: substr(b, i, 2)) END))))"
+
+
+@REG.add(f"""
+    SELECT id, round(CASE WHEN {_holds(_NORM('content'), 'machine learning')} OR {_holds(_NORM('content'), 'statistical programming')} THEN 1.0::DOUBLE ELSE len(list_intersect(t, ['machine', 'learn', 'statistical', 'programm'])) / sqrt(4.0::DOUBLE * len(t)) END, 6) AS overlap
+    FROM (SELECT *, {_TOKENS} AS t FROM ({POSTS_SQL}))
+""")
 def direct_overlap(spark, d):
-    """A term that the other text holds counts 1 (the fallback by tokens is in the tests)."""
+    """A term that the other text holds counts 1, else the similarity of the tokens."""
     o = postings.term_overlap(F.array(F.lit("machine learning"), F.lit("statistical programming")), F.col("content"))
-    return posts(spark, d).select("id", F.when(o == 1.0, o).alias("overlap"))
+    return posts(spark, d).select("id", F.round(o, 6).alias("overlap"))
 
 
 @REG.add("""
@@ -194,7 +201,7 @@ def gap_drafts(spark, d):
 
 @REG.add(f"""
     WITH p AS ({POSTS_SQL}), a AS (SELECT * FROM p WHERE id % 3 <> 0), b AS (SELECT id, CASE WHEN id % 4 = 0 THEN '待补充公司' ELSE company || ' new' END AS company, CASE WHEN id % 5 = 0 THEN 'Jobs' ELSE title || ' II' END AS title, CASE WHEN id % 7 = 0 THEN '' ELSE 'Paris' END AS location,
-        CASE WHEN id % 2 = 0 THEN '中国' ELSE '美国' END AS region, substr(content, 1, CAST(id % 90 AS INT)) AS description, CASE WHEN id % 6 = 0 THEN 'X' || id ELSE '' END AS application_id FROM p WHERE id % 3 <> 1)
+        CASE WHEN id % 2 = 0 THEN '中国' ELSE '美国' END AS region, CASE id % 4 WHEN 0 THEN content || ' More.' WHEN 1 THEN title WHEN 2 THEN '' ELSE content END AS description, CASE WHEN id % 6 = 0 THEN 'X' || id ELSE '' END AS application_id FROM p WHERE id % 3 <> 1)
     SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL OR (a.id IS NOT NULL AND b.company = '待补充公司') THEN a.company ELSE b.company END AS company, CASE WHEN b.id IS NULL OR (a.id IS NOT NULL AND b.title = 'Jobs') THEN a.title ELSE b.title END AS title,
            CASE WHEN b.id IS NULL OR (a.id IS NOT NULL AND b.location = '') THEN a.location ELSE b.location END AS location, CASE WHEN b.id IS NULL OR (a.id IS NOT NULL AND length(b.description) < length(a.content)) THEN a.content ELSE b.description END AS description,
            CASE WHEN b.id IS NULL OR a.id IS NOT NULL THEN ['old'] ELSE [] END AS skills, CASE WHEN b.id IS NULL OR (a.id IS NOT NULL AND b.application_id = '') THEN 'old' || a.id ELSE b.application_id END AS application_id,
@@ -208,7 +215,7 @@ def capture_upsert(spark, d):
     old = p.where("id % 3 <> 0").select("id", "company", "title", "location", F.lit("美国").alias("region"), F.lit("v").alias("visa"), (k % 200).alias("score"), F.col("content").alias("description"), F.array(F.lit("old")).alias("skills"), F.concat(F.lit("old"), "id").alias("application_id"))
     new = p.where("id % 3 <> 1").select(
         "id", F.when(k % 4 == 0, merge.UNKNOWN_COMPANY).otherwise(F.concat("company", F.lit(" new"))).alias("company"), F.when(k % 5 == 0, "Jobs").otherwise(F.concat("title", F.lit(" II"))).alias("title"), F.when(k % 7 == 0, "").otherwise("Paris").alias("location"),
-        F.when(k % 2 == 0, "中国").otherwise("美国").alias("region"), F.lit("").alias("visa"), F.lit(0).cast("bigint").alias("score"), F.substring("content", F.lit(1), (k % 90).cast("int")).alias("description"), none.alias("skills"), F.when(k % 6 == 0, F.concat(F.lit("X"), "id")).otherwise("").alias("application_id"),
+        F.when(k % 2 == 0, "中国").otherwise("美国").alias("region"), F.lit("").alias("visa"), F.lit(0).cast("bigint").alias("score"), F.when(k % 4 == 0, F.concat("content", F.lit(" More."))).when(k % 4 == 1, F.col("title")).when(k % 4 == 2, "").otherwise(F.col("content")).alias("description"), none.alias("skills"), F.when(k % 6 == 0, F.concat(F.lit("X"), "id")).otherwise("").alias("application_id"),
     )
     return merge.capture_upsert(old, new, "id")
 
@@ -339,8 +346,8 @@ def surrogate_urls(spark, d):
 
 
 _PAIR_ROWS = """
-    SELECT o_orderkey AS id, o_custkey % 9 AS company, o_orderkey % 11 AS title, ['', 'Boston', 'Boston MA', 'Berlin'][CAST(o_orderkey % 4 AS INT) + 1] AS location, CASE WHEN o_orderkey % 5 < 2 THEN 'R-' || (1000 + o_orderkey % 60) ELSE '' END AS app,
-           CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'https://a.com/p/' || (o_custkey % 30) || 'x' END AS url FROM orders WHERE o_custkey < 60
+    SELECT o_orderkey AS id, o_custkey AS company, o_orderkey % 3 AS title, ['', 'Boston', 'Boston MA', 'Berlin'][CAST(o_orderkey // 3 % 4 AS INT) + 1] AS location, CASE WHEN o_orderkey % 5 < 2 THEN 'R-' || (1000 + o_custkey) ELSE '' END AS app,
+           CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'https://a.com/p/' || (o_custkey // 3) || 'x' END AS url FROM orders
 """
 
 
@@ -351,16 +358,16 @@ _PAIR_COLUMNS = f"""
 
 def _pair_rows(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    place = F.element_at(F.array(*[F.lit(x) for x in ("", "Boston", "Boston MA", "Berlin")]), (k % 4 + 1).cast("int"))
-    return table(spark, d, "orders").where("o_custkey < 60").select(
-        k.alias("id"), F.concat(F.lit("Firm "), c % 9).alias("company"), F.concat(F.lit("Role "), k % 11).alias("title"), place.alias("location"), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("https://a.com/p/"), c % 30, F.lit("x"))).alias("job_url"),
-        F.lit("").alias("canonical_url"), F.when(k % 5 < 2, F.concat(F.lit("R-"), 1000 + k % 60)).otherwise("").alias("application_id"),
+    place = F.element_at(F.array(*[F.lit(x) for x in ("", "Boston", "Boston MA", "Berlin")]), (F.floor(k / 3) % 4 + 1).cast("int"))
+    return table(spark, d, "orders").select(
+        k.alias("id"), F.concat(F.lit("Firm "), c).alias("company"), F.concat(F.lit("Role "), k % 3).alias("title"), place.alias("location"), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("https://a.com/p/"), F.floor(c / 3), F.lit("x"))).alias("job_url"),
+        F.lit("").alias("canonical_url"), F.when(k % 5 < 2, F.concat(F.lit("R-"), 1000 + c)).otherwise("").alias("application_id"),
     )
 
 
 @REG.add(same_posting_sql(_PAIR_COLUMNS, False))
 def same_postings(spark, d):
-    """All pairs that the predicate accepts, against a nested loop in SQL."""
+    """All pairs that the predicate accepts, of all orders."""
     return dedup.same_posting_pairs(_pair_rows(spark, d))
 
 
@@ -370,9 +377,9 @@ def same_displayed(spark, d):
     return dedup.same_posting_pairs(_pair_rows(spark, d), displayed=True)
 
 
-@REG.add(greedy_sql(same_posting_sql(_PAIR_COLUMNS, True), f"SELECT id, id * 7919 % 1009 AS seen, id % 13 AS rank FROM ({_PAIR_ROWS})"))
+@REG.add(greedy_groups_sql(same_posting_sql(_PAIR_COLUMNS, True), f"SELECT id, id * 7919 % 1009 AS seen, id % 13 AS rank, company AS grp FROM ({_PAIR_ROWS})"))
 def greedy_postings(spark, d):
-    """The sequential rule, against a recursive query."""
+    """The sequential rule on all orders, against a recursive query that folds each company by itself (no pair crosses companies)."""
     rows = _pair_rows(spark, d).withColumns({"seen": F.col("id") * 7919 % 1009, "rank": F.col("id") % 13})
     return dedup.greedy_display(rows, "seen", "rank").select("id")
 

@@ -77,13 +77,27 @@ def stable_sql(url: str, supplied: str = "''") -> str:
 
 
 def same_posting_sql(rows: str, displayed: bool) -> str:
-    """D5, D6 as a nested loop over rows (id, co, ti, place, st, url, named)."""
+    """D5, D6 over rows (id, co, ti, place, st, url, named): all pairs that share a stable id, a URL and title, or a company and title, then the whole predicate."""
     titles = "a.named AND b.named AND a.ti = b.ti"
     near = "(a.place = '' OR b.place = '' OR contains(a.place, b.place) OR contains(b.place, a.place))"
     role, url = f"({titles} AND a.co <> '' AND a.co = b.co)", f"({titles} AND a.url <> '' AND a.url = b.url)"
     logical = f"((a.co = '' OR b.co = '' OR a.co = b.co) AND CASE WHEN a.st <> '' AND b.st <> '' THEN a.st = b.st WHEN a.st <> '' OR b.st <> '' THEN {url} ELSE {url} OR ({role} AND {near}) END)"
     more = f" OR (NOT (a.st <> '' AND b.st <> '') AND {role} AND a.place = b.place)" if displayed else ""
-    return f"WITH r AS MATERIALIZED ({rows}) SELECT a.id AS a, b.id AS b FROM r a, r b WHERE a.id < b.id AND ({logical}{more})"
+    meet = ("a.st = b.st AND a.st <> ''", "a.url = b.url AND a.ti = b.ti AND a.url <> ''", "a.co = b.co AND a.ti = b.ti AND a.co <> ''")
+    found = " UNION ".join(f"SELECT a.id AS x, b.id AS y FROM r a JOIN r b ON {on} AND a.id < b.id" for on in meet)
+    return f"WITH r AS MATERIALIZED ({rows}), c AS ({found}) SELECT a.id AS a, b.id AS b FROM c JOIN r a ON a.id = x JOIN r b ON b.id = y WHERE ({logical}{more})"
+
+
+def greedy_groups_sql(pairs: str, rows: str) -> str:
+    """D7 as a recursive query over rows (id, seen, rank, grp) and displayed pairs (a, b), all within a group: every group takes its steps at once."""
+    at = "coalesce(list_position(list_transform(kept, lambda k: list_contains(near, k.id)), true), 0)"
+    return f"""
+        WITH RECURSIVE p AS ({pairs}), n AS (SELECT x, list(y) AS near FROM (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p) GROUP BY 1),
+        o AS MATERIALIZED (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY seen, id) AS i, count(*) OVER (PARTITION BY grp) AS last, id, rank AS r, coalesce(near, []) AS near FROM ({rows}) LEFT JOIN n ON x = id),
+        s AS (SELECT DISTINCT grp, 0::BIGINT AS i, last, CAST([] AS STRUCT(id BIGINT, r BIGINT)[]) AS kept FROM o UNION ALL
+              SELECT o.grp, o.i, o.last, CASE WHEN {at} = 0 THEN list_append(kept, {{'id': o.id, 'r': o.r}}) WHEN o.r > kept[{at}].r THEN list_concat(list_append(kept[1:{at} - 1], {{'id': o.id, 'r': o.r}}), kept[{at} + 1:]) ELSE kept END FROM s JOIN o ON o.grp = s.grp AND o.i = s.i + 1)
+        SELECT unnest(kept).id AS id FROM s WHERE i = last
+    """
 
 
 def greedy_sql(pairs: str, rows: str) -> str:

@@ -244,16 +244,13 @@ def ranked_match_unique(spark, d):
 
 
 @REG.add("""
-    SELECT n_nationkey, r_regionkey FROM nation, region WHERE contains(lower(n_name), lower(substr(r_name, 1, 2))) OR contains(lower(substr(r_name, 1, 2)), lower(n_name))
+    SELECT p_partkey, word FROM part, (SELECT DISTINCT split_part(p_name, ' ', 2) AS word FROM part UNION SELECT DISTINCT upper(p_name) || ' set' FROM part) WHERE contains(lower(p_name), lower(word)) OR contains(lower(word), lower(p_name))
 """)
 def fuzzy_contains_join(spark, d):
-    """J12."""
-    p = table(spark, d, "nation").select("n_nationkey", "n_name")
-    r = table(spark, d, "region").select("r_regionkey", F.substring("r_name", 1, 2).alias("short"))
-    return joins.contains_join(p, r, "n_name", "short").select("n_nationkey", "r_regionkey")
-
-
-_MID = "TIMESTAMP '1995-06-17'"
+    """Part names and the words and sets named after them, whichever holds the other."""
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    words = p.select(F.explode(F.array(F.split_part("p_name", F.lit(" "), F.lit(2)), F.concat(F.upper("p_name"), F.lit(" set")))).alias("word")).distinct()
+    return joins.contains_join(p, words, "p_name", "word").select("p_partkey", "word")
 
 
 @REG.add("""

@@ -203,10 +203,10 @@ def joined_and_split(spark, d):
     )
 
 
-@REG.add(f"SELECT id, CASE WHEN {_hit('content', 'clinical trial design')} THEN regexp_extract(content, '(?is)experience(.*?)design', 1) ELSE substr(regexp_extract(content, '(?is)experience(.*)$', 1), 1, 20) END AS part FROM ({POSTS_SQL})")
+@REG.add(f"SELECT id, CASE WHEN {_hit('content', 'clinical trial design')} THEN regexp_extract(content, '(?is)experience(.*?)design', 1) ELSE substr(regexp_extract(repeat(content || ' ', 40), '(?is)experience(.*)$', 1), 1, 5000) END AS part FROM ({POSTS_SQL})")
 def text_sections(spark, d):
-    """Up to the stop word, else a given number of characters."""
-    return posts(spark, d).select("id", F.when(F.col("content").rlike("clinical trial design"), T.section(F.col("content"), "experience", "design", 20)).otherwise(T.section(F.col("content"), "experience", "never-there", 20)).alias("part"))
+    """Up to the stop word, else 5000 characters of a long text."""
+    return posts(spark, d).select("id", F.when(F.col("content").rlike("clinical trial design"), T.section(F.col("content"), "experience", "design")).otherwise(T.section(F.repeat(F.concat("content", F.lit(" ")), 40), "experience", "never-there")).alias("part"))
 
 
 _VENDORS = (("greenhouse", r"greenhouse\.io"), ("lever", r"lever\.co"), ("workday", "myworkdayjobs"), ("generic", "careers"))

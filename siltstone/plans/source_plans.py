@@ -83,7 +83,7 @@ def adapt_snapshot(spark, d):
 
 
 @REG.add(f"""
-    WITH p AS ({POSTS_SQL}), l AS (SELECT id % 900 AS k, max(id) AS id FROM p GROUP BY 1), x AS (SELECT k, p.* EXCLUDE (content), CASE WHEN p.id % 4 = 0 THEN '' ELSE content END AS jd, CASE WHEN p.id % 4 = 0 THEN '' ELSE company END AS firm FROM l JOIN p ON p.id = l.id),
+    WITH p AS ({POSTS_SQL}), l AS (SELECT id // 3 AS k, max(id) AS id FROM p GROUP BY 1), x AS (SELECT k, p.* EXCLUDE (content), CASE WHEN p.id % 4 = 0 THEN '' ELSE content END AS jd, CASE WHEN p.id % 4 = 0 THEN '' ELSE company END AS firm FROM l JOIN p ON p.id = l.id),
     c AS (SELECT *, title || ' ' || jd || ' ' || CASE WHEN id % 4 = 0 THEN 'sql' ELSE 'sql SAS' END AS content, CASE WHEN firm <> '' THEN firm WHEN id % 8 = 0 THEN 'Boss Co' ELSE '' END AS company2 FROM x),
     s AS (SELECT *, {_tags('content', A.LOCAL_SKILLS)} AS found, {L.years_sql('collector', 'lower(content)')} AS years FROM c)
     SELECT 'K' || k AS source_id, {_KEY("'K' || k")} AS job_key, title, location, '中国' AS region, {_case('lower(content)', A.LOCAL_TRACKS, 'Technology')} AS track, CAST(least(92, 68 + least(18, len(found) * 3) + CASE WHEN jd <> '' THEN 5 ELSE 0 END) AS INT) AS score, '不适用' AS visa,
@@ -92,7 +92,7 @@ def adapt_snapshot(spark, d):
 """)
 def adapt_collector(spark, d):
     """P20: listing rows with their last detail row, one row per key."""
-    p = posts(spark, d).withColumn("row_key", F.concat(F.lit("K"), F.col("id") % 900))
+    p = posts(spark, d).withColumn("row_key", F.concat(F.lit("K"), F.floor(F.col("id") / 3)))
     listing = p.select("row_key", "title", F.lit("").alias("company"), F.when(F.col("id") % 8 == 0, "API v2").otherwise("dom").alias("salary_source"), F.lit("Boss Co").alias("boss_name"), F.lit("/c/1").alias("company_link"), F.col("url").alias("job_link"), "location", F.lit("sql").alias("skills"), F.col("id").alias("seen"))
     details = p.where("id % 4 <> 0").select("row_key", "company", F.col("content").alias("jd"), F.lit("SAS").alias("skill_tags"), F.col("id").alias("seen"))
     newest = p.groupBy("row_key").agg(F.max("id").alias("seen"))
