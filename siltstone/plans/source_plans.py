@@ -14,8 +14,8 @@ from siltstone.plans.text_plans import canonical_sql
 from siltstone.functions import urls as U
 from siltstone.sources import adapters as A
 from siltstone.sources import files, markup, sinks
-from siltstone.store import new_folder
-from siltstone.streaming import ingest
+from siltstone.store import new_folder, settings
+from siltstone.streaming import ingest, lapse
 
 REG = Registry()
 _case = lambda text, rules, default: "CASE " + " ".join(f"WHEN {_hit(text, p)} THEN '{k}'" for k, p in rules) + f" ELSE '{default}' END"
@@ -290,4 +290,31 @@ def retry_queue(spark, d):
     return ingest.due_retries(o, F.lit("1996-01-01").cast("timestamp"))
 
 
+@REG.add("""
+    WITH e AS (SELECT DISTINCT user_id || '/' || event_type || '/' || CAST(floor(value / 20) AS BIGINT) AS entity, least(5, (day(ts) - 1) // 5) AS scan FROM events),
+    g AS (SELECT entity, scan AS s, lead(scan) OVER (PARTITION BY entity ORDER BY scan) AS n FROM e), c AS (SELECT k FROM range(0, 6) r(k) WHERE k % 4 <> 3),
+    d AS (SELECT *, (SELECT list_sort(list(k))[2] FROM c WHERE k > s) AS due FROM g),
+    x AS (SELECT *, coalesce(due <= s + 3 AND coalesce(n > due, true), false) AS expired, s + 3 <= 7 AND coalesce(n > s + 3, true) AS dropped FROM d)
+    SELECT entity, CAST(due AS BIGINT) AS scan, 'expired' AS state FROM x WHERE expired UNION ALL SELECT entity, CAST(s + 3 AS BIGINT), 'dropped' FROM x WHERE dropped
+    UNION ALL SELECT entity, CAST(n AS BIGINT), 'returned' FROM x WHERE expired AND n <= s + 3
+""")
+def lapse_stream(spark, d):
+    """T1, T3 as a stateful stream: sightings staged scan by scan on top of stored rows, with a restart half-way; each lapse once the scans have come that far."""
+    folder = new_folder(spark, "sightings")
+    entity = F.concat_ws("/", "user_id", "event_type", F.floor(F.col("value") / 20))
+    seen = table(spark, d, "events").select(entity.alias("entity"), F.least(F.lit(5), F.floor((F.dayofmonth("ts") - 1) / 5)).alias("scan")).distinct()
+    stored = seen.where("scan = 0").groupBy("entity").agg(F.max("scan").alias("last"))
+    calendar = [k for k in range(6) if k % 4 != 3]
+    schema = StructType([StructField("entity", StringType()), StructField("scan", LongType())])
+    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}):
+        for scans in (range(1, 4), range(4, 8)):
+            for k in scans:  # a scan that shows nothing of ours still moves the clock
+                rows = seen.where(F.col("scan") == k).unionByName(spark.range(1).select(F.lit("~scan").alias("entity"), F.lit(k).cast("bigint").alias("scan")))
+                rows.coalesce(1).write.mode("append").json(f"{folder}/in")
+            states = lapse.lapses(ingest.arriving_json(spark, f"{folder}/in", schema, 1).drop("file"), stored, calendar, keep=3)
+            query = ingest.run_batches(states, lambda batch, n: batch.write.mode("append").parquet(f"{folder}/out"), f"{folder}/state")
+            query.awaitTermination()
+    return spark.read.schema(lapse.OUTPUT).parquet(f"{folder}/out").where("entity <> '~scan'")
+
+
 QUERIES, ORACLES = REG.queries, REG.oracles
