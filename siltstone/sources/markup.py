@@ -11,10 +11,12 @@ import json
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, unquote, urljoin, urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from siltstone.names import column
+
 CONTAINERS = ("jobs", "data", "results", "items", "list", "postings")
 _TITLE_KEYS = ("title", "jobTitle", "JobTitle", "jobName", "name", "positionName")
 _URL_KEYS = ("jobUrl", "url", "absolute_url", "applyUrl", "hostedUrl", "link")
@@ -144,22 +146,61 @@ def scan_pages(pages: DataFrame, ident: str = "page_id", url: str = "url", body:
     return pages.select(ident, F.col(url).alias("__u"), F.col(body).alias("__b")).mapInPandas(run, schema)
 
 
-def harvest_json(df: DataFrame, ident: str, payload: str, base: str = "", depth: int = 8) -> DataFrame:
-    """S7, S8 over JSON texts: ident plus the rows found. Texts that are no JSON give nothing."""
+_PLACE_FIELDS = ("name", "LocationName", "city", "City", "state", "State", "addressLocality", "addressRegion", "country", "Country")
+_PLACE_KEYS = ("location", "locations", "jobLocation", "JobLocation", "LocationName", "cityName")
+PLACE_DEPTH = 3
 
-    def run(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            out = []
-            for i, text in zip(pdf[ident], pdf["__p"]):
-                try:
-                    out += [(i, *r) for r in harvest(json.loads(text or "null"), base, depth)]
-                except ValueError:
-                    continue
-            yield pd.DataFrame(out, columns=[ident, "title", "url", "location", "ident"])
-
-    return df.select(ident, F.col(payload).alias("__p")).mapInPandas(run, f"{ident} {dict(df.dtypes)[ident]}, {ROW}")
+def _scalar(v: Column, path: str = "$") -> Column:
+    """The text of a value under a path, trimmed; null for a missing, null or empty one, an object and a list."""
+    text = F.trim(F.try_variant_get(v, path, "string"))
+    return F.when((text != "") & F.try_variant_get(v, path, "map<string,variant>").isNull() & F.try_variant_get(v, path, "array<variant>").isNull(), text)
+
+
+def place_parts(v: Column, depth: int = PLACE_DEPTH) -> Column:
+    """The names in a nested place, in order, down to PLACE_DEPTH lists and objects."""
+    one = _scalar(v)
+    none = F.array().cast("array<string>")
+    out = F.when(one.isNotNull(), F.array(one)).otherwise(none)
+    if depth:
+        deeper = lambda x: place_parts(x, depth - 1)
+        items = F.try_variant_get(v, "$", "array<variant>")
+        fields = F.filter(F.array(*[F.try_variant_get(v, f"$.{k}", "variant") for k in _PLACE_FIELDS]), lambda x: x.isNotNull())
+        out = F.when(items.isNotNull(), F.flatten(F.transform(items, deeper))).when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.flatten(F.transform(fields, deeper))).otherwise(out)
+    return out
+
+
+def _first_of(v: Column, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(*[_scalar(v, f"$.{k}") for k in keys], F.lit(""))
+
+
+def is_posting(v: Column) -> Column:
+    """Whether a value is an object with a title, and a URL or an id."""
+    return (_first_of(v, _TITLE_KEYS) != "") & (_first_of(v, (*_URL_KEYS, *_ID_KEYS)) != "")
+
+
+def posting_of(v: Column) -> Column:
+    """P18 in the JVM: struct<title, url, location, ident> of a posting-like object."""
+    parts = F.flatten(F.array(*[F.coalesce(place_parts(F.try_variant_get(v, f"$.{k}", "variant")), F.array().cast("array<string>")) for k in _PLACE_KEYS]))
+    first = {"title": _TITLE_KEYS, "url": _URL_KEYS, "ident": _ID_KEYS}
+    return F.struct(*[_first_of(v, keys).alias(name) for name, keys in first.items()], F.array_join(F.array_distinct(parts), ", ").alias("location"))
+
+
+def harvest_json(df: DataFrame, ident: str, payload: str, depth: int = 8) -> DataFrame:
+    """S7, S8 over JSON texts, in the JVM: `ident` plus title, url, location and ident of the posting rows at any level down to `depth`.
+
+    A level is one lateral `variant_explode` of what is no posting yet; a posting's own children are not searched. Null texts and
+    texts that are no JSON give nothing; rows that occur twice are given twice. Other columns are not read.
+    """
+    spark = df.sparkSession
+    nodes = df.select(column(ident).alias("id"), F.try_parse_json(column(payload)).alias("v")).where("v is not null").select("id", "v", F.lit(False).alias("found"))
+    for level in range(depth + 1):
+        nodes = nodes.withColumn("found", F.col("found") | is_posting(F.col("v")))
+        if level < depth:
+            children = spark.tvf.variant_explode_outer(F.when(~F.col("found"), F.col("v")).outer())  # a posting stays as one row without a child
+            nodes = nodes.lateralJoin(children).select("id", F.when(F.col("found"), F.col("v")).otherwise(F.col("value")).alias("v"), "found").where("v is not null")
+    rows = nodes.where("found").select(F.col("id").alias(ident), posting_of(F.col("v")).alias("row"))
+    return rows.select(ident, *[F.col(f"row.{c}").alias(c) for c in ("title", "url", "location", "ident") if c != ident])
 
 
 def json_ld(body: str):
