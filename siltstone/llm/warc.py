@@ -27,6 +27,7 @@ class WarcParams:
     file_bytes: int = 32 << 20  # a file is closed once it is this large
     gap_bytes: int = 64 << 10  # unselected bytes that a coalesced read may span
     read_bytes: int = 8 << 20  # a coalesced read ends once it is this long
+    broadcast_rows: int = 500_000  # repeated payloads whose digests (80 bytes) tasks hold; beyond them the join shuffles the payloads
     date: str = "1970-01-01T00:00:00Z"  # pages carry no date
 
 
@@ -121,7 +122,9 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("html")
     ).withColumn("digest", F.sha1("html"))
     large = p.where(F.octet_length("html") >= params.min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
-    shared = large.where("n > 1 and keep is not null").select(F.col("digest").alias("d2"), "keep")
+    shared = Table(large.where("n > 1 and keep is not null").select(F.col("digest").alias("d2"), "keep"), "repeated-payloads").df
+    # Payloads stay in their tasks: only digests are shuffled, as long as the repeated ones are known to be few.
+    shared = F.broadcast(shared) if shared.count() <= params.broadcast_rows else shared
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("keep")) & F.col("keep").isNotNull(), F.lit(False))
     rows = p.join(shared, F.col("digest") == F.col("d2"), "left").select(
         "page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("keep")).alias("refers_to")

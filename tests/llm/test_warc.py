@@ -57,3 +57,9 @@ def test_very_long_pages(spark):
         1: ("revisit", 2, 10_000_000), 2: ("response", None, 10_000_000), 3: ("response", None, 3_000_000), 4: ("response", None, 5),
     }
     assert bytes(got[2].payload) == rows[1][2].encode()
+
+
+def test_many_repeated_payloads_are_joined_by_shuffle(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    of = lambda p: sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_digest) for r in read_records(write_archive(df, params=p)).collect())
+    assert of(WarcParams()) == of(WarcParams(broadcast_rows=-1))
