@@ -24,6 +24,7 @@ from siltstone.store import Table, new_folder
 from siltstone.llm.tokens import TOKENIZER, token_table, with_base
 
 ROUNDS = 6
+READ_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -218,5 +219,7 @@ def read_slots(spark: SparkSession, made: Materialised, first: int = 0, last: in
                     )
 
     index = made.shards.where((F.col("first_slot") < last) & (F.col("first_slot") + F.col("n_slots") > first))
-    index = index.select("shard", "first_slot", "n_slots", "crc32").repartition(max(1, min(256, -(-n_slots // p.per_shard))), "shard")
+    # A task for each shard while these are few; beyond that each reads about READ_BYTES.
+    tasks = max(min(256, -(-n_slots // p.per_shard)), -(-n_slots * stride // READ_BYTES))
+    index = index.select("shard", "first_slot", "n_slots", "crc32").repartition(max(1, tasks), "shard")
     return index.mapInArrow(run, "slot long, sequence_id long, shard long, byte_offset long, n_tokens long, ids binary")
