@@ -29,7 +29,7 @@ class LangParams:
     sizes: tuple[int, ...] = (2, 3, 4)  # code points per n-gram
     per_language: int = 4000  # the most frequent n-grams of each size that a language's filter takes
     sample: int = 4000  # labelled documents per language that the filters are fitted on, at most
-    languages: int = 1024  # more learned languages than these raise an error: 64 of them take 4 MB of filters
+    languages: int = 1024  # the most frequent label values are learned, at most so many: 64 of them take 4 MB of filters
     slots_log2: int = 19
     hashes: int = 4
     chunk: int = 1 << 20  # code points handled at once
@@ -138,27 +138,26 @@ class BitmaskFilters:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", params: LangParams = LangParams()) -> BitmaskFilters:
     """Fit on at most `sample` labelled documents per language, those with the smallest hash of `key`.
 
-    Null languages are left out; more than `languages` values raise an error. The filters hold at most
-    `per_language` n-grams of each size and language, and those are all that comes to the driver.
+    Null languages are left out. Of more than `languages` values the most frequent are learned (the first by name of equals):
+    a dirty label column costs the rare values, not the run. Rows of one language and id are one document, the text of the smallest
+    hash. The filters hold at most `per_language` n-grams of each size and language, and those are all that comes to the driver.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).limit(params.languages + 1).collect()}
-    if len(counts) > params.languages:
-        raise ValueError(f"column {lang} has more than {params.languages} values: clean it, or raise LangParams.languages")
+    counts = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(params.languages).collect()}
     # A share of the hash range with a fifth to spare leaves few rows to rank, however many there are.
     share = {x: min(1.0, (1.2 * params.sample + 50) / n) for x, n in counts.items()}
     if not share:
         return BitmaskFilters({}, params)
     top = {x: min(2**63 - 1, int(s * 2**64) - 2**63) for x, s in share.items()}
     within = F.element_at(F.create_map(*[F.lit(x) for kv in top.items() for x in kv]), F.col(lang))
-    ids = labelled.select(F.col(lang).alias("l"), F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"), within.alias("top")).where("h <= top")
+    ids = labelled.select(F.col(lang).alias("l"), F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"), within.alias("top")).where("h <= top").distinct()
     order = W.partitionBy("l").orderBy("h", "k")
     last = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= params.sample)
     bound = {r["l"]: r["h"] for r in last.groupBy("l").agg(F.max("h").alias("h")).collect()}
     if not bound:
         return BitmaskFilters({}, params)
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in bound.items() for x in kv]), F.col(lang))
-    sample = labelled.where(F.xxhash64(F.col(key)) <= limit).select(F.col(lang), F.col(text))
+    sample = labelled.where(F.xxhash64(F.col(key)) <= limit).groupBy(F.col(lang).alias("l"), F.col(key).alias("k")).agg(F.min_by(text, F.xxhash64(text)).alias("t")).select("l", "t")
     grams_of = sample.mapInArrow(_count(params), "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     best = grams_of.withColumn("r", F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))).where(F.col("r") <= params.per_language)
     found: dict[str, list[int]] = {x: [] for x in bound}

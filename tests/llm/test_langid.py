@@ -100,9 +100,13 @@ def test_letters_and_marks_by_unicode_category():
     assert show("  हिन्दी-Straße 3x!") == " हिन्दी straße x "
 
 
-def test_too_many_languages_raise(spark):
-    import pytest
+def test_rare_labels_of_a_dirty_column_are_not_learned(spark):
+    rows = [(i, "der hund und die katze", "de") for i in range(9)] + [(20 + i, "the dog and the cat", "en") for i in range(9)] + [(100 + i, "some text", f"typo{i}") for i in range(50)]
+    filters = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), params=LangParams(languages=2))
+    assert filters.langs == ["de", "en"] and filters.decide("die katze")[0] == "de" and filters.decide("the cat")[0] == "en"
 
-    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError, match="more than 4 values"):
-        fit(df, params=LangParams(languages=4))
+
+def test_rows_of_one_id_are_one_document_of_the_sample(spark):
+    rows = [(1, f"abc{i}", "x") for i in range(300)] + [(2, "xyz", "x")]
+    one = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), params=LangParams(sample=2))
+    assert one.decide("xyz")[1] == 1.0
