@@ -143,9 +143,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     hash. The filters hold at most `per_language` n-grams of each size and language, and those are all that comes to the driver.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(params.languages).collect()}
+    counts = {r["l"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("rows"), F.approx_count_distinct(F.col(key)).alias("n")).orderBy(F.desc("rows"), "l").limit(params.languages).collect()}
     # A share of the hash range with a fifth to spare leaves few rows to rank, however many there are.
-    share = {x: min(1.0, (1.2 * params.sample + 50) / n) for x, n in counts.items()}
+    share = {x: min(1.0, (1.2 * params.sample + 50) / max(1, n)) for x, n in counts.items()}
     if not share:
         return BitmaskFilters({}, params)
     top = {x: min(2**63 - 1, int(s * 2**64) - 2**63) for x, s in share.items()}
