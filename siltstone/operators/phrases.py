@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +38,7 @@ def _automaton(shared):
 
 
 def _hits(text: str, machine) -> dict[str, dict[str, int]]:
-    """For each concept, its aliases in the text and the place of the first of each. Places inside a covering phrase do not count."""
+    """For each concept, its aliases in the text and the place of the first of each. Places that a covering phrase touches do not count."""
     at: list[tuple[int, int, str, list[str]]] = []
     covered: dict[str, list[tuple[int, int]]] = {}
     for last, (alias, inside, concepts, covers) in machine.iter(text):
@@ -62,8 +62,8 @@ def _hits(text: str, machine) -> dict[str, dict[str, int]]:
         for c in concepts:
             if c in kept:
                 starts, ends = kept[c]
-                i = bisect_right(starts, begin) - 1
-                if i >= 0 and end <= ends[i]:
+                i = bisect_left(starts, end) - 1
+                if i >= 0 and ends[i] > begin:
                     continue
             out.setdefault(c, {}).setdefault(alias, begin)
     return out
@@ -90,8 +90,8 @@ def concepts_in(texts: DataFrame, text_id: str, text: str, aliases: DataFrame, s
     """text_id, concept, terms (the aliases found, sorted), first (code points before the first of them in the normalized text).
 
     aliases: concept, alias. Texts and aliases are compared as R2 does: normalized, CJK phrases anywhere, others between the
-    ends of ASCII words. subsumed: outer, inner: where an alias of `outer` stands, in a word or not, no alias of `inner` inside it
-    counts (statistics inside biostatistics). Null and empty aliases are nowhere; null texts hold nothing; repeated aliases count once;
+    ends of ASCII words. subsumed: outer, inner: what an alias of `outer` takes up, in a word or not, is no part of an
+    alias of `inner` (statistics inside biostatistics). Null and empty aliases are nowhere; null texts hold nothing; repeated aliases count once;
     repeated rows give repeated results. Very long texts are read whole. Aliases are configuration: they pass the driver
     in groups of concepts of about `per_automaton`, each an automaton of its own, so that the size that tasks hold is bounded.
     """

@@ -189,7 +189,7 @@ _ALIASES = f"""
     SELECT doc_id, concept, count(*) AS n_terms, min(alias) AS first_term FROM h GROUP BY 1, 2
 """)
 def concept_terms(spark, d):
-    """The words and word pairs of `benchmark` as aliases, their first two letters as concepts, in whole documents; what stands inside a phrase of "on" is no term of "th"."""
+    """The words and word pairs of `benchmark` as aliases, their first two letters as concepts, in whole documents; what a phrase of "on" takes up is no part of a term of "th"."""
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
     w = table(spark, d, "benchmark").select(words.alias("w"))
     long = w.select(F.explode(F.filter("w", lambda x: F.length(x) >= 8)).alias("alias"))
