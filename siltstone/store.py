@@ -14,9 +14,18 @@ _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder, from spark.checkpoint.dir; where none is set, a folder in the warehouse, which is shared as well."""
+    """The shared folder, from spark.checkpoint.dir; where none is set, a folder in the warehouse.
+
+    A warehouse on a local disk is shared on one machine only: on a cluster it raises an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_siltstone").rstrip("/")
+    if root:
+        return root.rstrip("/")
+    root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_siltstone"
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not spark.sparkContext.master.startswith("local") and fs.getScheme() == "file":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {root} is a disk of each")
+    return root
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
