@@ -22,9 +22,10 @@ def shared_root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_siltstone"
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not spark.sparkContext.master.startswith("local") and fs.getScheme() == "file":
-        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {root} is a disk of each")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.getScheme() == "file":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {root} is a disk of each")
     return root
 
 

@@ -1,5 +1,7 @@
 """Tables in the shared folder, settings and the optional subpackage."""
 
+import pytest
+
 import os
 import subprocess
 import sys
@@ -59,3 +61,21 @@ def test_entry_works_without_the_optional_subpackage():
     code = "import sys; sys.modules['siltstone.llm'] = None; import __spark_entry__ as e; q = e.queries(); print('bm25_topk' in q, 'pipeline' in q, any(x.startswith('op1_') for x in q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env={**os.environ, "PYTHONPATH": str(ROOT)}, capture_output=True, text=True)
     assert out.stdout.split() == ["True", "False", "False"], out.stderr
+
+
+def test_a_local_warehouse_is_no_shared_folder_of_a_cluster(spark):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "file:/warehouse/", "spark.master": "yarn"}.get(key, default)
+
+    class Context:
+        _jvm, _jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(Session())
