@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
-from siltstone.operators import dedup, joins, merge, postings, reports
+from siltstone.operators import dedup, joins, merge, postings, reports, upsert
 from siltstone.operators import requirements as Q
 from siltstone.operators import retrieval as R
-from siltstone.plans.posts import POSTS_SQL, greedy_groups_sql, posts, same_posting_sql, stable_sql
+from siltstone.plans.posts import POSTS_SQL, greedy_groups_sql, logical_sql, posts, same_posting_sql, stable_sql
 from siltstone.plans.registry import Registry, table
 from siltstone.plans.retrieval_plans import _STEM, _STOPS
 from siltstone.plans.text_plans import canonical_sql
@@ -433,4 +433,43 @@ def page_match(spark, d):
     return joins.page_matches(p.select("id", page.alias("url")), first.unionByName(again), "id", "url", "app", "url", "given", "at")
 
 
+# Of every six orders three are stored and three come in; companies repeat, ids and URLs are shared by some.
+_IMPORT = """
+    SELECT o_orderkey AS id, o_orderkey // 3 % 2 = 0 AS stored, 'Firm ' || o_custkey AS company, 'Role ' || (o_orderkey % 5) AS title, ['', 'Boston', 'Berlin'][CAST(o_orderkey % 3 AS INT) + 1] AS location,
+           CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'https://a.com/p/' || (o_custkey // 3) || 'x' END AS job_url, CASE WHEN o_orderkey % 4 = 0 THEN 'R-' || (1000 + o_custkey) ELSE '' END AS app, CAST(o_orderkey * 31 % 101 AS INT) AS score,
+           CASE WHEN o_orderkey % 2 = 0 THEN 'JD 未明确' ELSE 'v' || (o_orderkey % 3) END AS visa, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS description, CASE WHEN o_orderkey % 5 < 3 THEN [] ELSE ['k' || (o_orderkey % 9)] END AS skills,
+           's' || (o_orderkey % 4) AS source, ['待官网核验', '开放', 'x'][CAST(o_orderkey // 2 % 3 AS INT) + 1] AS status, 't' || (o_orderkey % 50) AS discovered_at FROM orders
+"""
+
+
+@REG.add(f"""
+    WITH RECURSIVE p AS MATERIALIZED (SELECT *, regexp_replace(lower(company), '[^a-z0-9]', '', 'g') AS co, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS ti, lower(location) AS place, CASE WHEN app <> '' THEN 'explicit:' || lower(app) ELSE '' END AS st, job_url AS url, true AS named FROM ({_IMPORT})),
+    m AS (SELECT a.id AS x, b.id AS y FROM p a JOIN p b ON a.job_url = b.job_url AND a.job_url <> '' WHERE {logical_sql()} UNION SELECT a.id, b.id FROM p a JOIN p b ON a.app = b.app AND a.app <> '' WHERE {logical_sql()}
+          UNION SELECT a.id, b.id FROM p a JOIN p b ON a.company = b.company AND a.title = b.title WHERE {logical_sql()}),
+    c AS (SELECT y AS id, min(x) AS target FROM m JOIN p a ON a.id = x JOIN p b ON b.id = y WHERE a.stored AND NOT b.stored GROUP BY 1),
+    u AS (SELECT id FROM p WHERE NOT stored AND id NOT IN (SELECT id FROM c)),
+    f AS (SELECT y AS id, min(x) AS head FROM m WHERE x < y AND x IN (SELECT id FROM u) AND y IN (SELECT id FROM u) GROUP BY 1),
+    h AS (SELECT id, id AS head FROM u UNION SELECT h.id, f.head FROM h JOIN f ON f.id = h.head),
+    g AS (SELECT id, id AS target, NULL::BIGINT AS head, -1::BIGINT AS seq FROM p WHERE stored UNION ALL SELECT id, target, NULL, id FROM c UNION ALL SELECT id, NULL, min(head), id FROM h GROUP BY id),
+    l AS (SELECT target, g.head, list({{'c': company, 't': title, 'l': location, 'j': job_url, 'a': app, 's': score, 'v': visa, 'd': description, 'k': skills, 'o': source, 'z': status, 'w': discovered_at, 'n': CASE WHEN seq < 0 THEN 0 ELSE 1 END}} ORDER BY seq) AS r FROM g JOIN p ON p.id = g.id GROUP BY 1, 2),
+    x AS (SELECT target, head, r[1].n = 0 AS had, list_reduce(r, lambda e, n: {{'c': CASE WHEN n.c = '待核验公司' THEN e.c ELSE n.c END, 't': n.t, 'l': coalesce(nullif(n.l, ''), e.l), 'j': e.j, 'a': coalesce(nullif(n.a, ''), e.a), 's': greatest(e.s, n.s),
+        'v': CASE WHEN n.v = 'JD 未明确' THEN e.v ELSE n.v END, 'd': coalesce(nullif(n.d, ''), e.d), 'k': CASE WHEN len(n.k) = 0 THEN e.k ELSE n.k END, 'o': CASE WHEN n.d <> '' OR e.o = '' THEN n.o ELSE e.o END,
+        'z': CASE WHEN n.z = '待官网核验' AND e.z = '开放' THEN e.z ELSE n.z END, 'w': e.w, 'n': e.n + n.n}}) AS m FROM l)
+    SELECT target AS id, head, m.c AS company, m.t AS title, m.l AS location, m.j AS job_url, m.a AS application_id, m.s AS score, m.v AS visa, m.d AS description, m.k AS skills, m.o AS source, m.z AS status, m.w AS discovered_at,
+           CAST(m.n AS BIGINT) AS n_merged, CASE WHEN NOT had THEN 'inserted' WHEN m.n > 0 THEN 'updated' ELSE 'kept' END AS change FROM x
+""")
+def identity_import(spark, d):
+    """Half of the orders as stored postings, half as incoming ones that find them, or each other."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i + 1).cast("int"))
+    o = table(spark, d, "orders").select(
+        k.alias("id"), (F.floor(k / 3) % 2 == 0).alias("stored"), F.concat(F.lit("Firm "), c).alias("company"), F.concat(F.lit("Role "), k % 5).alias("title"), pick(("", "Boston", "Berlin"), k % 3).alias("location"),
+        F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("https://a.com/p/"), F.floor(c / 3), F.lit("x"))).alias("job_url"), F.lit("").alias("canonical_url"), F.when(k % 4 == 0, F.concat(F.lit("R-"), 1000 + c)).otherwise("").alias("application_id"),
+        (k * 31 % 101).cast("int").alias("score"), F.when(k % 2 == 0, upsert.UNCLEAR_VISA).otherwise(F.concat(F.lit("v"), k % 3)).alias("visa"), F.lit("").alias("evidence"), F.when(k % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("description"),
+        F.when(k % 5 < 3, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("k"), k % 9))).alias("skills"), F.concat(F.lit("s"), k % 4).alias("source"), pick((upsert.TO_VERIFY, upsert.OPEN, "x"), F.floor(k / 2) % 3).alias("status"), F.concat(F.lit("t"), k % 50).alias("discovered_at"),
+    )
+    incoming = o.where("not stored").drop("stored").withColumnRenamed("id", "seq").withColumn("original_url", F.lit(""))
+    return upsert.identity_upsert(o.where("stored").drop("stored"), incoming).drop("canonical_url", "evidence")
+
+
 QUERIES, ORACLES = REG.queries, REG.oracles

@@ -76,12 +76,18 @@ def stable_sql(url: str, supplied: str = "''") -> str:
     return "coalesce(" + ", ".join(found).replace("web AND", f"regexp_matches({url}, '(?i)^https?://') AND") + ", '')"
 
 
-def same_posting_sql(rows: str, displayed: bool) -> str:
-    """D5, D6 over rows (id, co, ti, place, st, url, named): all pairs that share a stable id, a URL and title, or a company and title, then the whole predicate."""
+def logical_sql() -> str:
+    """D5 of rows a and b (co, ti, place, st, url, named)."""
     titles = "a.named AND b.named AND a.ti = b.ti"
     near = "(a.place = '' OR b.place = '' OR contains(a.place, b.place) OR contains(b.place, a.place))"
     role, url = f"({titles} AND a.co <> '' AND a.co = b.co)", f"({titles} AND a.url <> '' AND a.url = b.url)"
-    logical = f"((a.co = '' OR b.co = '' OR a.co = b.co) AND CASE WHEN a.st <> '' AND b.st <> '' THEN a.st = b.st WHEN a.st <> '' OR b.st <> '' THEN {url} ELSE {url} OR ({role} AND {near}) END)"
+    return f"((a.co = '' OR b.co = '' OR a.co = b.co) AND CASE WHEN a.st <> '' AND b.st <> '' THEN a.st = b.st WHEN a.st <> '' OR b.st <> '' THEN {url} ELSE {url} OR ({role} AND {near}) END)"
+
+
+def same_posting_sql(rows: str, displayed: bool) -> str:
+    """D5, D6 over rows (id, co, ti, place, st, url, named): all pairs that share a stable id, a URL and title, or a company and title, then the whole predicate."""
+    logical = logical_sql()
+    role = "(a.named AND b.named AND a.ti = b.ti AND a.co <> '' AND a.co = b.co)"
     more = f" OR (NOT (a.st <> '' AND b.st <> '') AND {role} AND a.place = b.place)" if displayed else ""
     meet = ("a.st = b.st AND a.st <> ''", "a.url = b.url AND a.ti = b.ti AND a.url <> ''", "a.co = b.co AND a.ti = b.ti AND a.co <> ''")
     found = " UNION ".join(f"SELECT a.id AS x, b.id AS y FROM r a JOIN r b ON {on} AND a.id < b.id" for on in meet)

@@ -1,12 +1,12 @@
 """Tables in the shared folder, settings and the optional subpackage."""
 
-import pytest
-
 import os
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from siltstone.store import Table, run_tables, settings, shared_root
 
 ROOT = Path(__file__).resolve().parent.parent
