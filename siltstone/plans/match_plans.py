@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
-from siltstone.operators import dedup, joins, merge, postings, reports, upsert
+from siltstone.operators import dedup, joins, merge, postings, reports, upsert, verification
 from siltstone.operators import requirements as Q
 from siltstone.operators import retrieval as R
 from siltstone.plans.posts import POSTS_SQL, greedy_groups_sql, logical_sql, posts, same_posting_sql, stable_sql
@@ -472,4 +472,59 @@ def identity_import(spark, d):
     return upsert.identity_upsert(o.where("stored").drop("stored"), incoming).drop("canonical_url", "evidence")
 
 
+_CHECKED = f"""
+    SELECT id, title, CASE WHEN id % 4 = 0 THEN 'REQ ' || id WHEN id % 4 = 1 THEN 'REQ-' || id ELSE '' END AS application_id, CASE WHEN id % 9 = 0 THEN '' ELSE url END AS official_url, url || CASE WHEN id % 6 = 0 THEN '&jobId=J' || id ELSE '' END AS final_url,
+           CASE id % 11 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN NULL WHEN 3 THEN 410 ELSE 200 END AS code,
+           CASE WHEN id % 17 = 0 THEN '' ELSE title || ' at ' || company || '. ' || content || CASE WHEN id % 5 = 0 THEN ' This job has EXPIRED.' ELSE '' END || CASE WHEN id % 7 = 0 THEN ' Requisition: AB' || id ELSE '' END END AS page,
+           CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN title || ' II' ELSE 'Plumber' END AS ptitle, CASE WHEN id % 3 > 0 THEN repeat(content || ' ', CAST(1 + id % 4 AS INT)) END AS pdesc, CASE WHEN id % 8 = 1 THEN 'P-' || id END AS pid FROM ({POSTS_SQL})
+"""
+_SQUEEZED = lambda x: f"trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g'))"
+_TITLE_WORDS = lambda x: f"list_distinct(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN ('the', 'and', 'or', 'of', 'for', 'a', 'an', 'i', 'ii', 'iii')))"
+_BLOCKS = ("(?:will not|does not|do not|unable to|not eligible to).{0,80}(?:sponsor|sponsorship)", "(?:sponsorship|visa sponsorship).{0,80}(?:not available|not provided|unavailable)", r"must be (?:a )?u\.?s\.? citizen")
+_SUPPORTS = ("(?:visa|h-?1b).{0,80}(?:sponsor|sponsorship)", "sponsorship (?:is )?available", "eligible for (?:employment|visa) sponsorship")
+_PROOF = " ".join(f"WHEN regexp_matches(t, '(?i){p}') THEN {{'v': '{v}', 'p': {_SQUEEZED(f"regexp_extract(t, '(?i){p}')")}}}" for v, ps in (("明确不支持", _BLOCKS), ("可能支持", _SUPPORTS)) for p in ps)
+_PAGE_IDS = (r"(?i)(?:[?&]|\b)(?:jobId|job_id|jobReq|gh_jid)=([A-Za-z0-9._-]{2,80})", r"(?i)/jobs?/([A-Za-z]{0,12}\d[A-Za-z0-9_-]{2,63})(?:/|\s|$)", r"(?i)\b(?:requisition|req(?:uisition)? id|job id)\s*[:#]?\s*([A-Z]{0,4}\d[A-Z0-9-]{2,63})")
+_WELL = lambda x: f"CASE WHEN regexp_matches({x}, '^[A-Za-z0-9][A-Za-z0-9._-]{{1,79}}$') THEN {x} END"
+_VERIFIED = f"""
+    r AS ({_CHECKED}), s AS (SELECT *, {_SQUEEZED('page')} AS pg, coalesce(nullif(CASE WHEN ptitle IS NOT NULL OR pdesc IS NOT NULL THEN {_SQUEEZED('pdesc')} ELSE {_SQUEEZED('page')} END, ''), {_SQUEEZED('page')}) AS t,
+          CASE WHEN ptitle IS NOT NULL OR pdesc IS NOT NULL THEN {_SQUEEZED('pdesc')} ELSE {_SQUEEZED('page')} END AS d, official_url <> '' AND coalesce(code NOT IN (404, 410), true) AND coalesce(code = 200, false) AND page <> '' AS judged FROM r),
+    q AS (SELECT *, CASE {_PROOF} ELSE {{'v': 'JD 未明确', 'p': ''}} END AS w, coalesce({_WELL(_SQUEEZED('pid'))}, {', '.join(_WELL(f"regexp_extract(final_url || ' ' || pg, '{p}', 1)") for p in _PAGE_IDS)}, {_WELL(_SQUEEZED('application_id'))}, '') AS ident,
+          len(list_intersect({_TITLE_WORDS('title')}, {_TITLE_WORDS("coalesce(nullif(ptitle, ''), substr(pg, 1, 1500))")})) >= 0.55 * len({_TITLE_WORDS('title')}) AND len({_TITLE_WORDS('title')}) > 0 AS titled FROM s),
+    z AS (SELECT *, CASE WHEN official_url = '' THEN 'm0' WHEN coalesce(code IN (404, 410), false) THEN 'c1' WHEN NOT judged THEN 'm2' WHEN regexp_matches(lower(pg), 'job is no longer available|position is no longer available|this job has expired|job posting has expired|position has been filled|no longer accepting applications|job not found') THEN 'c3'
+          WHEN (ptitle IS NOT NULL OR pdesc IS NOT NULL) AND titled AND length(d) >= 300 THEN 'o4' ELSE 'm5' END AS rung FROM q),
+    y AS (SELECT id, official_url, CASE rung[1] WHEN 'm' THEN '待官网核验' WHEN 'c' THEN '已关闭' ELSE '开放' END AS status, CASE rung WHEN 'm0' THEN '未自动定位到可审计的公司官网或官方 ATS 页面。' WHEN 'c1' THEN '公司页面返回 HTTP ' || code || '。' WHEN 'm2' THEN '公司页面暂时无法自动读取（HTTP ' || coalesce(CAST(code AS VARCHAR), '连接失败') || '）。'
+          WHEN 'c3' THEN '公司页面显示岗位已关闭或不再接受申请。' WHEN 'o4' THEN '已在公司官网或官方 ATS 找到完整且仍开放的具体 JD。' ELSE '已定位公司页面，但未取得足够证据确认具体 JD 仍开放。' END AS note, CASE WHEN judged THEN d ELSE '' END AS description, CASE WHEN judged THEN w.v END AS visa, CASE WHEN judged THEN w.p ELSE '' END AS proof,
+          CASE WHEN judged THEN final_url END AS canonical_url, CASE WHEN judged THEN '官网核验 · ' || {_HOST_OF('final_url')} END AS source, CASE WHEN judged THEN ident ELSE application_id END AS application_id FROM z)
+"""
+
+
+def _verified(spark, d):
+    p, k = posts(spark, d), F.col("id")
+    page = F.concat(F.col("title"), F.lit(" at "), F.col("company"), F.lit(". "), F.col("content"), F.when(k % 5 == 0, " This job has EXPIRED.").otherwise(""), F.when(k % 7 == 0, F.concat(F.lit(" Requisition: AB"), k)).otherwise(""))
+    rows = p.select(
+        "id", "title", F.when(k % 4 == 0, F.concat(F.lit("REQ "), k)).when(k % 4 == 1, F.concat(F.lit("REQ-"), k)).otherwise("").alias("application_id"), F.when(k % 9 == 0, "").otherwise(F.col("url")).alias("official_url"),
+        F.concat("url", F.when(k % 6 == 0, F.concat(F.lit("&jobId=J"), k)).otherwise("")).alias("final_url"), F.when(k % 11 == 0, 404).when(k % 11 == 1, 500).when(k % 11 == 2, F.lit(None)).when(k % 11 == 3, 410).otherwise(200).alias("status_code"),
+        F.when(k % 17 == 0, "").otherwise(page).alias("page_text"), F.when(k % 3 == 1, F.concat("title", F.lit(" II"))).when(k % 3 == 2, "Plumber").alias("posting_title"), F.when(k % 3 > 0, F.expr("repeat(concat(content, ' '), cast(1 + id % 4 as int))")).alias("posting_description"),
+        F.when(k % 8 == 1, F.concat(F.lit("P-"), k)).alias("posting_id"),
+    )
+    return verification.verify(rows)
+
+
+@REG.add(f"""
+    WITH {_VERIFIED} SELECT id, status, note, description, visa, proof, canonical_url, source, application_id, CASE WHEN canonical_url IS NOT NULL THEN note || '；官网：' || canonical_url || '；岗位编号：' || CASE WHEN application_id = '' THEN '未提取' ELSE application_id END || '；Sponsorship：' || visa || CASE WHEN proof <> '' THEN '；原文证据：' || proof ELSE '' END END AS evidence FROM y
+""")
+def verification_ladder(spark, d):
+    """Every rung of the ladder, with notes, evidence and ids."""
+    return _verified(spark, d).select("id", "status", "note", "description", "visa", "proof", "canonical_url", "source", "application_id", "evidence")
+
+
+@REG.add(f"""
+    WITH {_VERIFIED} SELECT count(*) AS received, count(*) FILTER (status = '开放') AS open_verified, count(*) FILTER (status = '已关闭') AS closed, count(*) FILTER (status = '待官网核验') AS needs_manual, count(*) FILTER (official_url <> '') AS urls_found,
+           count(*) FILTER (application_id <> '') AS ids_found, count(*) FILTER (visa IN ('明确不支持', '可能支持')) AS sponsorship_explicit FROM y
+""")
+def verification_summary(spark, d):
+    """The counts of the ladder."""
+    return verification.summary(_verified(spark, d))
+
+
 QUERIES, ORACLES = REG.queries, REG.oracles
