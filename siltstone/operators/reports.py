@@ -13,10 +13,13 @@ def count_if(test: Column) -> Column:
     return F.count_if(test).cast("bigint")
 
 
-def ordered_distinct(value: Column, order: Column) -> Column:
-    """Distinct values in order of first appearance, as an aggregate."""
-    pairs = F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
-    return F.array_distinct(F.transform(pairs, lambda p: p["v"]))
+def ordered_distinct(df: DataFrame, key: str, value: str, order: str, out: str) -> DataFrame:
+    """Per key the distinct values in order of first appearance (equal places: the smaller value). Null values are left out.
+
+    Each value's first place is a minimum that is combined before the shuffle, so a key holds its distinct values alone.
+    """
+    first = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.min(order).alias("o"))
+    return first.groupBy(F.col("k").alias(key)).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "v"))), lambda p: p["v"]).alias(out))
 
 
 def histogram(df: DataFrame, reason: str) -> DataFrame:

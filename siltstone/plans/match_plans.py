@@ -527,4 +527,18 @@ def verification_summary(spark, d):
     return verification.summary(_verified(spark, d))
 
 
+_APPROVED = (("include", "Biostatistics", 9), ("include", "sas", 4), ("include", "统计", 8), ("exclude", "Senior", 0), ("exclude", "实习", 0), ("exclude", "INTERN", 0))
+
+
+@REG.add(f"""
+    SELECT id, CAST(least(100, id % 101 + least(15, {' + '.join(f"CASE WHEN contains(lower(content), lower('{t}')) OR contains(lower(title), lower('{t}')) THEN {b} ELSE 0 END" for k, t, b in _APPROVED if k == 'include')})) AS INT) AS score,
+           {' OR '.join(f"contains(lower(title), lower('{t}'))" for k, t, _ in _APPROVED if k == 'exclude')} AS blocked FROM ({POSTS_SQL})
+""")
+def approved_rules(spark, d):
+    """approved rules add up to 15 points, and an excluding title blocks."""
+    rules = spark.createDataFrame(list(_APPROVED), "kind string, term string, boost int")
+    rows = posts(spark, d).withColumn("score", (F.col("id") % 101).cast("int"))
+    return postings.apply_rules(rows, rules, "title", "content", "score").select("id", "score", "blocked")
+
+
 QUERIES, ORACLES = REG.queries, REG.oracles

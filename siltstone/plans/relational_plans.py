@@ -516,4 +516,12 @@ def expiry_misses(spark, d):
     return batch_misses(e.join(days, "day").select("user_id", "i"), "user_id", "i", days.where("complete").select("i"))
 
 
+@REG.add("""
+    WITH f AS (SELECT source, lang, min(doc_id) AS o FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2) SELECT source, list(lang ORDER BY o, lang) AS langs FROM f GROUP BY 1
+""")
+def union_first_seen(spark, d):
+    """Distinct values in order of first appearance."""
+    return reports.ordered_distinct(table(spark, d, "documents").select("source", "lang", "doc_id"), "source", "lang", "doc_id", "langs")
+
+
 QUERIES, ORACLES = REG.queries, REG.oracles
