@@ -37,10 +37,6 @@ def blocked_or_supported(text: Column, block: str, support: str) -> Column:
     return F.when(text.rlike(block), "blocked").when(text.rlike(support), "supported").otherwise("unknown")
 
 
-def matched_span(text: Column, pattern: str) -> Column:
-    return F.regexp_extract(text, pattern, 0)
-
-
 def largest_number(text: Column, pattern: str, group: int = 1) -> Column:
     """The largest number that the pattern's group finds; null if none."""
     return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(pattern), group), lambda x: x.try_cast("int")))

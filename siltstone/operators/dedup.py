@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -17,12 +16,6 @@ from siltstone.graph import connected_components
 from siltstone.store import Table
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-
-
 def keep_last(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     """The last row of each key wins. An aggregate, so a hot key is combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

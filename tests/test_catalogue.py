@@ -10,8 +10,6 @@ import pytest
 from siltstone.plans import catalogue
 
 AT = "/root/testdata/sf0.001"
-# Too slow to run here beside the others: compared at sf0.01 by the driver.
-SLOW = {"hashed_cosine"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def plain(v):
     return v.isoformat() if isinstance(v, datetime.datetime) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_its_sql(spark, duck, name):
     df = catalogue.queries()[name](spark, AT)
     cols = sorted(df.columns)
