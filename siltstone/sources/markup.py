@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import html
 import json
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, unquote, urljoin, urlsplit
 
@@ -113,10 +115,22 @@ class _Page(HTMLParser):
                 self.links[-1][1] = (self.links[-1][1] + " " + data.strip()).strip()
 
 
-def parse_page(body: str | None, base: str = "") -> dict:
-    """Text, absolute links, and posting rows from JSON-LD and embedded JSON, one per URL (the last wins)."""
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
+
+
+def _ended_only(body: str) -> str:
+    """The page with an escaped ampersand wherever no whole character reference with its semicolon begins."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else "&amp;" + m[0][1:], body)
+
+
+def parse_page(body: str | None, base: str = "", ended: bool = False) -> dict:
+    """Text, absolute links, and posting rows from JSON-LD and embedded JSON, one per URL (the last wins).
+
+    ended: character references count with their semicolon alone; otherwise `&amp` is read as browsers do.
+    """
     page = _Page()
-    page.feed(body or "")
+    page.feed(_ended_only(body or "") if ended else body or "")
+    page.close()  # else text behind the last tag may be held back
     rows: dict[str, tuple] = {}
     for kind, script in page.scripts:
         found = _json_from(html.unescape(script))
@@ -131,14 +145,14 @@ def parse_page(body: str | None, base: str = "") -> dict:
     return {"text": " ".join(" ".join(page.text).split()), "links": links, "rows": list(rows.values())}
 
 
-def scan_pages(pages: DataFrame, ident: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """One row per page: ident, text, links array<struct<url, label>>, rows array<struct<...>>. Null bodies are empty pages."""
+def scan_pages(pages: DataFrame, ident: str = "page_id", url: str = "url", body: str = "html", ended: bool = False) -> DataFrame:
+    """One row per page: ident, text, links array<struct<url, label>>, rows array<struct<...>>. Null bodies are empty pages; `ended` as in `parse_page`."""
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            out = [parse_page(b, u or "") for b, u in zip(pdf["__b"], pdf["__u"])]
+            out = [parse_page(b, u or "", ended) for b, u in zip(pdf["__b"], pdf["__u"])]
             yield pd.DataFrame({ident: pdf[ident], "text": [x["text"] for x in out], "links": [[{"url": a, "label": b} for a, b in x["links"]] for x in out], "rows": [[dict(zip(("title", "url", "location", "ident"), r)) for r in x["rows"]] for x in out]})
 
     kind = dict(pages.dtypes)[ident]

@@ -108,3 +108,10 @@ def test_sinks_round_trip(spark, tmp_path):
     got = m.groupBy("source", "kind").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()
     assert {(r.source, r.kind): r.n for r in got} == {("s", "rows"): 120, ("s", "reconcile"): 0, ("t", "reconcile"): 0}
     assert max(r.most for r in got) <= 50
+
+
+def test_character_references_without_a_semicolon():
+    body = "<title>a &amp; b&amp</title>c &lt; &nope; &amp"
+    assert markup.parse_page(body)["text"] == "a & b& c < &nope; &"
+    assert markup.parse_page(body, ended=True)["text"] == "a & b&amp c < &nope; &amp"
+    assert markup.parse_page("<a href='/x?a=1&copy=2'>x</a>", "https://e.com", ended=True)["links"] == [("https://e.com/x?a=1&copy=2", "x")]
