@@ -37,6 +37,15 @@ def test_ids(spark):
     assert same[0] == same[1]
 
 
+def test_capture_ids_of_two_hundred_thousand_pages_differ(spark):
+    k = F.sha2(F.col("id").cast("string"), 256)
+    c = P.capture_id(F.lit("a"), F.lit("t"), F.lit(""), F.lit(""), k)
+    ids = spark.range(200_000).repartition(8).select(c.alias("c")).cache()
+    assert ids.distinct().count() == 200_000
+    assert ids.select(F.substring_index("c", "-", 3)).distinct().count() < 200_000  # the short ids alone do not
+    ids.unpersist()
+
+
 def test_reports_and_rules(spark):
     s = spark.createDataFrame([("a", 5, 1, 1, "ok", True), ("a", 1, 0, 0, "rate_limited", True), ("b", 0, 0, 0, "rate_limited", True)], "source string, scanned int, valid int, matched int, source_status string, accounted_for boolean")
     got = {r.source: (r.limited, r.enough, r.all_limited) for r in P.platform_validation(s, 1).collect()}
