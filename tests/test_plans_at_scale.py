@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from siltstone.operators import dedup, nearest, reports, retrieval
+from siltstone.operators import dedup, joins, nearest, reports, retrieval
 
 POST = "id long, company string, title string, location string, job_url string, canonical_url string, application_id string, seen long, rank double"
 
@@ -69,3 +69,11 @@ def test_similar_sets_and_bm25_with_odd_rows(spark):
     part = lambda tf, dl, df: idf(df) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))
     assert set(scored) == {(1, 10), (1, 11)}
     assert abs(scored[1, 10] - (part(1, 2, 2) + 2 * part(1, 2, 1))) < 1e-9 and abs(scored[1, 11] - part(1, 41, 2)) < 1e-9
+
+
+def test_grams_of_texts_are_not_broadcast(spark):
+    a = spark.range(2000).select("id", F.concat(F.lit("Large Ring "), F.col("id") % 3).alias("t"))
+    b = spark.createDataFrame([("ring",), ("large ring 1 set",), ("RING",), ("",), (None,)], "w string")
+    found = joins.contains_join(a, b, "t", "w")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.w: r["count"] for r in found.groupBy("w").count().collect()} == {"ring": 2000, "RING": 2000, "large ring 1 set": 667}
