@@ -15,7 +15,7 @@ from siltstone.plans.text_plans import canonical_sql
 from siltstone.functions import urls as U
 from siltstone.sources import adapters as A
 from siltstone.sources import files, markup, sinks, staged
-from siltstone.store import new_folder, settings
+from siltstone.store import Table, new_folder, settings
 from siltstone.streaming import ingest, lapse
 
 REG = Registry()
@@ -325,20 +325,22 @@ def lapse_stream(spark, d):
     SELECT mode, board, path, title, location FROM k, (SELECT unnest(['batch', 'stream']) AS mode) WHERE place = 1
 """)
 def staged_boards(spark, d):
-    """Pages of a hundred staged as files, read as a batch and, in two runs, as a stream; one posting per path across pages; pages behind a board's total are not read."""
+    """Pages of a hundred staged in files of 500 at most, read as a batch and, in two runs, as a stream; one posting per path across pages; pages behind a board's total are not read."""
     folder = new_folder(spark, "pages")
     c, k = F.col("o_custkey"), F.col("o_orderkey")
     group = W.partitionBy("board", "term")
     o = table(spark, d, "orders").select(F.concat(F.lit("b"), c % 5).alias("board"), (k % 2).alias("term"), k.alias("k"), F.struct(F.concat(F.lit("Job "), k).alias("title"), F.concat(F.lit("/job/"), F.floor(k / 5)).alias("externalPath"), F.col("o_orderstatus").alias("locationsText")).alias("posting"))
-    at = o.withColumns({"at": F.row_number().over(group.orderBy("k")) - 1, "n": F.count("*").over(group)})
-    pages = at.groupBy("board", "term", (F.floor(F.col("at") / 100) * 100).alias("offset")).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("at", "posting"))), lambda x: x["posting"]).alias("jobPostings"))
+    sizes = o.groupBy("board", "term").agg(F.count("*").alias("n"))
+    at = o.withColumn("at", F.row_number().over(group.orderBy("k")) - 1)
+    pages = at.groupBy("board", "term", (F.floor(F.col("at") / 100) * 100).alias("offset")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "posting"))), lambda x: x["posting"]).alias("jobPostings")).join(sizes, ["board", "term"])
     total = F.when(F.col("board") == "b1", 120).otherwise(F.col("n"))
-    texts = pages.select(F.concat_ws("-", "board", "term", "offset").alias("page"), "offset", F.to_json(F.struct("board", "term", "offset", total.alias("total"), "jobPostings")).alias("value"))
+    texts = Table(pages.select("offset", F.to_json(F.struct("board", "term", "offset", total.alias("total"), "jobPostings")).alias("value")), "texts")
     out = f"{folder}/out"
     for half in (F.col("offset") % 200 == 0, F.col("offset") % 200 != 0):
-        texts.where(half).drop("offset").repartition("page").write.mode("append").partitionBy("page").text(f"{folder}/in")
+        texts.df.where(half).select("value").write.mode("append").option("maxRecordsPerFile", 500).text(f"{folder}/in")
         query = ingest.run_batches(staged.stream_pages(spark, f"{folder}/in"), lambda batch, n: batch.write.mode("append").parquet(out), f"{folder}/state")
         query.awaitTermination()
+    texts.drop()
     batch, stream = staged.board_postings(staged.read_pages(spark, f"{folder}/in")), staged.board_postings(spark.read.schema(staged.SCHEMA).parquet(out))
     return batch.select(F.lit("batch").alias("mode"), "*").unionByName(stream.select(F.lit("stream").alias("mode"), "*"))
 

@@ -46,3 +46,19 @@ def test_stream_takes_each_page_once(spark, tmp_path):
     run()
     run()
     assert out == ["m.json", "a.json", "a.json"]
+
+
+def test_many_pages_in_a_file_and_many_files_in_a_task(spark, tmp_path, monkeypatch):
+    page = lambda board, offset, n: {"board": board, "offset": offset, "total": 900, "jobPostings": [{"title": f"t{i}", "externalPath": f"/p/{offset + i}"} for i in range(n)]}
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(page("a", 2 * i, 2)) for i in range(250)) + "\n\nno page\n")
+    (tmp_path / "whole.json").write_text(json.dumps(page("b", 0, 1), indent=2))
+    (tmp_path / "late.json").write_text("broken\n" + json.dumps(page("c", 0, 2)))
+    (tmp_path / "none.json").write_text("")
+    for i in range(30):
+        put(tmp_path, f"p{i:02}.json", "d", i, 1, first=i)
+    monkeypatch.setattr(staged, "MOST_TASKS", 7)
+    pages = staged.read_pages(spark, f"file://{tmp_path}")
+    sizes = {r.board: (r.n, r.bad) for r in pages.selectExpr("coalesce(board, '') as board", "path", "error").groupBy("board").agg({"path": "count", "error": "count"}).toDF("board", "n", "bad").selectExpr("board", "n", "bad").collect()}
+    assert {b: sum(x) for b, x in sizes.items()} == {"a": 500, "b": 1, "c": 2, "d": 30, "": 3}
+    assert [len(p.files) for p in staged._dealt([str(i) for i in range(34)])] == [5] * 6 + [4]
+    assert staged.board_postings(pages, 2).where("board = 'a'").count() == 500
