@@ -304,6 +304,9 @@ def lapse_stream(spark, d):
     folder = new_folder(spark, "sightings")
     entity = F.concat_ws("/", "user_id", "event_type", F.floor(F.col("value") / 20))
     seen = table(spark, d, "events").select(entity.alias("entity"), F.least(F.lit(5), F.floor((F.dayofmonth("ts") - 1) / 5)).alias("scan")).distinct()
+    made = Table(seen, "seen")
+    seen = made.df
+    buckets = 8 + seen.select("entity").distinct().count() // 5000
     stored = seen.where("scan = 0").groupBy("entity").agg(F.max("scan").alias("last"))
     calendar = [k for k in range(6) if k % 4 != 3]
     schema = StructType([StructField("entity", StringType()), StructField("scan", LongType())])
@@ -311,10 +314,11 @@ def lapse_stream(spark, d):
         for scans in (range(1, 4), range(4, 8)):
             for k in scans:  # a scan that shows nothing of ours still moves the clock
                 rows = seen.where(F.col("scan") == k).unionByName(spark.range(1).select(F.lit("~scan").alias("entity"), F.lit(k).cast("bigint").alias("scan")))
-                rows.coalesce(1).write.mode("append").json(f"{folder}/in")
-            states = lapse.lapses(ingest.arriving_json(spark, f"{folder}/in", schema, 1).drop("file"), stored, calendar, keep=3)
+                rows.repartition(1).write.mode("append").json(f"{folder}/in")
+            states = lapse.lapses(ingest.arriving_json(spark, f"{folder}/in", schema, 1).drop("file"), stored, calendar, keep=3, buckets=buckets)
             query = ingest.run_batches(states, lambda batch, n: batch.write.mode("append").parquet(f"{folder}/out"), f"{folder}/state")
             query.awaitTermination()
+    made.drop()
     return spark.read.schema(lapse.OUTPUT).parquet(f"{folder}/out").where("entity <> '~scan'")
 
 

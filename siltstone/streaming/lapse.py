@@ -1,13 +1,14 @@
 """Expiry and retention as a stateful stream of sightings (T1, T3): no row for what a scan does not show.
 
-An entity's state is the scan that showed it last. An event-time timer stands at the scan by which it has lapsed (the second
-complete scan after it), and then at the end of its retention, when the state goes. Stored entities enter as initial state.
+Entities are dealt to buckets by hash, and a bucket's state lists its entities, each with the scan that showed it last, so a scan costs a few
+calls per bucket, not per entity. Event-time timers stand at the scans by which some entity of the bucket has lapsed (the second complete
+scan after its last one) and at the ends of retentions, when the state goes. Stored entities enter as initial state.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,55 +29,79 @@ def _processor(complete: Sequence[int], misses: int, keep: int):
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["entity", "scan", "state"])
 
+    def passed(entity: str, held: tuple[int, bool] | None, now: int) -> tuple[list[tuple], int | None, bool]:
+        """What has happened to the entity before scan `now`: rows, its last scan if it is still held, whether it is expired."""
+        if held is None:
+            return [], None, False
+        last, expired = held
+        rows, at, end = [], due(last), last + keep
+        if not expired and at is not None and at < now and at <= end:
+            rows.append((entity, at, "expired"))
+            expired = True
+        if end < now:
+            rows.append((entity, end, "dropped"))
+            return rows, None, False
+        return rows, last, expired
+
     class Lapse(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.seen = handle.getValueState("seen", "last long, expired boolean")
-
-        def passed(self, key: str, now: int) -> tuple[list[tuple], int | None, bool]:
-            """What has happened to the entity before scan `now`: rows, its last scan if it is still held, whether it is expired."""
-            if not self.seen.exists():
-                return [], None, False
-            last, expired = self.seen.get()
-            rows, at, end = [], due(last), last + keep
-            if not expired and at is not None and at < now and at <= end:
-                rows.append((key, at, "expired"))
-                expired = True
-            if end < now:
-                rows.append((key, end, "dropped"))
-                return rows, None, False
-            return rows, last, expired
-
-        def hold(self, last: int, expired: bool) -> None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t if isinstance(t, int) else t[0])
-            self.seen.update((last, expired))
-            at = due(last)
-            next_ = last + keep if expired or at is None or at > last + keep else at
-            self.handle.registerTimer(next_ * DAY)
+            self.seen = handle.getListState("seen", "entity string, last long, expired boolean")
+
+        def load(self) -> dict[str, tuple[int, bool]]:
+            return {entity: (last, expired) for entity, last, expired in self.seen.get()} if self.seen.exists() else {}
+
+        def store(self, held: dict[str, tuple[int, bool]]) -> None:
+            if held:
+                self.seen.put([(entity, last, expired) for entity, (last, expired) in held.items()])
+            else:
+                self.seen.clear()
+
+        def set_timers(self, lasts: Iterable[int]) -> None:
+            """Timers for entities last shown by these scans; one that has become needless finds nothing to do."""
+            times = set()
+            for last in set(lasts):
+                at = due(last)
+                times |= {last + keep} if at is None or at > last + keep else {at, last + keep}
+            for t in times:
+                self.handle.registerTimer(t * DAY)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            out = []
-            for scan in sorted({int(s) for pdf in rows for s in pdf["scan"]}):
-                before, last, expired = self.passed(key[0], scan)
-                out += before
-                if expired:
-                    out.append((key[0], scan, "returned"))
-                if last is None or scan >= last:
-                    self.hold(scan, False)
+            scans: dict[str, set[int]] = {}
+            for pdf in rows:
+                for entity, scan in zip(pdf["entity"].tolist(), pdf["scan"].tolist()):
+                    scans.setdefault(entity, set()).add(int(scan))
+            held, out = self.load(), []
+            for entity, shown in scans.items():
+                for scan in sorted(shown):
+                    before, last, expired = passed(entity, held.get(entity), scan)
+                    out += before
+                    if expired:
+                        out.append((entity, scan, "returned"))
+                    if last is None or scan >= last:
+                        held[entity] = scan, False
+            self.store(held)
+            self.set_timers(held[entity][0] for entity in scans)
             yield frame(out)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             now = expiredTimerInfo.getExpiryTimeInMs() // DAY
-            out, last, expired = self.passed(key[0], now + 1)
-            if last is None:
-                self.seen.clear()
-            else:
-                self.hold(last, expired)
+            held, out = self.load(), []
+            for entity in list(held):
+                rows, last, expired = passed(entity, held[entity], now + 1)
+                out += rows
+                if last is None:
+                    del held[entity]
+                else:
+                    held[entity] = last, expired
+            if out:
+                self.store(held)
             yield frame(out)
 
         def handleInitialState(self, key, initialState, timerValues) -> None:
-            self.hold(int(initialState["last"].max()), False)
+            held = {e["entity"]: (int(e["last"]), False) for listed in initialState["entities"] for e in listed}
+            self.store(held)
+            self.set_timers(last for last, _ in held.values())
 
         def close(self) -> None:
             pass
@@ -84,13 +109,16 @@ def _processor(complete: Sequence[int], misses: int, keep: int):
     return Lapse()
 
 
-def lapses(stream: DataFrame, stored: DataFrame, complete: Sequence[int], misses: int = 2, keep: int = 14) -> DataFrame:
+def lapses(stream: DataFrame, stored: DataFrame, complete: Sequence[int], misses: int = 2, keep: int = 14, buckets: int = 64) -> DataFrame:
     """stream: entity, scan (sightings, scans in order); stored: entity, last. Returns entity, scan, state: expired, returned, dropped.
 
     An entity expires at the `misses`-th complete scan after the last one that showed it, is dropped `keep` scans after that one, and
     returns if a later scan shows it in between; after it was dropped it is new. Incomplete scans count for nothing.
     Several sightings in a scan are one. A lapse is reported once the scans have come that far. Needs the RocksDB state store.
+    buckets: a task holds a bucket's entities at once, so some thousands of them make a good bucket; fixed once a checkpoint is begun.
     """
-    timed = stream.where("entity is not null and scan is not null").withColumn("ts", F.timestamp_millis(F.col("scan") * DAY)).withWatermark("ts", "0 seconds")
-    first = stored.where("entity is not null").groupBy("entity")
-    return timed.groupBy("entity").transformWithStateInPandas(_processor(list(complete), misses, keep), OUTPUT, "Append", "EventTime", initialState=first)
+    bucket = F.pmod(F.xxhash64("entity"), F.lit(buckets)).alias("bucket")
+    timed = stream.where("entity is not null and scan is not null").select(bucket, "entity", "scan", F.timestamp_millis(F.col("scan") * DAY).alias("ts")).withWatermark("ts", "0 seconds")
+    last = stored.where("entity is not null").groupBy("entity").agg(F.max("last").cast("long").alias("last"))
+    first = last.groupBy(bucket).agg(F.collect_list(F.struct("entity", "last")).alias("entities")).groupBy("bucket")
+    return timed.groupBy("bucket").transformWithStateInPandas(_processor(list(complete), misses, keep), OUTPUT, "Append", "EventTime", initialState=first)

@@ -50,3 +50,20 @@ def test_lapses_with_a_restart(spark, tmp_path):
     got = sorted((r.entity, r.scan, r.state) for r in spark.read.parquet(out).collect() if r.entity != "~end")
     assert got == walk(sightings, stored, complete, 4)
     assert {"expired", "returned", "dropped"} <= {s for _, _, s in got}
+
+
+def test_thousands_of_entities_in_two_buckets(spark, tmp_path):
+    rng = random.Random(5)
+    sightings = [(f"e{i}", s) for i in range(3000) for s in (1, 2, 3) if rng.random() < 0.4]
+    stored = {f"e{i}": 0 for i in range(0, 4000, 7)}
+    out = str(tmp_path / "out")
+    for s in range(1, 9):
+        rows = [x for x in sightings if x[1] == s] + [("~scan", s)]
+        spark.createDataFrame(rows, "entity string, scan long").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    with settings(spark, ROCKS):
+        stream = ingest.arriving_json(spark, str(tmp_path / "in"), spark.createDataFrame([], "entity string, scan long").schema, 1).drop("file")
+        states = lapse.lapses(stream, spark.createDataFrame(list(stored.items()), "entity string, last long"), [1, 2, 3, 4, 5], keep=3, buckets=2)
+        q = ingest.run_batches(states, lambda b, _: b.write.mode("append").parquet(out), str(tmp_path / "cp"))
+        q.awaitTermination(200)
+    got = sorted((r.entity, r.scan, r.state) for r in spark.read.parquet(out).collect() if r.entity != "~scan")
+    assert got == walk(sightings, stored, [1, 2, 3, 4, 5], 3)
