@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 50_000  # queries that tasks hold at once: a block of 384 doubles each is 150 MB
+QUERY_BLOCK = 16_384  # queries that tasks hold at once: a block of 384 doubles each is 50 MB
+SCORES = 1 << 20  # scores that may be new candidates at once, all queries together
 
 
 def unit_rows(column: pa.ListArray, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -49,17 +50,20 @@ def _search(ids: np.ndarray, unit: np.ndarray, k: int, ties: bool, digits: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, row, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         least = np.full(len(ids), -1.0)
+        step = max(1, min(512, SCORES // max(1, len(ids))))
         for batch in batches:
             at, x = unit_rows(batch.column(1), unit.shape[1])
             names = batch.column(0).to_numpy()[at]
-            for a in range(0, len(x), 512):
-                here = names[a : a + 512]
+            for a in range(0, len(x), step):
+                here = names[a : a + step]
+                new = [(query, row, score)]
                 for b in range(0, len(ids), 4096):
-                    found = np.round(np.maximum(0.0, unit[b : b + 4096] @ x[a : a + 512].T), digits)
+                    found = np.round(np.maximum(0.0, unit[b : b + 4096] @ x[a : a + step].T), digits)
                     if others:
                         found[ids[b : b + 4096, None] == here[None, :]] = -2.0
                     q, r = np.nonzero(found >= least[b : b + 4096, None])
-                    query, row, score = np.concatenate([query, q + b]), np.concatenate([row, here[r]]), np.concatenate([score, found[q, r]])
+                    new.append((q + b, here[r], found[q, r]))
+                query, row, score = (np.concatenate(c) for c in zip(*new, strict=True))
                 keep = best_rows(query, row, score, k, ties)
                 query, row, score = query[keep], row[keep], score[keep]
                 full = np.flatnonzero(np.bincount(query, minlength=len(ids)) >= k)
