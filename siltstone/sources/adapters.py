@@ -175,9 +175,12 @@ SNAPSHOT_KEYS = {
 def from_snapshot(df: DataFrame, source: str) -> DataFrame:
     """Rows of an exported snapshot under any of SNAPSHOT_KEYS. Excluded titles are dropped; unknown companies and places get their placeholders."""
     v = {k: T.first_nonempty(*[_text(n, df) for n in names]) for k, names in SNAPSHOT_KEYS.items()}
+    df, v = df.select(*[c for c in ("source_id",) if c in df.columns], *[c.alias(k) for k, c in v.items()]), {k: F.col(k) for k in v}
     company, place, url = T.first_nonempty(v["company"], F.lit(S.UNKNOWN_COMPANY)), T.first_nonempty(v["location"], F.lit(CHINA)), U.snapshot_url(v["url"])
     both = F.concat_ws(" ", v["title"], v["description"])
-    degree, skills = both.rlike(r"(?i)博士|ph\.?d\.?|doctorate|doctoral"), R.all_matches(both, LOCAL_SKILLS)
+    # Columns of their own: what several results read is computed once.
+    df = df.withColumns({"page": url, "degree": both.rlike(r"(?i)博士|ph\.?d\.?|doctorate|doctoral"), "skills": R.all_matches(both, LOCAL_SKILLS)})
+    url, degree, skills = F.col("page"), F.col("degree"), F.col("skills")
     score = F.least(F.lit(100), 45 + F.when(degree, 15).otherwise(0) + F.when(v["description"] != "", 10).otherwise(0) + F.least(F.lit(20), F.size(skills) * 3))
     named = F.concat_ws("::", F.lower(company), F.lower(v["title"]), F.lower(place))
     keep = (v["title"] != "") & ~F.lower(v["title"]).rlike(S.CHINA_EXCLUDED_TITLE) & ~F.lower(v["title"]).rlike(S.CHINA_IRRELEVANT)
