@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import squeeze
+from siltstone.functions.text import once, squeeze
 from siltstone.functions.urls import host
+from siltstone.names import fresh
 
 # What a page of a closed posting says.
 CLOSED_SIGNALS = (
@@ -56,7 +57,10 @@ def title_share(expected: Column, actual: Column) -> Column:
 
 def sponsorship(text: Column) -> Column:
     """P25: struct<visa, proof>: the label and the words that gave it; refusals are looked for first."""
-    t = F.coalesce(text, F.lit(""))
+    return once(F.coalesce(text, F.lit("")), _sponsorship_of)
+
+
+def _sponsorship_of(t: Column) -> Column:
     out = None
     for label, patterns in ((BLOCKED, SPONSORSHIP_BLOCK_PATTERNS), (SUPPORTED, SPONSORSHIP_SUPPORT_PATTERNS)):
         for p in patterns:
@@ -66,15 +70,14 @@ def sponsorship(text: Column) -> Column:
 
 
 def normal_id(c: Column) -> Column:
-    t = squeeze(c)
-    return F.when(t.rlike(APPLICATION_ID), t).otherwise("")
+    return once(squeeze(c), lambda t: F.when(t.rlike(APPLICATION_ID), t).otherwise(""))
 
 
 def page_application_id(url: Column, text: Column, identifier: Column) -> Column:
     """The page's own identifier, else what the first form finds in URL and text that is well-formed; empty if there is none."""
-    both = F.concat_ws(" ", F.coalesce(url, F.lit("")), F.coalesce(text, F.lit("")))
-    found = [F.nullif(normal_id(F.regexp_extract(both, f"(?i){p}", 1)), F.lit("")) for p in APPLICATION_ID_PATTERNS]
-    return F.coalesce(F.nullif(normal_id(identifier), F.lit("")), *found, F.lit(""))
+    some = lambda c: once(normal_id(c), lambda t: F.nullif(t, F.lit("")))
+    found = lambda both: F.coalesce(*[some(F.regexp_extract(both, f"(?i){p}", 1)) for p in APPLICATION_ID_PATTERNS], F.lit(""))
+    return F.coalesce(some(identifier), once(F.concat_ws(" ", F.coalesce(url, F.lit("")), F.coalesce(text, F.lit(""))), found))
 
 
 def verify(rows: DataFrame) -> DataFrame:
@@ -85,21 +88,31 @@ def verify(rows: DataFrame) -> DataFrame:
     404 and 410 close a posting, other failures leave it to be verified by hand, and so does a page that does not prove it: open is one with
     a posting of at least 300 characters whose title shares 0.55 of the words. Columns of the results' names are replaced, all others stay.
     """
-    text, code = F.coalesce(F.col("page_text"), F.lit("")), F.col("status_code")
+    code = F.col("status_code")
+    # Working columns: what several results read is computed once.
+    read_as = {k: fresh(rows, f"__{k}") for k in ("page", "description", "closed", "open", "visa", "ident")}
+    page, description, closed, is_open, visa, ident = (F.col(n) for n in read_as.values())
+    text = F.coalesce(F.col("page_text"), F.lit(""))
     found = F.coalesce(F.col("official_url"), F.lit("")) != ""
     gone, read = F.coalesce(code.isin(404, 410), F.lit(False)), F.coalesce(code == 200, F.lit(False)) & (text != "")
     has = F.col("posting_title").isNotNull() | F.col("posting_description").isNotNull()
-    description = F.when(has, squeeze(F.col("posting_description"))).otherwise(squeeze(text))
+    rows = rows.withColumn(read_as["page"], squeeze(text))
+    rows = rows.withColumn(read_as["description"], F.when(has, squeeze(F.col("posting_description"))).otherwise(page))
     own = F.nullif(squeeze(F.col("posting_title")), F.lit(""))
-    titled = title_share(squeeze(F.col("title")), F.coalesce(own, F.substring(squeeze(text), 1, TITLE_PART))) >= LEAST_TITLE
-    closed = F.exists(F.array(*[F.lit(s) for s in CLOSED_SIGNALS]), lambda s: F.lower(squeeze(text)).contains(s))
-    is_open = has & titled & (F.length(description) >= LEAST_DESCRIPTION)
+    titled = title_share(squeeze(F.col("title")), F.coalesce(own, F.substring(page, 1, TITLE_PART))) >= LEAST_TITLE
+    signal = once(F.lower(page), lambda t: F.exists(F.array(*[F.lit(s) for s in CLOSED_SIGNALS]), lambda s: t.contains(s)))
     pick = lambda *cases: F.when(~found, cases[0]).when(gone, cases[1]).when(~read, cases[2]).when(closed, cases[3]).when(is_open, cases[4]).otherwise(cases[5])
     failed = F.concat(F.lit("公司页面暂时无法自动读取（HTTP "), F.coalesce(F.nullif(code, F.lit(0)).cast("string"), F.lit("连接失败")), F.lit("）。"))
-    visa = sponsorship(F.coalesce(F.nullif(description, F.lit("")), squeeze(text)))
-    ident = F.coalesce(F.nullif(page_application_id(F.col("final_url"), squeeze(text), F.col("posting_id")), F.lit("")), normal_id(F.col("application_id")))
     judged = found & ~gone & read
     url = F.col("final_url")
+    rows = rows.withColumns(
+        {
+            read_as["closed"]: judged & signal,
+            read_as["open"]: judged & has & (F.length(description) >= LEAST_DESCRIPTION) & titled,
+            read_as["visa"]: F.when(judged, sponsorship(F.when(description != "", description).otherwise(page))),
+            read_as["ident"]: F.when(judged, F.coalesce(F.nullif(page_application_id(url, page, F.col("posting_id")), F.lit("")), normal_id(F.col("application_id")))),
+        }
+    )
     out = rows.withColumns(
         {
             "status": pick(F.lit(MANUAL), F.lit(CLOSED), F.lit(MANUAL), F.lit(CLOSED), F.lit(OPEN), F.lit(MANUAL)),
@@ -114,7 +127,7 @@ def verify(rows: DataFrame) -> DataFrame:
     )
     parts = [F.col("note"), F.concat(F.lit("官网："), url), F.concat(F.lit("岗位编号："), F.coalesce(F.nullif("application_id", F.lit("")), F.lit("未提取"))), F.concat(F.lit("Sponsorship："), F.col("visa"))]
     proof = F.when(F.col("proof") != "", F.concat(F.lit("原文证据："), F.col("proof")))
-    return out.withColumn("evidence", F.when(judged, F.concat_ws("；", *parts, proof)))
+    return out.withColumn("evidence", F.when(judged, F.concat_ws("；", *parts, proof))).drop(*read_as.values())
 
 
 def summary(verified: DataFrame) -> DataFrame:
