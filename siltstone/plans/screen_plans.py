@@ -8,7 +8,7 @@ from siltstone.functions import rules as R
 from siltstone.functions import screening as S
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
-from siltstone.operators import dedup, postings
+from siltstone.operators import dedup, joins, postings
 from siltstone.plans import literals as L
 from siltstone.plans.posts import POSTS_SQL, posts, stable_sql
 from siltstone.plans.registry import Registry, table
@@ -48,12 +48,17 @@ def years_and_visa(spark, d):
 def rubric_flavours(spark, d):
     """The three full rubrics, and the eligibility of the first two, each with its own years and sponsorship."""
     t, c = F.col("title"), F.col("content")
-    years = lambda p: S.required_years(c, p)
-    server, scan = S.sponsorship(c, "server"), S.sponsorship(c, "scan")
-    return posts(spark, d).select(
-        "id", S.score(t, c, years("server"), server, S.RUBRIC_US).alias("score_us"), S.score(t, c, years("scan"), scan, S.RUBRIC_SCAN).alias("score_scan"), S.score(t, c, years("china"), None, S.RUBRIC_CHINA).alias("score_china"),
-        S.eligible(t, c, years("server"), server, S.RUBRIC_US).alias("eligible_us"), S.eligible(t, c, years("scan"), scan, S.RUBRIC_SCAN).alias("eligible_scan"),
-    )
+    years = lambda p: F.col(f"years_{p}")
+    server, scan = F.col("visa_server"), F.col("visa_scan")
+    read = {f"years_{p}": S.required_years(c, p) for p in ("server", "scan", "china")} | {f"visa_{p}": S.sponsorship(c, p) for p in ("server", "scan")}
+    results = {
+        "score_us": S.score(t, c, years("server"), server, S.RUBRIC_US), "score_scan": S.score(t, c, years("scan"), scan, S.RUBRIC_SCAN), "score_china": S.score(t, c, years("china"), None, S.RUBRIC_CHINA),
+        "eligible_us": S.eligible(t, c, years("server"), server, S.RUBRIC_US), "eligible_scan": S.eligible(t, c, years("scan"), scan, S.RUBRIC_SCAN),
+    }
+    p = posts(spark, d).select("id", "title", "content")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated: few texts are much work
+    texts = p.select("title", "content").distinct().repartition(tasks, "title", "content").withColumns(read)
+    return p.join(texts.select("title", "content", *[x.alias(n) for n, x in results.items()]), ["title", "content"]).drop("title", "content")
 
 
 _short = lambda name, text: f"least({S.SHORT_RUBRICS[name][1]}, {S.SHORT_RUBRICS[name][0]} + {_points(text, S.SHORT_RUBRICS[name][2])})"
@@ -206,7 +211,8 @@ def joined_and_split(spark, d):
 @REG.add(f"SELECT id, CASE WHEN {_hit('content', 'clinical trial design')} THEN regexp_extract(content, '(?is)experience(.*?)design', 1) ELSE substr(regexp_extract(repeat(content || ' ', 40), '(?is)experience(.*)$', 1), 1, 5000) END AS part FROM ({POSTS_SQL})")
 def text_sections(spark, d):
     """Up to the stop word, else 5000 characters of a long text."""
-    return posts(spark, d).select("id", F.when(F.col("content").rlike("clinical trial design"), T.section(F.col("content"), "experience", "design")).otherwise(T.section(F.repeat(F.concat("content", F.lit(" ")), 40), "experience", "never-there")).alias("part"))
+    part = F.when(F.col("content").rlike("clinical trial design"), T.section(F.col("content"), "experience", "design")).otherwise(T.section(F.repeat(F.concat("content", F.lit(" ")), 40), "experience", "never-there"))
+    return joins.read_once(posts(spark, d).select("id", "content"), ["content"], {"part": part}).drop("content")
 
 
 _VENDORS = (("greenhouse", r"greenhouse\.io"), ("lever", r"lever\.co"), ("workday", "myworkdayjobs"), ("generic", "careers"))
