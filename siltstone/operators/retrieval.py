@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import once
 from siltstone.operators.joins import small
 from siltstone.store import Table
 
@@ -38,6 +39,18 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
     return (p != "") & F.when(p.rlike(r"[\x{3400}-\x{9fff}]"), t.contains(p)).otherwise(F.rlike(t, pattern))
 
 
+def phrase_form(c: Column) -> Column:
+    """A text as contains_phrase compares it: normalized; whether it has CJK; and with a mark at each end and on both sides of all but letters and digits."""
+    mark = "\u0001"
+    form = lambda t: F.struct(t.alias("text"), t.rlike(r"[\x{3400}-\x{9fff}]").alias("cjk"), F.concat(F.lit(mark), F.regexp_replace(t, "[^a-z0-9]", f"{mark}$0{mark}"), F.lit(mark)).alias("marked"))
+    return once(normalized(c), form)
+
+
+def form_contains(text: Column, phrase: Column) -> Column:
+    """R2 on phrase_form: a phrase between word ends is there with its marks, so no pattern is made of it."""
+    return (phrase["text"] != "") & F.when(phrase["cjk"], text["text"].contains(phrase["text"])).otherwise(text["marked"].contains(phrase["marked"]))
+
+
 def _stem(x: Column) -> Column:
     cut = lambda n: F.substring(x, F.lit(1), F.length(x) - n)
     return (
@@ -60,8 +73,8 @@ def tokens(c: Column) -> Column:
 
 def ochiai(a: Column, b: Column) -> Column:
     """|A and B| / sqrt(|A||B|) of two arrays as sets; 0 if one is empty."""
-    x, y = F.array_distinct(a), F.array_distinct(b)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))).otherwise(0.0)
+    similar = lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))).otherwise(0.0)
+    return once(F.struct(F.array_distinct(a).alias("x"), F.array_distinct(b).alias("y")), lambda s: similar(s["x"], s["y"]))
 
 
 def bm25_index(docs: DataFrame, doc_id: str, toks: str, vocabulary: DataFrame, term: str = "term") -> DataFrame:
